@@ -19,7 +19,7 @@ ACCUMULABLE_KEYS = ("number_of_output_rows", "internal_metrics_resultsize")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = load(spark, sf_dir, "events")
+    events = load(spark, sf_dir, "events", spread=True)
     launch = F.unix_millis(F.col("ts").cast("timestamp"))
     return events.select(
         "event_id",

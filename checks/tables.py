@@ -3,5 +3,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A given table. With `spread`, one that is a single small file is cut up for all cores.
+
+    That is for work that is heavy per row; a table of many files keeps its own partitions.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df

@@ -43,10 +43,10 @@ def pct(part: Column | str, whole: Column | str) -> Column:
     return F.try_divide(_column(part) * F.lit(100), _column(whole))
 
 
-def total_of(columns: Sequence[Column]) -> Column:
-    """Sum of columns as a balanced tree, so that hundreds of terms stay a shallow expression."""
-    terms = list(columns) or [F.lit(0)]
+def total_of(names: Sequence[str]) -> str:
+    """Sum of columns as SQL text: a balanced tree, so that hundreds of terms stay a shallow expression."""
+    terms = [f"`{name}`" for name in names] or ["0"]
     while len(terms) > 1:
-        paired = [a + b for a, b in zip(terms[::2], terms[1::2])]
+        paired = [f"({a} + {b})" for a, b in zip(terms[::2], terms[1::2])]
         terms = paired + terms[len(paired) * 2 :]
     return terms[0]

@@ -18,9 +18,10 @@ def percentile_label(probability: float) -> str:
     return f"p{probability * 100:g}".replace(".", "_")
 
 
-def _exact(values: Mapping[str, Column], probabilities: Sequence[float]) -> list[Column]:
-    points = F.lit([float(p) for p in probabilities])
-    return [F.percentile(column, points).alias(f"_q_{name}") for name, column in values.items()]
+def _exact(values: Mapping[str, str], probabilities: Sequence[float]) -> list[Column]:
+    # SQL text, here and below: building a Column takes several calls into the JVM, for each of hundreds of metrics.
+    points = ", ".join(f"{p}D" for p in probabilities)
+    return [F.expr(f"percentile({value}, array({points})) AS `_q_{name}`") for name, value in values.items()]
 
 
 def hot_groups_for(df: DataFrame, keys: Sequence[str], metrics: int, hot_rows: int | None = None) -> HotGroups:
@@ -32,7 +33,7 @@ def hot_groups_for(df: DataFrame, keys: Sequence[str], metrics: int, hot_rows: i
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
-    values: Mapping[str, Column],
+    values: Mapping[str, str],
     probabilities: Sequence[float],
     extra: Sequence[Column] = (),
     hot: HotGroups | None = None,
@@ -72,7 +73,7 @@ def _join_by_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
 def group_stats(
     df: DataFrame,
     keys: Sequence[str],
-    metrics: Mapping[str, Column | str],
+    metrics: Mapping[str, str],
     *,
     probability: float = 0.95,
     prefix: str = "",
@@ -84,26 +85,25 @@ def group_stats(
 ) -> DataFrame:
     """One row per group: row count, distinct count, and `avg`, `median` and percentile of every metric.
 
+    `metrics` maps names to SQL expressions.
+
     The distinct count is its own aggregation: mixed with percentiles it would keep a buffer per distinct value.
     """
     keys = list(keys)
-    columns = {name: F.col(column) if isinstance(column, str) else column for name, column in metrics.items()}
     if hot is None:
-        hot = hot_groups_for(df, keys, len(columns), hot_rows)
+        hot = hot_groups_for(df, keys, len(metrics), hot_rows)
     counts = [F.count(F.lit(1)).alias(rows_as)] if rows_as else []
-    averages = [F.avg(column).alias(f"_a_{name}") for name, column in columns.items()]
-    stats = exact_percentiles(df, keys, columns, (0.5, probability), counts + averages, hot)
+    averages = [F.expr(f"avg({value}) AS `_a_{name}`") for name, value in metrics.items()]
+    stats = exact_percentiles(df, keys, metrics, (0.5, probability), counts + averages, hot)
     if distinct_of:
         distinct = df.select(*keys, distinct_of).distinct().groupBy(*keys).agg(F.count(distinct_of).alias(distinct_as))
         stats = _join_by_group(stats, distinct, keys)
     label = percentile_label(probability)
-    out = [F.col(key) for key in keys]
-    out += [F.col(rows_as)] if rows_as else []
-    out += [F.col(distinct_as)] if distinct_of else []
-    for name in columns:
+    out = [f"`{name}`" for name in (*keys, rows_as, distinct_of and distinct_as) if name]
+    for name in metrics:
         out += [
-            F.col(f"_a_{name}").alias(f"{prefix}avg_{name}"),
-            F.col(f"_q_{name}")[0].alias(f"{prefix}median_{name}"),
-            F.col(f"_q_{name}")[1].alias(f"{prefix}{label}_{name}"),
+            f"`_a_{name}` AS `{prefix}avg_{name}`",
+            f"`_q_{name}`[0] AS `{prefix}median_{name}`",
+            f"`_q_{name}`[1] AS `{prefix}{label}_{name}`",
         ]
-    return stats.select(*out)
+    return stats.selectExpr(*out)

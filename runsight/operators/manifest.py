@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runsight.sources.commit_log import read_actions
+from runsight.sources.staging import stage
 
 TABLE = ("table_name", "table_location")
 DEFAULT_RETENTION = "interval 7 days"
@@ -79,7 +80,7 @@ def file_history(
     only_in_retention: bool = True,
     default_retention: str = DEFAULT_RETENTION,
 ) -> DataFrame:
-    """One row per table version and live file, from action rows.
+    """One row per table version and live file, from action rows. Reads them twice: pass a stored table.
 
     Version numbers are whole, so a lifetime lists its versions itself and meets them by equality: no range join.
     """
@@ -87,7 +88,7 @@ def file_history(
         now = F.current_timestamp()
     elif not isinstance(now, Column):
         now = F.lit(now).cast("timestamp")
-    versions = _versions(actions, now, default_retention)
+    versions = stage(_versions(actions, now, default_retention), "versions")
     if only_in_retention:
         versions = versions.filter(F.col("in_retention_period") == 1)
     spans = versions.groupBy(*TABLE).agg(
@@ -122,7 +123,10 @@ def write_manifest(
     path: str | None = None,
 ) -> DataFrame:
     """File history of `tables` (name to location) as a new table; it must not exist."""
-    writer = file_history(read_actions(spark, tables), now, only_in_retention).write.mode("errorifexists")
+    if spark.catalog.tableExists(output_table):
+        raise ValueError(f"table {output_table} exists")
+    actions = stage(read_actions(spark, tables), "actions")
+    writer = file_history(actions, now, only_in_retention).write.mode("errorifexists")
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(output_table)

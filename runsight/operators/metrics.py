@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from runsight.functions import canonical_name, canonical_text
 from runsight.operators.metric_keys import ACCUMULABLE_KEYS, TASK_METRIC_KEYS
 
+_INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 _SECTION = "map<string,variant>"
 _ITEMS = "array<struct<ID:bigint,Name:string,Update:string,Value:string>>"
 
@@ -39,7 +40,7 @@ def _integer_pairs(section: Column, prefix: Column | None, depth: int) -> Column
         name = name if prefix is None else F.concat(prefix, name)
         number = F.when(
             F.schema_of_variant(entry["value"]) == "BIGINT",
-            F.array(F.concat(F.lit('"'), name, F.lit('":'), F.try_variant_get(entry["value"], "$", "string"))),
+            F.array(F.concat(F.lit('"'), name, F.lit('":'), F.to_json(entry["value"]))),
         )
         if depth <= 1:
             return F.coalesce(number, F.array().cast("array<string>"))
@@ -73,7 +74,12 @@ def latest_values(items: Column, keys: Sequence[str] = ACCUMULABLE_KEYS, field:
     if field not in ("Value", "Update"):
         raise ValueError("field must be 'Value' or 'Update'")
     wanted = F.lit([canonical_text(key) for key in keys])
-    ranked = F.array_sort(
+
+    def integer(text: Column) -> Column:
+        # A failing try_cast costs far more than the pattern test in front of it.
+        return F.when(text.rlike(_INTEGER), text.try_cast("bigint"))
+
+    ranked = F.sort_array(
         F.filter(
             F.transform(
                 items,
@@ -81,7 +87,7 @@ def latest_values(items: Column, keys: Sequence[str] = ACCUMULABLE_KEYS, field:
                     item["ID"].alias("id"),
                     position.alias("position"),
                     canonical_name(item["Name"]).alias("name"),
-                    item[field].try_cast("bigint").alias("value"),
+                    integer(item[field]).alias("value"),
                 ),
             ),
             lambda item: F.array_contains(wanted, item["name"]),

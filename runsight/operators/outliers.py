@@ -42,14 +42,14 @@ class Thresholds:
         return self.flag_names()[1]
 
 
-def flag(value: Column, limit: Column, times: float, name: str) -> Column:
-    """1 where `value` exceeds `limit` x `times`, else 0; NULLs give 0."""
-    return F.when(value > limit * F.lit(times), 1).otherwise(0).alias(name)
+def flag(value: str, limit: str, times: float, name: str) -> str:
+    """SQL text: 1 where `value` exceeds `limit` x `times`, else 0; NULLs give 0."""
+    return f"CASE WHEN {value} > {limit} * {times} THEN 1 ELSE 0 END AS `{name}`"
 
 
-def score(flags: Sequence[str], name: str) -> Column:
-    """Sum of flag columns: a metric beyond both multiples counts 2."""
-    return total_of([F.col(f"`{column}`") for column in flags]).alias(name)
+def score(flags: Sequence[str], name: str) -> str:
+    """SQL text: sum of flag columns. A metric beyond both multiples counts 2."""
+    return f"{total_of(flags)} AS `{name}`"
 
 
 def _join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], counted: HotGroups, split_rows: int) -> DataFrame:
@@ -68,7 +68,7 @@ def add_group_outliers(
     df: DataFrame,
     keys: Sequence[str],
     duration: str,
-    metric_sets: Mapping[str, Mapping[str, Column | str]],
+    metric_sets: Mapping[str, Mapping[str, str]],
     *,
     thresholds: Thresholds = Thresholds(),
     prefix: str = "group_",
@@ -80,23 +80,19 @@ def add_group_outliers(
 ) -> DataFrame:
     """Add group statistics, flags and scores to each row.
 
-    `metric_sets` maps a score's name to the metrics it sums up; `overall_score` is the sum of all scores. Rows with a
-    NULL key have no group and are dropped. Reads `df` several times: pass a stored table, not an expensive plan.
+    `metric_sets` maps a score's name to the metrics it sums up (names to SQL expressions); `overall_score` is the sum
+    of all scores. Rows with a NULL key have no group and are dropped. Reads `df` several times: pass a stored table, not an expensive plan.
     """
     names = [name for metrics in metric_sets.values() for name in metrics] + [duration]
     repeated = {name for name in names if names.count(name) > 1}
     if repeated:
         raise ValueError(f"metric names used twice: {sorted(repeated)}")
-    columns = {
-        name: F.col(column) if isinstance(column, str) else column
-        for metrics in metric_sets.values()
-        for name, column in metrics.items()
-    }
+    columns = {name: value for metrics in metric_sets.values() for name, value in metrics.items()}
     hot = hot_groups_for(df, keys, len(names), hot_rows)
     stats = group_stats(
         df,
         keys,
-        {duration: F.col(duration), **columns},
+        {duration: f"`{duration}`", **columns},
         probability=thresholds.probability,
         prefix=prefix,
         rows_as=rows_as,
@@ -108,36 +104,33 @@ def add_group_outliers(
 
     label = percentile_label(thresholds.probability)
 
-    def limit(name: str) -> Column:
-        return F.col(f"{prefix}{label}_{name}")
+    def limit(name: str) -> str:
+        return f"`{prefix}{label}_{name}`"
 
     low, high = thresholds.flag_names()
-    value = F.col(duration)
+    value = f"`{duration}`"
     out = [
         flag(value, limit(duration), thresholds.low, low),
         flag(value, limit(duration), thresholds.high, high),
-        flag(value, F.col(f"{prefix}median_{duration}"), thresholds.median, thresholds.median_flag),
+        flag(value, f"`{prefix}median_{duration}`", thresholds.median, thresholds.median_flag),
     ]
     scores: dict[str, list[str]] = {}
     for score_name, metrics in metric_sets.items():
-        flags = []
+        scores[score_name] = []
         for name in metrics:
             metric_low, metric_high = thresholds.flag_names(name)
             out.append(flag(columns[name], limit(name), thresholds.low, metric_low))
             out.append(flag(columns[name], limit(name), thresholds.high, metric_high))
-            flags += [metric_low, metric_high]
-        scores[score_name] = flags
-    rest = [F.col(f"`{name}`") for name in stats.columns]
-    rest += [F.col(f"`{name}`") for name in df.columns if name not in keys]
-    flagged = joined.select(*out, *rest)
-    flag_cols = [column for flags in scores.values() for column in flags]
-    return flagged.select(
-        low,
-        high,
-        thresholds.median_flag,
+            scores[score_name] += [metric_low, metric_high]
+    rest = [f"`{name}`" for name in (*stats.columns, *(name for name in df.columns if name not in keys))]
+    flag_cols = [f"`{name}`" for flags in scores.values() for name in flags]
+    return joined.selectExpr(*out, *rest).selectExpr(
+        f"`{low}`",
+        f"`{high}`",
+        f"`{thresholds.median_flag}`",
         *flag_cols,
         *[score(flags, name) for name, flags in scores.items()],
-        score(flag_cols, "overall_score"),
+        score([name for flags in scores.values() for name in flags], "overall_score"),
         *rest,
     )
 

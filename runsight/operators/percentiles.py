@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsight.sources.staging import stage
@@ -19,11 +19,11 @@ from runsight.sources.staging import stage
 def percentiles_by_range(
     df: DataFrame,
     keys: Sequence[str],
-    values: Mapping[str, Column],
+    values: Mapping[str, str],
     probabilities: Sequence[float],
     partitions: int | None = None,
 ) -> DataFrame:
-    """Per group, one `array<double>` column for each named value, in the order of `probabilities`.
+    """Per group, one `array<double>` column for each named SQL expression, in the order of `probabilities`.
 
     Same interpolation and NULL handling as Spark's `percentile`.
     """
@@ -31,10 +31,9 @@ def percentiles_by_range(
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    pairs = [F.struct(F.lit(i).alias("m"), values[name].cast("double").alias("v")) for i, name in enumerate(names)]
+    listed = ", ".join(f"CAST({values[name]} AS DOUBLE)" for name in names)
     counted = (
-        df.select(*keys, F.explode(F.array(*pairs)).alias("_p"))
-        .select(*keys, F.col("_p.m").alias("_m"), F.col("_p.v").alias("_v"))
+        df.select(*keys, F.posexplode(F.expr(f"array({listed})")).alias("_m", "_v"))
         .filter(F.col("_v").isNotNull())
         .groupBy(*keys, "_m", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))

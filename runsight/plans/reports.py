@@ -161,7 +161,7 @@ def stages_ranked(
             F.max(names.duration).alias("max_task_time"),
         ]
         stages = exact_percentiles(
-            df, names.group, {names.duration: F.col(names.duration)}, (float(probability),), extra
+            df, names.group, {names.duration: f"`{names.duration}`"}, (float(probability),), extra
         )
         keys = [name for name in names.group if name != names.group_start]
         span = (F.col("max_task_finish_time") - F.col("min_task_launch_time")) / F.lit(60_000)
