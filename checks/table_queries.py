@@ -112,7 +112,7 @@ def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Files of finished orders are removed later, and some of those come back.
     """
-    orders = load(spark, sf_dir, "orders")
+    orders = load(spark, sf_dir, "orders", spread=True)
     month = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1
     base = orders.select(
         F.concat(F.lit("/lake/orders_p"), F.substring("o_orderpriority", 1, 1)).alias("location"),

@@ -55,6 +55,8 @@ def _lifetimes(actions: DataFrame) -> DataFrame:
     is_add = F.col("action") == "add"
     net = (
         actions.filter(F.col("action").isin("add", "remove"))
+        # Serves the aggregation and the window below: one shuffle for both.
+        .repartition(*TABLE, "file_name")
         .groupBy(*TABLE, "file_name", "version")
         .agg(
             F.max(F.when(is_add, 1).otherwise(0)).alias("_added"),

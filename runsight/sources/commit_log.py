@@ -29,8 +29,7 @@ _COMMIT = (
     f"{_ADD}, {_METADATA}, remove struct<path: string>, "
     "commitInfo struct<timestamp: bigint, inCommitTimestamp: bigint>"
 )
-_COMMIT_PATH = r"^(.*)/_delta_log/(\d{20})\.json$"
-_CHECKPOINT_PATH = r"^(.*)/_delta_log/(\d{20})\.checkpoint[^/]*\.parquet$"
+_COMMIT_FILE = r"^\d{20}\.json$"
 
 
 def _plain(location: Column) -> Column:
@@ -38,6 +37,18 @@ def _plain(location: Column) -> Column:
     return F.regexp_replace(location, r"^[A-Za-z0-9]+:/*|^/+|/+$", "")
 
 
+def _file(path: str) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def _place(path: str) -> list[Column]:
+    """Location of the table and version of the commit a log file belongs to."""
+    return [
+        F.substring_index(path, "/_delta_log/", 1).alias("_location"),
+        F.substring(_file(path), 1, 20).try_cast("bigint").alias("version"),
+    ]
+
+
 def _named(df: DataFrame, tables: Mapping[str, str]) -> DataFrame:
     # One row per table the caller listed, so the broadcast is as small as that list.
     names = df.sparkSession.createDataFrame(list(tables.items()), "table_name string, table_location string")
@@ -52,10 +63,9 @@ def parse_actions(lines: DataFrame, tables: Mapping[str, str], modified: str | N
     """
     record = F.from_json("value", _COMMIT)
     rows = (
-        lines.filter(F.col("path").rlike(_COMMIT_PATH))
+        lines.filter(_file("path").rlike(_COMMIT_FILE))
         .select(
-            F.regexp_extract("path", _COMMIT_PATH, 1).alias("_location"),
-            F.regexp_extract("path", _COMMIT_PATH, 2).cast("bigint").alias("version"),
+            *_place("path"),
             (F.col(modified) if modified else F.lit(None).cast("timestamp")).alias("_modified"),
             F.inline(F.array(record)),
         )
@@ -100,8 +110,7 @@ def read_checkpoints(spark: SparkSession, tables: Mapping[str, str]) -> DataFram
         .select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("_modified"))
         .filter(F.col("add").isNotNull() | F.col("metaData").isNotNull())
         .select(
-            F.regexp_extract("path", _CHECKPOINT_PATH, 1).alias("_location"),
-            F.regexp_extract("path", _CHECKPOINT_PATH, 2).cast("bigint").alias("version"),
+            *_place("path"),
             "_modified",
             "add",
             "metaData",
