@@ -96,7 +96,7 @@ def _raw_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _attach_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = events.parse_records(event_log(spark, sf_dir), metric_keys=(), accumulable_keys=())
+    parsed = stage(events.parse_records(event_log(spark, sf_dir), metric_keys=(), accumulable_keys=()), "records")
     joined = attach_stages(events.task_rows(parsed), events.stage_rows(parsed), grace_ms=1_800_000)
     return joined.select("task_id", "stage_id", "stage__submission_time", "stage__completion_time", "stage__num_tasks")
 

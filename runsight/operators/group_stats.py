@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runsight.operators.percentiles import percentiles_by_range
 from runsight.operators.skew import HotGroups, find_hot_groups
 
-CELLS_PER_TASK = 20_000_000
+CELLS_PER_TASK = 4_000_000
 """Metric values of one group that one task may hold for the built-in exact percentile."""
 
 
