@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.tables import load
+from checks.tables import load, stored
+from runsight.sources import read_event_log
+from runsight.sources.staging import scratch_path
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 CLUSTER = "cluster-a"
@@ -37,7 +39,17 @@ def _item(item_id: int, name: str, value) -> F.Column:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns `logMessage` and `clusterId`."""
+    """The log as text files, read like any other."""
+
+    def write() -> DataFrame:
+        path = scratch_path(spark, "event_log")
+        _lines(spark, sf_dir).write.text(path)
+        return read_event_log(spark, path, CLUSTER)
+
+    return stored(spark, sf_dir, "event_log", write)
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
     items = F.array(
         _item(17, "number of output rows", F.col("k") * 2),
@@ -93,7 +105,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("logMessage")
         )
     )
-    return tasks.unionByName(stages).withColumn("clusterId", F.lit(CLUSTER))
+    return tasks.unionByName(stages)
 
 
 TASKS_SQL = f"""

@@ -17,6 +17,7 @@ from checks.log_fixture import (
     joined_sql,
     outliers_sql,
 )
+from checks.tables import stored
 from runsight.functions import from_epoch_ms, whole_units_between
 from runsight.operators import events, metrics
 from runsight.operators.outliers import Thresholds, classify
@@ -28,21 +29,20 @@ from runsight.sources.staging import stage
 THRESHOLDS = Thresholds(low=1, high=2)
 NAMES = reports.Names(outlier="gt_p95_2")
 
-_stored: dict[tuple[str, str], DataFrame] = {}
-
 
 def outlier_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored result of the outlier analysis: the reports read it as a table."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
+
+    def analyse() -> DataFrame:
         rows = task_outliers(
             event_log(spark, sf_dir),
             metric_keys=METRIC_KEYS,
             accumulable_keys=ACCUMULABLE_KEYS,
             thresholds=THRESHOLDS,
         )
-        _stored[key] = stage(rows, "outliers")
-    return _stored[key]
+        return stage(rows, "outliers")
+
+    return stored(spark, sf_dir, "outliers", analyse)
 
 
 def _task_events(spark: SparkSession, sf_dir: str) -> DataFrame:

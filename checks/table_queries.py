@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.tables import load
+from checks.tables import load, stored
 from runsight.functions import canonical_name
 from runsight.operators.group_stats import group_stats
 from runsight.operators.inference import peak_concurrency
@@ -161,7 +161,8 @@ def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf_dir: str, only_in_retention: bool) -> DataFrame:
-    actions = stage(parse_actions(commit_lines(spark, sf_dir), TABLES), "actions")
+    lines = stored(spark, sf_dir, "commit_lines", lambda: stage(commit_lines(spark, sf_dir), "commit_lines"))
+    actions = stage(parse_actions(lines, TABLES), "actions")
     return file_history(actions, NOW, only_in_retention)
 
 

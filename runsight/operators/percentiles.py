@@ -21,15 +21,14 @@ def percentiles_by_range(
     keys: Sequence[str],
     values: Mapping[str, str],
     probabilities: Sequence[float],
-    partitions: int | None = None,
+    partitions: int,
 ) -> DataFrame:
     """Per group, one `array<double>` column for each named SQL expression, in the order of `probabilities`.
 
-    Same interpolation and NULL handling as Spark's `percentile`.
+    Same interpolation and NULL handling as Spark's `percentile`. `partitions` is how many ranges the values are cut
+    into; a task holds one of them.
     """
     keys, names = list(keys), list(values)
-    spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     listed = ", ".join(f"CAST({values[name]} AS DOUBLE)" for name in names)
     counted = (

@@ -20,6 +20,8 @@ class HotGroups:
     complete: bool
     """False if there were more large groups than `frame` holds."""
     rows_over: int
+    rows: int = 0
+    """Rows of the listed groups."""
 
     def __bool__(self) -> bool:
         return self.frame is not None
@@ -44,9 +46,9 @@ def find_hot_groups(
 ) -> HotGroups:
     """Count the rows per key (one pass over the key columns) and keep the largest groups over `rows_over`."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows_over)
-    found = counted.orderBy(F.col("_rows").desc()).limit(most + 1).select(*keys).collect()
+    found = counted.orderBy(F.col("_rows").desc()).limit(most + 1).select(*keys, "_rows").collect()
     if not found:
         return HotGroups(tuple(keys), None, True, rows_over)
     schema = StructType([StructField(key, df.schema[key].dataType, True) for key in keys])
-    frame = df.sparkSession.createDataFrame([tuple(row) for row in found[:most]], schema)
-    return HotGroups(tuple(keys), frame, len(found) <= most, rows_over)
+    frame = df.sparkSession.createDataFrame([tuple(row)[:-1] for row in found[:most]], schema)
+    return HotGroups(tuple(keys), frame, len(found) <= most, rows_over, sum(row["_rows"] for row in found[:most]))
