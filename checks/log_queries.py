@@ -361,7 +361,7 @@ FROM (SELECT CASE WHEN submission < {_HALF_MS} THEN 'early' ELSE 'late' END AS t
 SELECT * FROM (VALUES ('all_tasks', 1), ('affected_stages', 3), ('top_executors', 10), ('top_hosts', 10)) AS t(report, n)
 UNION ALL SELECT 'by_task_type', count(DISTINCT task_type) FROM outliers
 UNION ALL SELECT 'stages_ranked', count(*) FROM (SELECT DISTINCT stage_id, submission FROM outliers)
-UNION ALL SELECT 'top_outliers', least(10, sum(gt_p95_2)) FROM outliers""",
+UNION ALL SELECT 'top_outliers', CAST(least(10, sum(gt_p95_2)) AS BIGINT) FROM outliers""",
     "tasks_of_stage": f"""WITH {outliers_sql()}
 SELECT task_id, task_time AS task_duration, {_STAGE_STATS}, launch AS task_launch_time, finish AS task_finish_time,
   'Success' AS task_end_reason, k AS input_metrics__records_read, k * 2 AS number_of_output_rows

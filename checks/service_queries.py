@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.shipping import ship_code
 from checks.tables import load
 from runsight.operators import inference
 from runsight.sources.staging import scratch_path
@@ -28,6 +29,7 @@ class DigestClient:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
     return load(spark, sf_dir, "documents", spread=True).select("doc_id", "lang", "text")
 
 
@@ -68,6 +70,7 @@ def _params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
     turns = load(spark, sf_dir, "conversations", spread=True)
     conversations = inference.assemble_messages(turns, content="text")
     answered = inference.answer(conversations, DigestClient, messages="messages")

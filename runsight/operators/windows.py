@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runsight.operators.skew import find_hot_groups
+
 _NO_SLOT = -(2**62)
 
+BROADCAST_WINDOWS = 100_000
+"""Most windows of large groups that are sent to every executor."""
+
 
 def attach_window(
     facts: DataFrame,
@@ -21,6 +27,7 @@ def attach_window(
     window_end: str,
     grace: int = 0,
     slot: int | None = None,
+    split_rows: int | None = None,
     drop: Sequence[str] = (),
 ) -> DataFrame:
     """Inner join where the keys are equal, `start` >= `window_start` and `end` <= `window_end` + `grace`.
@@ -31,6 +38,9 @@ def attach_window(
     With `slot`, time is cut into slots of that length and the slot becomes a join key: each window is listed once
     per slot it covers, and a row only meets the windows of the slot it starts in. Use it where one key has many
     windows; without it each row is compared with all windows of its key.
+
+    With `split_rows`, rows are counted per join key first. Keys with more rows than that meet their windows by
+    broadcast, as long as these are few, so that no task gets all rows of such a key.
     """
     clash = (set(facts.columns) & set(windows.columns)) - set(drop)
     if clash:
@@ -38,11 +48,34 @@ def attach_window(
     kept = [name for name in windows.columns if name not in drop]
     windows = windows.select(*kept)
     inside = (F.col(start) >= F.col(window_start)) & (F.col(end) <= F.col(window_end) + F.lit(grace))
-    for fact_key, window_key in on.items():
+    fact_keys, window_keys = list(on), list(on.values())
+    if slot is not None:
+        facts, windows = _with_slots(facts, windows, start, end, window_start, window_end, grace, slot)
+        fact_keys.append("_slot")
+        window_keys.append("_window_slot")
+    for fact_key, window_key in zip(fact_keys, window_keys):
         inside = (F.col(fact_key) == F.col(window_key)) & inside
-    if slot is None:
-        return facts.join(windows, inside)
 
+    hot = find_hot_groups(facts, fact_keys, split_rows) if split_rows is not None else None
+    hot_windows = replace(hot, keys=tuple(window_keys)) if hot else None
+    if hot and hot_windows.rows_of(windows).limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        joined = hot.rows_of(facts).join(F.broadcast(hot_windows.rows_of(windows)), inside)
+        joined = joined.unionByName(hot.other_rows_of(facts).join(hot_windows.other_rows_of(windows), inside))
+    else:
+        joined = facts.join(windows, inside)
+    return joined.drop("_slot", "_window_slot")
+
+
+def _with_slots(
+    facts: DataFrame,
+    windows: DataFrame,
+    start: str,
+    end: str,
+    window_start: str,
+    window_end: str,
+    grace: int,
+    slot: int,
+) -> tuple[DataFrame, DataFrame]:
     def slot_of(value):
         return F.floor(value / F.lit(slot))
 
@@ -52,17 +85,20 @@ def attach_window(
     covered = F.when(
         F.col(window_start) <= last, F.sequence(slot_of(F.col(window_start)), slot_of(last))
     ).otherwise(F.array().cast("array<bigint>"))
-    listed = windows.withColumn(
-        "_window_slot", F.explode(F.concat(F.array(F.lit(_NO_SLOT).cast("bigint")), covered))
-    )
-    joined = facts.withColumn("_slot", fact_slot).join(listed, (F.col("_slot") == F.col("_window_slot")) & inside)
-    return joined.drop("_slot", "_window_slot")
+    slots = F.concat(F.array(F.lit(_NO_SLOT).cast("bigint")), covered)
+    return facts.withColumn("_slot", fact_slot), windows.withColumn("_window_slot", F.explode(slots))
 
 
-def attach_stages(tasks: DataFrame, stages: DataFrame, grace_ms: int = 30_000, slot_ms: int | None = 3_600_000) -> DataFrame:
+def attach_stages(
+    tasks: DataFrame,
+    stages: DataFrame,
+    grace_ms: int = 30_000,
+    slot_ms: int | None = 3_600_000,
+    split_rows: int | None = 5_000_000,
+) -> DataFrame:
     """Each task with the stage it ran in. Stage ids are reused, so the times decide between them.
 
-    A task may be reported a little after its stage, hence the grace.
+    A task may be reported a little after its stage, hence the grace. Counts the tasks first: pass a stored table.
     """
     return attach_window(
         tasks,
@@ -74,5 +110,6 @@ def attach_stages(tasks: DataFrame, stages: DataFrame, grace_ms: int = 30_000, s
         window_end="stage__completion_time",
         grace=grace_ms,
         slot=slot_ms,
+        split_rows=split_rows,
         drop=("event_time",),
     )

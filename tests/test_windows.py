@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from runsight.operators import windows as windows_module
 from runsight.operators.windows import attach_stages, attach_window
 
 TASK = "cluster_id string, stage_id bigint, task_id bigint, event_time bigint, task_launch_time bigint, task_finish_time bigint"
@@ -53,7 +54,14 @@ def test_slots_change_nothing(spark):
     want = brute_force(tasks, stages, 150)
     assert want
     for slot in (None, 70, 1000):
-        assert attached(spark, tasks, stages, grace_ms=150, slot_ms=slot) == want
+        for split_rows in (None, 0, 10):
+            assert attached(spark, tasks, stages, grace_ms=150, slot_ms=slot, split_rows=split_rows) == want
+
+
+def test_many_windows_of_large_keys_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(windows_module, "BROADCAST_WINDOWS", 1)
+    stages = [("c", 1, 0, 1000), ("c", 1, 5000, 6000)]
+    assert attached(spark, [("c", 1, 1, 10, 20)] * 2, stages, split_rows=0) == [(1, 0), (1, 0)]
 
 
 def test_equal_column_names_are_refused(spark):
