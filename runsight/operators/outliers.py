@@ -12,6 +12,7 @@ from runsight.functions import canonical_text, total_of
 from runsight.operators.group_stats import group_stats, hot_groups_for, percentile_label
 from runsight.operators.metric_keys import ACCUMULABLE_KEYS, TASK_METRIC_KEYS
 from runsight.operators.skew import MOST_HOT_GROUPS, HotGroups, find_hot_groups
+from runsight.sources.staging import stage
 
 STAGE_KEYS = ("stage__cluster_id", "stage_id", "stage__submission_time", "stage__completion_time")
 
@@ -19,7 +20,7 @@ BROADCAST_CELLS = 10_000_000
 """Most statistics values sent to every executor (80 MB as doubles)."""
 
 SPLIT_ROWS = 5_000_000
-"""Groups with more rows than this meet their statistics by broadcast, not by a shuffle on the group key."""
+"""If statistics are too many to broadcast, groups with more rows than this get theirs by broadcast all the same."""
 
 
 @dataclass(frozen=True)
@@ -53,15 +54,22 @@ def score(flags: Sequence[str], name: str) -> str:
 
 
 def _join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], counted: HotGroups, split_rows: int) -> DataFrame:
-    """Rows with the statistics of their group. Large groups meet theirs by broadcast, the others by shuffle."""
+    """Rows with the statistics of their group, which are a stored table.
+
+    Statistics go to the rows as long as they are few: the rows, which are wide, stay where they are. If there are too
+    many, only those of large groups do, and the other rows are shuffled by group.
+    """
     keys = list(keys)
-    most = min(MOST_HOT_GROUPS, max(1, BROADCAST_CELLS // len(stats.columns)))
+    most = max(1, BROADCAST_CELLS // len(stats.columns))
+    if stats.count() <= most:
+        return df.join(F.broadcast(stats), keys)
     none_larger = not counted and counted.rows_over <= split_rows
-    hot = counted if none_larger else find_hot_groups(df, keys, split_rows, most)
+    hot = counted if none_larger else find_hot_groups(df, keys, split_rows, min(MOST_HOT_GROUPS, most))
+    # Stored rows are far wider than their compressed files suggest, so the file size must not decide on a broadcast.
     if not hot:
-        return df.join(stats, keys)
+        return df.join(stats.hint("merge"), keys)
     large = hot.rows_of(df).join(F.broadcast(hot.rows_of(stats)), keys)
-    return large.unionByName(hot.other_rows_of(df).join(hot.other_rows_of(stats), keys))
+    return large.unionByName(hot.other_rows_of(df).join(hot.other_rows_of(stats).hint("merge"), keys))
 
 
 def add_group_outliers(
@@ -100,6 +108,7 @@ def add_group_outliers(
         distinct_as=distinct_as,
         hot=hot,
     )
+    stats = stage(stats, "group_stats")
     joined = _join_stats(df, stats, keys, hot, split_rows)
 
     label = percentile_label(thresholds.probability)

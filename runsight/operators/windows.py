@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runsight.operators.skew import find_hot_groups
@@ -13,7 +13,7 @@ from runsight.operators.skew import find_hot_groups
 _NO_SLOT = -(2**62)
 
 BROADCAST_WINDOWS = 100_000
-"""Most windows of large groups that are sent to every executor."""
+"""Most listed windows that are sent to every executor."""
 
 
 def attach_window(
@@ -39,8 +39,9 @@ def attach_window(
     per slot it covers, and a row only meets the windows of the slot it starts in. Use it where one key has many
     windows; without it each row is compared with all windows of its key.
 
-    With `split_rows`, rows are counted per join key first. Keys with more rows than that meet their windows by
-    broadcast, as long as these are few, so that no task gets all rows of such a key.
+    With `split_rows`, the listed windows are counted first, and broadcast if there are few. If there are many, rows are
+    counted per join key: keys with more rows than `split_rows` meet their windows by broadcast as long as these are
+    few, so that no task gets all rows of such a key.
     """
     clash = (set(facts.columns) & set(windows.columns)) - set(drop)
     if clash:
@@ -56,16 +57,43 @@ def attach_window(
     for fact_key, window_key in zip(fact_keys, window_keys):
         inside = (F.col(fact_key) == F.col(window_key)) & inside
 
-    hot = find_hot_groups(facts, fact_keys, split_rows) if split_rows is not None else None
-    hot_windows = replace(hot, keys=tuple(window_keys)) if hot else None
-    if hot and hot_windows.rows_of(windows).limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        joined = hot.rows_of(facts).join(F.broadcast(hot_windows.rows_of(windows)), inside)
-        joined = joined.unionByName(hot.other_rows_of(facts).join(hot_windows.other_rows_of(windows), inside))
+    if split_rows is None:
+        joined = facts.join(_shuffled(windows, slot), inside)
+    elif _few(windows):
+        joined = facts.join(F.broadcast(windows), inside)
     else:
-        joined = facts.join(windows, inside)
+        joined = _join_split(facts, windows, fact_keys, window_keys, inside, split_rows, slot)
     return joined.drop("_slot", "_window_slot")
 
 
+def _few(windows: DataFrame) -> bool:
+    return windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+
+
+def _shuffled(windows: DataFrame, slot: int | None) -> DataFrame:
+    """Spark's size estimate doesn't see that a window is listed in many slots, so it must not broadcast by it."""
+    return windows if slot is None else windows.hint("merge")
+
+
+def _join_split(
+    facts: DataFrame,
+    windows: DataFrame,
+    fact_keys: Sequence[str],
+    window_keys: Sequence[str],
+    inside: Column,
+    split_rows: int,
+    slot: int | None,
+) -> DataFrame:
+    hot = find_hot_groups(facts, fact_keys, split_rows)
+    if hot:
+        of_windows = replace(hot, keys=tuple(window_keys))
+        hot_windows = of_windows.rows_of(windows)
+        if _few(hot_windows):
+            other = hot.other_rows_of(facts).join(_shuffled(of_windows.other_rows_of(windows), slot), inside)
+            return hot.rows_of(facts).join(F.broadcast(hot_windows), inside).unionByName(other)
+    return facts.join(_shuffled(windows, slot), inside)
+
+
 def _with_slots(
     facts: DataFrame,
     windows: DataFrame,
@@ -98,7 +126,7 @@ def attach_stages(
 ) -> DataFrame:
     """Each task with the stage it ran in. Stage ids are reused, so the times decide between them.
 
-    A task may be reported a little after its stage, hence the grace. Counts the tasks first: pass a stored table.
+    A task may be reported a little after its stage, hence the grace. May count tasks first: pass stored tables.
     """
     return attach_window(
         tasks,

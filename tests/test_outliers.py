@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from runsight.operators import outliers as outliers_module
 from runsight.operators.outliers import (
     Thresholds,
     add_group_outliers,
@@ -85,8 +86,10 @@ def test_fan_out_shows_in_the_counts(spark):
     assert (row["stage_num_task_finish_events"], row["stage_num_tasks"]) == (4, 2)
 
 
-@pytest.mark.parametrize("hot_rows, split_rows", [(18, 5_000_000), (1_000_000, 18), (18, 18), (0, 0)])
-def test_large_groups_take_other_ways_to_the_same_rows(tasks, flagged, hot_rows, split_rows):
+@pytest.mark.parametrize("hot_rows, split_rows", [(18, 5_000_000), (1_000_000, 18), (1_000_000, 2_000_000), (18, 18), (0, 0)])
+@pytest.mark.parametrize("cells", [10_000_000, 60, 0])
+def test_large_groups_take_other_ways_to_the_same_rows(tasks, flagged, monkeypatch, hot_rows, split_rows, cells):
+    monkeypatch.setattr(outliers_module, "BROADCAST_CELLS", cells)
     other = add_outliers(tasks, ["x"], ["a", "b"], hot_rows=hot_rows, split_rows=split_rows)
     assert other.columns == flagged.columns
 

@@ -54,14 +54,26 @@ def test_slots_change_nothing(spark):
     want = brute_force(tasks, stages, 150)
     assert want
     for slot in (None, 70, 1000):
-        for split_rows in (None, 0, 10):
+        for split_rows in (None, 10):
             assert attached(spark, tasks, stages, grace_ms=150, slot_ms=slot, split_rows=split_rows) == want
 
 
-def test_many_windows_of_large_keys_are_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(windows_module, "BROADCAST_WINDOWS", 1)
-    stages = [("c", 1, 0, 1000), ("c", 1, 5000, 6000)]
-    assert attached(spark, [("c", 1, 1, 10, 20)] * 2, stages, split_rows=0) == [(1, 0), (1, 0)]
+@pytest.mark.parametrize("most", [0, 1, 30])
+def test_many_windows(spark, monkeypatch, most):
+    """All windows are too many to broadcast; those of the large keys are too many, or few enough."""
+    monkeypatch.setattr(windows_module, "BROADCAST_WINDOWS", most)
+    stages = [("c", 1, 0, 1000), ("c", 2, 0, 1000), *(("d", n, 0, 10_000) for n in range(20))]
+    tasks = [("c", 1, n, 10, 20) for n in range(50)] + [("c", 2, 90, 30, 40), ("d", 3, 91, 5000, 5000)]
+    want = brute_force(tasks, stages, 30_000)
+    for slot in (None, 500):
+        assert attached(spark, tasks, stages, slot_ms=slot, split_rows=10) == want
+
+
+def test_listed_windows_are_not_broadcast_by_estimate(spark):
+    tasks = spark.createDataFrame([("c", 1, 1, 1, 1, 2)], TASK)
+    stages = spark.createDataFrame([("c", 1, 0, 0, 10)], STAGE)
+    plan = attach_stages(tasks, stages, split_rows=None)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
 def test_equal_column_names_are_refused(spark):
