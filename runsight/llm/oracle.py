@@ -71,4 +71,17 @@ whole AS (SELECT *, CASE WHEN len(lines) > 0 THEN sha256(array_to_string(lines,
 SELECT w.doc_id, w.digest, k.licence, coalesce(n.notices, '') AS notices
 FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN notices n ON n.r = w.r"""
 
-ORACLE = {"op5_chat_format": _CHAT, "op9_line_dedup": _LINES, "op10_license_scan": _LICENCES}
+_NEAR = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_WORD}') AS words FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [words]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i:i + 2])) END AS shingles FROM texts),
+sized AS (SELECT doc_id, len(shingles) AS n_shingles FROM sets),
+held AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n_shingles + y.n_shingles - common)),
+reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT doc_id, n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id, doc_id <= coalesce(other, doc_id) AS kept
+FROM sized LEFT JOIN least USING (doc_id)"""
+
+ORACLE = {"op1_near_dup": _NEAR, "op5_chat_format": _CHAT, "op9_line_dedup": _LINES, "op10_license_scan": _LICENCES}

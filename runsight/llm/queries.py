@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsight.llm import chat, licenses, line_dedup, mixing
+from runsight.llm import chat, licenses, line_dedup, mixing, near_dup
 from runsight.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def near_dup_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
@@ -50,6 +54,7 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dup": near_dup_minhash,
     "op2_mixing": mixture,
     "op5_chat_format": chat_format,
     "op9_line_dedup": line_dedup_digest,
