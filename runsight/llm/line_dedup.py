@@ -36,9 +36,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: i
     """(occurrences of lines that may be repeated, the repeated lines with the document that keeps them)."""
     found = _occurrences(docs, min_chars)
     often = found.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_documents).drop("_n")
-    # Repeated rows are one here; the count above only has to be no smaller than that of documents.
-    occurrences = stage(found.join(often, list(_LINE)).distinct(), "line_occurrences")
-    ranged = occurrences.repartitionByRange(*_LINE, "doc_id").sortWithinPartitions(*_LINE, "doc_id", "position")
+    occurrences = stage(found.join(often, list(_LINE)), "line_occurrences")
+    # Repeated rows become one before they are dealt out. The count above only has to be no smaller than that of documents.
+    ranged = occurrences.distinct().repartitionByRange(*_LINE, "doc_id").sortWithinPartitions(*_LINE, "doc_id", "position")
     in_document = Window.partitionBy(*_LINE, "doc_id").orderBy("position", *ROW_KEY)
     firsts = ranged.withColumn("_nth", F.row_number().over(in_document)).filter("_nth = 1")
     keepers = firsts.groupBy(*_LINE).agg(F.count("doc_id").alias("documents"), F.max("doc_id").alias("keeper"))
