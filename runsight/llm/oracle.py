@@ -84,4 +84,13 @@ least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
 SELECT doc_id, n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id, doc_id <= coalesce(other, doc_id) AS kept
 FROM sized LEFT JOIN least USING (doc_id)"""
 
-ORACLE = {"op1_near_dup": _NEAR, "op5_chat_format": _CHAT, "op9_line_dedup": _LINES, "op10_license_scan": _LICENCES}
+_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(vec_id, other) AS (SELECT a, b FROM links UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id, vec_id <= coalesce(other, vec_id) AS kept
+FROM v LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)"""
+
+ORACLE = {"op8_embedding_near_dup": _VECTORS, "op1_near_dup": _NEAR, "op5_chat_format": _CHAT, "op9_line_dedup": _LINES, "op10_license_scan": _LICENCES}
