@@ -15,7 +15,7 @@ from runsight.llm.text import word_count
 from runsight.sources.staging import stage
 
 MAX_EPOCHS = 3
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 5_000
 """Documents in a key range. The prefix sum over a source's range totals has this many times fewer rows than the source."""
 
 
