@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsight.llm import chat, embedding_dedup, licenses, line_dedup, mixing, near_dup
+from runsight.llm import chat, decontamination, embedding_dedup, licenses, line_dedup, mixing, near_dup
 from runsight.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -39,6 +39,10 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_near_dup": near_dup_minhash,
     "op2_mixing": mixture,
     "op5_chat_format": chat_format,
+    "op6_decontamination": decontaminate,
     "op8_embedding_near_dup": embedding_near_dup,
     "op9_line_dedup": line_dedup_digest,
     "op10_license_scan": license_scan,
