@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsight.llm import chat, decontamination, embedding_dedup, licenses, line_dedup, mixing, near_dup
+from runsight.llm import chat, decontamination, embedding_dedup, licenses, line_dedup, mixing, near_dup, span_dedup
 from runsight.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -43,6 +43,22 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def _run_lengths(found: str) -> Column:
+    return F.aggregate(F.coalesce(found, F.array().cast("array<struct<start:int,length:int>>")), F.lit(0).cast("long"), lambda n, r: n + r["length"])
+
+
+def span_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose sentences, with the first of the documents that keep these."""
+    found = span_dedup.changed_documents(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size(span_dedup.split_sentences(F.col("text"))).cast("long").alias("n_sentences"),
+        _run_lengths("removed").alias("n_removed"),
+        F.sha2(span_dedup.kept_sentences(F.col("text"), F.col("removed")), 256).alias("kept_sha256"),
+        "first_doc_id",
+    )
+
+
 def embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -50,9 +66,8 @@ def embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.with_bitmaps(_table(spark, sf_dir, "documents"))
     lines = line_dedup.split_lines(F.col("text"))
-    dropped = F.aggregate(F.coalesce("dropped", F.array().cast("array<struct<start:int,length:int>>")), F.lit(0).cast("long"), lambda n, r: n + r["length"])
     return found.select(
-        "doc_id", F.size(lines).cast("long").alias("n_lines"), dropped.alias("n_dropped"), F.sha2(line_dedup.kept_lines(F.col("text"), F.col("dropped")), 256).alias("kept_sha256")
+        "doc_id", F.size(lines).cast("long").alias("n_lines"), _run_lengths("dropped").alias("n_dropped"), F.sha2(line_dedup.kept_lines(F.col("text"), F.col("dropped")), 256).alias("kept_sha256")
     )
 
 
@@ -66,6 +81,7 @@ QUERIES = {
     "op2_mixing": mixture,
     "op5_chat_format": chat_format,
     "op6_decontamination": decontaminate,
+    "op7_span_dedup": span_dedup_digest,
     "op8_embedding_near_dup": embedding_near_dup,
     "op9_line_dedup": line_dedup_digest,
     "op10_license_scan": license_scan,
