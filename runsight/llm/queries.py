@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsight.llm import chat, decontamination, embedding_dedup, licenses, line_dedup, mixing, near_dup, span_dedup
+from runsight.llm import chat, decontamination, embedding_dedup, licenses, line_dedup, mixing, near_dup, span_dedup, toxicity
 from runsight.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -21,6 +21,15 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic_tokens", spans.alias("spans")
+    )
+
+
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -79,6 +88,7 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dup": near_dup_minhash,
     "op2_mixing": mixture,
+    "op3_toxicity": toxicity_scores,
     "op5_chat_format": chat_format,
     "op6_decontamination": decontaminate,
     "op7_span_dedup": span_dedup_digest,
