@@ -29,10 +29,11 @@ EDITS = 0.2
 MIN_WORDS = 8
 """Shorter items are no passage that could be told from chance; they are not searched. Any longer one keeps a triple (see above)."""
 ITEMS_PER_BLOCK, WORDS_PER_BLOCK = 5_000, 500_000
-SAMPLED, BANDS = 2, 80
+SAMPLED, BANDS = 2, 160
 """Two walks that agree in a quarter of their positions, as after edits of a fifth of the words, share a sample with probability
-1 - (1 - 1/16)^80 = 0.994; windows that start a few words off are further tries."""
+1 - (1 - 1/16)^160 = 0.99997; windows that start a few words off are further tries."""
 WINDOWS_AT_ONCE = 5_000
+WORDS_AT_ONCE = 2_000_000
 
 _SPACES = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -64,12 +65,12 @@ def walk(windows: np.ndarray) -> np.ndarray:
 
 
 def samples(windows: np.ndarray) -> np.ndarray:
-    """For each sequence (row) and band, a hash of the sampled positions of its walk."""
+    """For each sequence (row) and band (column), a hash of the band and the sampled positions of its walk."""
     size = windows.shape[1]
     walked = walk(windows)
     # A walk moves on at every second step, so after twice the size it mostly stands behind the end, where all walks agree.
     places = np.random.default_rng(size + 1_000_000).integers(0, 2 * size, (BANDS, SAMPLED))
-    keys = np.zeros((BANDS, walked.shape[1]), np.uint64)
+    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], walked.shape[1], axis=1)
     for i in range(SAMPLED):
         keys = (keys ^ (keys >> np.uint64(29))) * _MIX + walked[places[:, i]]
     return keys.T
@@ -93,8 +94,12 @@ def nearest_part(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class ItemIndex:
     """A block of items, grouped by their number of words."""
 
-    by_size: dict[int, tuple[list[int], list[np.ndarray], np.ndarray]]
+    by_size: dict[int, tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]]
+    """By number of words: ids, words, samples in order, and whose samples they are."""
     triples: np.ndarray
+    first: np.ndarray
+    sizes: np.ndarray
+    """The sizes of the items that hold the triple number i are sizes[first[i] : first[i + 1]]."""
     edits: float
 
     @staticmethod
@@ -102,9 +107,15 @@ class ItemIndex:
         groups: dict[int, list] = defaultdict(list)
         for item_id, words in items:
             groups[len(words)].append((item_id, words))
-        by_size = {n: ([i for i, _ in group], [w for _, w in group], samples(np.stack([w for _, w in group]))) for n, group in sorted(groups.items())}
-        triples = np.unique(np.concatenate([_triples(w) for _, w in items] or [np.empty(0, np.uint64)]))
-        return ItemIndex(by_size, triples, edits)
+        by_size = {}
+        for n, group in sorted(groups.items()):
+            keys = samples(np.stack([w for _, w in group])).ravel()
+            order = np.argsort(keys, kind="stable")
+            by_size[n] = [i for i, _ in group], [w for _, w in group], keys[order], order // BANDS
+        held = {(int(t), len(words)) for _, words in items for t in _triples(words)}
+        both = np.array(sorted(held), np.uint64).reshape(-1, 2)
+        triples, first = np.unique(both[:, 0], return_index=True)
+        return ItemIndex(by_size, triples, np.append(first, len(both)), both[:, 1].astype(np.int64), edits)
 
     def allowed(self, size: int) -> int:
         return int(size * self.edits + 1e-9)
@@ -113,30 +124,36 @@ class ItemIndex:
         """A part of a text within the allowed edits of an item holds so many of the item's word triples."""
         return max(1, size - 2 - 3 * self.allowed(size))
 
-    def starts(self, held: np.ndarray, size: int) -> np.ndarray:
-        """Where windows of `size` words may begin an alike part; held: the running number of items' triples.
+    def starts(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each size, where windows may begin a part alike to an item of that size.
 
         A part that begins there is at most the allowed edits longer than the item, so the triples are counted that far.
         """
-        count = len(held) - 1
-        begins = np.arange(count)
-        ends = np.minimum(begins + size - 2 + self.allowed(size), count)
-        return begins[held[ends] - held[begins] >= self.least_triples(size)]
+        triples = _triples(words)
+        number = np.searchsorted(self.triples, triples)
+        number[number == len(self.triples)] = 0
+        places = np.flatnonzero(self.triples[number] == triples)
+        if not len(places):
+            return
+        number = number[places]
+        many = self.first[number + 1] - self.first[number]
+        ahead = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        sizes, places = self.sizes[np.repeat(self.first[number], many) + ahead], np.repeat(places, many)
+        for size, count in zip(*np.unique(sizes, return_counts=True)):
+            if count >= self.least_triples(size):
+                held = np.concatenate([[0], np.cumsum(np.bincount(places[sizes == size], minlength=len(triples)))])
+                begins = np.arange(len(triples))
+                ends = np.minimum(begins + size - 2 + self.allowed(size), len(triples))
+                begins = begins[held[ends] - held[begins] >= self.least_triples(size)]
+                if len(begins):
+                    yield int(size), begins
 
     def search(self, docs: list[tuple[int, np.ndarray]]) -> list[tuple]:
         windows: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for n, (_, words) in enumerate(docs):
-            if len(words) < 3:
-                continue
-            triples = _triples(words)
-            at = np.searchsorted(self.triples, triples)
-            at[at == len(self.triples)] = 0
-            held = np.concatenate([[0], np.cumsum(self.triples[at] == triples)])
-            if not held[-1]:
-                continue
-            for size in self.by_size:
-                if held[-1] >= self.least_triples(size) and len(starts := self.starts(held, size)):
-                    windows[size].append((n, starts))
+            if len(words) >= 3:
+                for size, begins in self.starts(words):
+                    windows[size].append((n, begins))
         rows = []
         for size, found in windows.items():
             owners = np.concatenate([np.full(len(starts), n) for n, starts in found])
@@ -158,24 +175,23 @@ class ItemIndex:
 
     def _candidates(self, docs, owners, begins, size) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs that agree in a band, each once."""
-        keys = self.by_size[size][2]
+        ids, _, known, whose = self.by_size[size]
         texts = np.full((len(owners), size), _PAD, np.uint64)
         for row, (n, start) in enumerate(zip(owners, begins)):
             words = docs[n][1][start : start + size]
             texts[row, : len(words)] = words
-        codes = []
-        for band, own in enumerate(samples(texts).T):
-            order = np.argsort(keys[:, band], kind="stable")
-            known = keys[order, band]
-            low, high = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
-            many = high - low
-            ahead = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            codes.append(np.repeat(np.arange(len(own)), many) * len(keys) + order[np.repeat(low, many) + ahead])
-        return np.divmod(np.unique(np.concatenate(codes)), len(keys))
+        own = samples(texts).ravel()
+        low = np.searchsorted(known, own, "left")
+        met = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == own)
+        low = low[met]
+        many = np.searchsorted(known, own[met], "right") - low
+        ahead = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        pairs = np.repeat(met // BANDS, many) * len(ids) + whose[np.repeat(low, many) + ahead]
+        return np.divmod(np.unique(pairs), len(ids))
 
     def _verified(self, doc, size, item, begins) -> tuple | None:
         """The best of the item's places in the document, the first of equals. Overlapping windows are one place."""
-        ids, texts, _ = self.by_size[size]
+        ids, texts = self.by_size[size][:2]
         doc_id, words = doc
         allowed, best, own = self.allowed(size), None, _triples(texts[item])
         edges = np.flatnonzero(np.diff(begins) > size)
@@ -205,12 +221,22 @@ def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
         yield block
 
 
+def _in_parts(ids: list, texts: pa.Array) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The texts' words, so many texts at a time that the work for a block of items pays and memory is bounded."""
+    part, size = [], 0
+    for doc_id, text in zip(ids, texts):
+        part.append((doc_id, words_of(text.as_py())))
+        size += len(part[-1][1])
+        if size > WORDS_AT_ONCE:
+            yield part
+            part, size = [], 0
+    yield part
+
+
 def _searching(index: ItemIndex):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                docs = [(i, words_of(text)) for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+            for docs in _in_parts(batch.column(0).to_pylist(), batch.column(1)):
                 rows = index.search(docs)
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                 columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(types)]
@@ -247,11 +273,9 @@ def without_items(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> Da
 def _filtering(index: ItemIndex, column: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                rows = index.search([(i, words_of(text)) for i, text in enumerate(part.column(column).to_pylist())])
-                keep = np.ones(part.num_rows, bool)
-                keep[[row[0] for row in rows]] = False
-                yield part.filter(pa.array(keep))
+            keep = np.ones(batch.num_rows, bool)
+            for docs in _in_parts(list(range(batch.num_rows)), batch.column(column)):
+                keep[[row[0] for row in index.search(docs)]] = False
+            yield batch.filter(pa.array(keep))
 
     return work
