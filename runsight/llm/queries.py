@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsight.llm import chat, decontamination, embedding_dedup, licenses, line_dedup, mixing, near_dup, span_dedup, toxicity
+from runsight.llm import chat, decontamination, embedding_dedup, licenses, line_dedup, mixing, near_dup, pii, span_dedup, toxicity
 from runsight.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -30,6 +30,17 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def of(kind: int) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [of(place).alias(f"n_{kind}") for place, kind in enumerate(pii.KINDS, 1)]
+    return found.select("doc_id", *counts, F.sha2(pii.described(base), 256).alias("base_sha256"), pii.described(F.col("spans")).alias("spans"))
+
+
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -89,6 +100,7 @@ QUERIES = {
     "op1_near_dup": near_dup_minhash,
     "op2_mixing": mixture,
     "op3_toxicity": toxicity_scores,
+    "op4_personal_data": personal_data,
     "op5_chat_format": chat_format,
     "op6_decontamination": decontaminate,
     "op7_span_dedup": span_dedup_digest,
