@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsight.llm.components import connected_components
@@ -235,3 +235,17 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     met = met.select("band", F.col("rep").alias("doc_id"), F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high"))
     stars = met.join(sets, "doc_id").groupBy("band", "low", "high").applyInArrow(_block_stars(percent), "a long, b long")
     return links.union(stars.distinct())
+
+
+def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all their columns, of which `near_duplicates` keeps one per component: that with the smallest id.
+
+    Rows without an id all stay. Of several rows of one id, that with the smallest text stays.
+    """
+    found = near_duplicates(docs, size, percent).filter("kept AND doc_id IS NOT NULL")
+    kept = found.groupBy(F.col("doc_id").alias("_kept")).agg((F.count(F.lit(1)) > 1).alias("_repeated"))
+    known = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"))
+    # Texts are only compared where an id is repeated.
+    order = Window.partitionBy("_kept").orderBy(F.when(F.col("_repeated"), F.col("text")).asc_nulls_last())
+    one = known.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*docs.columns)
+    return one.unionByName(docs.filter("doc_id IS NULL"))
