@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runsight.llm.text import ROW_KEY, WHITESPACE, hash_pair, identified, lower_ascii, outside, runs
+from runsight.llm.text import ROW_KEY, WHITESPACE, hash_pair, identified, lower_ascii, outside, runs, whole_row
 from runsight.sources.staging import stage
 
 MIN_CHARS = 40
@@ -72,7 +72,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
 
     A null text stays null. A text that loses all its lines becomes empty. Other columns are passed on unchanged.
     """
-    keys = identified(docs, docs.columns)
-    found = keys.join(keep_bitmaps(docs, min_chars, min_documents), list(ROW_KEY), "left")
-    text = F.when(F.col("dropped").isNotNull(), kept_lines(F.col("text"), F.col("dropped"))).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    found = identified(docs, [whole_row(docs)]).join(keep_bitmaps(docs, min_chars, min_documents), list(ROW_KEY), "left")
+    text = F.col("_all.text")
+    text = F.when(F.col("dropped").isNotNull(), kept_lines(text, F.col("dropped"))).otherwise(text)
+    return found.select(F.col("_all").withField("text", text).alias("_all")).select("_all.*")

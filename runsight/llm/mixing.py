@@ -37,7 +37,7 @@ def source_targets(totals: DataFrame, weights: DataFrame, max_epochs: int = MAX_
         "source", "source_size", "source_rows", F.coalesce(F.greatest("weight", F.lit(0)), F.lit(0)).alias("_weight")
     )
     cap = F.col("_cap").cast("decimal(38,0)")
-    by_ratio = Window.orderBy((F.col("_cap") / F.col("_weight")).asc_nulls_last(), F.col("source").asc_nulls_last())
+    by_ratio = Window.orderBy(F.try_divide("_cap", "_weight").asc_nulls_last(), F.col("source").asc_nulls_last())
     after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -51,7 +51,7 @@ def source_targets(totals: DataFrame, weights: DataFrame, max_epochs: int = MAX_
     marked = levels.withColumn("_full", (F.col("_weight") > 0) & full)
     rest = F.col("_all") - F.coalesce(F.sum(F.when(F.col("_full"), F.col("_cap"))).over(everything), F.lit(0))
     share = F.coalesce(F.sum(F.when(~F.col("_full"), F.col("_weight"))).over(everything), F.lit(0))
-    target = F.when(F.col("_full"), F.col("_cap").cast("double")).when(F.col("_weight") == 0, F.lit(0.0)).otherwise(rest.cast("double") * F.col("_weight") / share)
+    target = F.when(F.col("_full"), F.col("_cap").cast("double")).when(F.col("_weight") == 0, F.lit(0.0)).otherwise(F.try_divide(rest.cast("double") * F.col("_weight"), share))
     return marked.select("source", "source_size", "source_rows", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 

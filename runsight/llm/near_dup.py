@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsight.llm.components import connected_components
+from runsight.llm.text import whole_row
 from runsight.sources.staging import stage
 
 ROWS, BANDS = 4, 20
@@ -244,8 +245,8 @@ def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     """
     found = near_duplicates(docs, size, percent).filter("kept AND doc_id IS NOT NULL")
     kept = found.groupBy(F.col("doc_id").alias("_kept")).agg((F.count(F.lit(1)) > 1).alias("_repeated"))
-    known = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"))
+    known = docs.filter("doc_id IS NOT NULL").select(whole_row(docs)).join(kept, F.col("_all.doc_id") == F.col("_kept"))
     # Texts are only compared where an id is repeated.
-    order = Window.partitionBy("_kept").orderBy(F.when(F.col("_repeated"), F.col("text")).asc_nulls_last())
-    one = known.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*docs.columns)
+    order = Window.partitionBy("_kept").orderBy(F.when(F.col("_repeated"), F.col("_all.text")).asc_nulls_last())
+    one = known.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select("_all.*")
     return one.unionByName(docs.filter("doc_id IS NULL"))

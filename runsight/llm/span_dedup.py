@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsight.llm.text import ROW_KEY, identified, lower_ascii, outside, runs
+from runsight.llm.text import ROW_KEY, identified, lower_ascii, outside, runs, whole_row
 from runsight.sources.staging import stage
 
 SENTENCE = r"[^.!?\n]*[.!?\n][.!?\n \t\x0B\f\r]*|[^.!?\n]+"
@@ -75,9 +75,10 @@ def kept_sentences(text: Column, removed: Column) -> Column:
 
 def dedup_spans(docs: DataFrame, **limits: int) -> DataFrame:
     """The same rows and columns, with repeated spans taken out of `text`. A null text stays null; one that loses everything is empty."""
-    found = identified(docs, docs.columns).join(removed_sentences(docs, **limits), list(ROW_KEY), "left")
-    text = F.when(F.col("removed").isNotNull(), kept_sentences(F.col("text"), F.col("removed"))).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    found = identified(docs, [whole_row(docs)]).join(removed_sentences(docs, **limits), list(ROW_KEY), "left")
+    text = F.col("_all.text")
+    text = F.when(F.col("removed").isNotNull(), kept_sentences(text, F.col("removed"))).otherwise(text)
+    return found.select(F.col("_all").withField("text", text).alias("_all")).select("_all.*")
 
 
 def changed_documents(docs: DataFrame, **limits: int) -> DataFrame:

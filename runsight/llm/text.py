@@ -30,12 +30,17 @@ def hash_pair(*values: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(0), *values), F.xxhash64(F.lit(1), *values)
 
 
-def identified(docs: DataFrame, columns: Sequence[str] = ("doc_id", "text")) -> DataFrame:
+def identified(docs: DataFrame, columns: Sequence[Column | str] = ("doc_id", "text")) -> DataFrame:
     """The named columns of each row and its ROW_KEY, which works for null and repeated ids as well."""
     first, second = hash_pair(F.col("doc_id"), F.col("text"))
     return docs.select(*columns, first.alias(ROW_KEY[0]), second.alias(ROW_KEY[1]))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, so that their names can't clash with those an operator adds; `select("_all.*")` gives them back."""
+    return F.struct(*[F.col("`" + name.replace("`", "``") + "`") for name in docs.columns]).alias("_all")
+
+
 def runs(positions: Column) -> Column:
     """Distinct positions as runs of (start, length), in linear time: a start has no predecessor, an end no successor."""
     starts = F.array_sort(F.array_except(positions, F.transform(positions, lambda x: x + 1)))

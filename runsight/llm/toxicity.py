@@ -284,26 +284,35 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return model
 
 
-def _scoring(model: Model, column: int | None):
-    """Scores of (doc_id, text), or, with `column` that of the text, the batch's own rows and their scores."""
-
+def _scoring(model: Model):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
         for batch in batches:
             scores, counts, spans = [], [], []
-            for text in batch.column(1 if column is None else column).to_pylist():
-                count, hits = model.numbers.hits(text)
-                marginals = model.marginals(count, hits) if hits else []
-                scores.append(model.score(count, marginals))
+            for text in batch.column(1):
+                text = text.as_py()
+                marginals, value = _judge(model, text)
+                scores.append(value)
                 bad = {i: p for i, p in marginals if p >= MARGINAL}
                 counts.append(len(bad))
                 places = enumerate(TOKEN.finditer(text)) if bad else ()
                 spans.append([{"start": m.start(), "end": m.end(), "marginal": bad[i]} for i, m in places if i in bad])
-            if column is None:
-                arrays = [batch.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(spans, kind)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "toxic_tokens", "spans"])
-            else:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "_toxicity"])
+            arrays = [batch.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "toxic_tokens", "spans"])
+
+    return work
+
+
+def _judge(model: Model, text: str | None) -> tuple[list[tuple[int, float]], float]:
+    count, hits = model.numbers.hits(text)
+    marginals = model.marginals(count, hits) if hits else []
+    return marginals, model.score(count, marginals)
+
+
+def _filtering(model: Model, column: int, below: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_judge(model, text.as_py())[1] < below for text in batch.column(column)], pa.bool_()))
 
     return work
 
@@ -313,10 +322,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Each row is scored by its text alone. Null and empty texts have the score of a text without telling words, and no spans.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scoring(model, None), SCORED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scoring(model), SCORED)
 
 
 def less_toxic(docs: DataFrame, model: Model, below: float = 0.3) -> DataFrame:
     """The rows of `docs`, with all their columns, whose text scores below the limit. Rows are judged where they are, without a join."""
-    scored = docs.mapInArrow(_scoring(model, docs.columns.index("text")), docs.schema.simpleString()[7:-1] + ",_toxicity:double")
-    return scored.filter(F.col("_toxicity") < below).drop("_toxicity")
+    return docs.mapInArrow(_filtering(model, docs.columns.index("text"), below), docs.schema)
