@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,11 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col("`" + name.replace("`", "``") + "`") for name in docs.columns]).alias("_all")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row, also where `use` reads it for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def runs(positions: Column) -> Column:
     """Distinct positions as runs of (start, length), in linear time: a start has no predecessor, an end no successor."""
     starts = F.array_sort(F.array_except(positions, F.transform(positions, lambda x: x + 1)))
@@ -50,8 +55,11 @@ def runs(positions: Column) -> Column:
 
 def outside(items: Column, removed: Column) -> Column:
     """The items whose position is in none of the runs (null: no run), in linear time."""
-    last = F.size(items) - 1
     gone = F.flatten(F.transform(removed, lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
-    # An index past the end yields null, so the empty list needs no case of its own.
-    kept = F.array_except(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), gone)
-    return F.when(F.coalesce(F.size(removed), F.lit(0)) <= 0, items).otherwise(F.transform(kept, lambda i: F.get(items, i)))
+
+    def kept(each: Column) -> Column:
+        # An index past the end yields null, so the empty list needs no case of its own.
+        places = F.array_except(F.sequence(F.lit(0), F.greatest(F.size(each) - 1, F.lit(0))), gone)
+        return F.transform(places, lambda i: F.get(each, i))
+
+    return F.when(F.coalesce(F.size(removed), F.lit(0)) <= 0, items).otherwise(bound(items, kept))
