@@ -26,7 +26,8 @@ def split_lines(text: Column) -> Column:
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """Each line of at least `min_chars` code points as (ROW_KEY, doc_id, position, hashes of its key)."""
-    lines = identified(docs).select("doc_id", *ROW_KEY, F.posexplode(split_lines(F.col("text"))).alias("position", "_line"))
+    # The outer form, since for the other the optimizer would split each text once more, to test whether there are lines.
+    lines = identified(docs).select("doc_id", *ROW_KEY, F.posexplode_outer(split_lines(F.col("text"))).alias("position", "_line"))
     keys = lines.withColumn("_key", F.trim("_line", F.lit(WHITESPACE))).filter(F.length("_key") >= min_chars)
     first, second = hash_pair(lower_ascii(F.col("_key")))
     return keys.select("doc_id", *ROW_KEY, "position", first.alias(_LINE[0]), second.alias(_LINE[1]))

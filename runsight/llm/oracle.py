@@ -97,8 +97,8 @@ _SENTENCE = r"[^.!?\n]*[.!?\n][.!?\n \t\x0B\f\r]*|[^.!?\n]+"
 _SPANS = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_SENTENCE}') AS sentences FROM documents),
 each AS (SELECT r, doc_id, i, sentences[i] AS sentence FROM (SELECT *, unnest(range(1, len(sentences) + 1)) AS i FROM docs)),
-plain AS (SELECT *, trim(regexp_replace({_lower("sentence")}, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS s FROM each),
-sized AS (SELECT *, len(regexp_extract_all(s, '{_WORD}')) AS w FROM plain),
+plain AS (SELECT *, trim(regexp_replace({_lower("sentence")}, '[ \t\x0B\f\r]+', ' ', 'g'), ' ' || chr(10)) AS s FROM each),
+sized AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE length(s) - length(replace(s, ' ', '')) + 1 END AS w FROM plain),
 next AS (SELECT *, lead(s) OVER x AS s2, lead(w) OVER x AS w2 FROM sized WINDOW x AS (PARTITION BY r ORDER BY i)),
 spans AS (SELECT r, doc_id, i, 2 AS n, [s, s2] AS span FROM next WHERE s2 IS NOT NULL AND w + w2 >= 12
     UNION ALL SELECT r, doc_id, i, 1, [s] FROM next WHERE w >= 30),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsight.llm.text import ROW_KEY, identified, lower_ascii, outside, runs, whole_row
+from runsight.llm.text import ROW_KEY, bound, identified, lower_ascii, outside, runs, whole_row
 from runsight.sources.staging import stage
 
 SENTENCE = r"[^.!?\n]*[.!?\n][.!?\n \t\x0B\f\r]*|[^.!?\n]+"
@@ -27,12 +27,13 @@ def split_sentences(text: Column) -> Column:
 
 def _hashed_sentences(text: Column) -> Column:
     """Two hashes and the number of words of each sentence."""
-    plain = F.transform(split_sentences(lower_ascii(text)), lambda s: F.trim(F.regexp_replace(s, r"[ \t\n\x0B\f\r]+", " ")))
+    plain = split_sentences(F.regexp_replace(lower_ascii(text), r"[ \t\x0B\f\r]+", " "))
     words = lambda s: F.when(s == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
-    return F.transform(plain, lambda s: F.struct(F.xxhash64(F.lit(0), s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"), words(s).alias("w")))
+    known = lambda s: F.struct(F.xxhash64(F.lit(0), s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"), words(s).alias("w"))
+    return F.transform(F.transform(plain, lambda s: F.trim(s, F.lit(" \n"))), known)
 
 
-def _spans(hashed: str, length: int, min_words: int) -> Column:
+def _spans(hashed: Column, length: int, min_words: int) -> Column:
     """(position, length, two hashes) of each run of `length` sentences with enough words."""
 
     def span(i: Column) -> Column:
@@ -41,19 +42,20 @@ def _spans(hashed: str, length: int, min_words: int) -> Column:
         hashes = [F.xxhash64(F.lit(length), *[p[x] for p in parts]).alias(x) for x in "ab"]
         return F.when(words >= min_words, F.struct(i.alias("position"), F.lit(length).alias("length"), *hashes))
 
-    return F.filter(F.transform(F.sequence(F.lit(0), F.size(hashed) - 1), span), lambda x: x.isNotNull())
+    # An index past the end yields null, so a text without sentences needs no case of its own.
+    return F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(hashed) - 1, F.lit(0))), span), lambda x: x.isNotNull())
 
 
 def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
     """Each occurrence of a span but the first: ROW_KEY, position, length, first_doc_id.
 
-    Spans are equal if their sentences are, with A-Z in lower case and runs of ASCII whitespace as one space. A span is a run of
+    Spans are equal if their sentences are, with A-Z in lower case, runs of whitespace as one space, and none at the ends. A span is a run of
     `sentences` sentences with at least `min_words` words, or one sentence with at least `long_sentence` words. The first
     occurrence is that of the smallest doc_id, then of the smallest position; rows without an id come first. Repeated rows are one occurrence, so each of them keeps its text.
     """
-    rows = identified(docs).withColumn("_hashed", _hashed_sentences(F.col("text"))).filter(F.size("_hashed") > 0)
-    spans = F.concat(_spans("_hashed", sentences, min_words), _spans("_hashed", 1, long_sentence))
-    found = rows.select("doc_id", *ROW_KEY, F.explode(spans).alias("_s"))
+    spans = bound(_hashed_sentences(F.col("text")), lambda known: F.concat(_spans(known, sentences, min_words), _spans(known, 1, long_sentence)))
+    # The outer form, since for the other the optimizer would compute the spans once more, to test whether there are any.
+    found = identified(docs).select("doc_id", *ROW_KEY, F.explode_outer(spans).alias("_s")).filter("_s IS NOT NULL")
     found = found.select("doc_id", *ROW_KEY, "_s.position", "_s.length", F.col("_s.a").alias(_SPAN[0]), F.col("_s.b").alias(_SPAN[1]))
     often = found.groupBy(*_SPAN).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     occurrences = stage(found.join(often, list(_SPAN)), "span_occurrences")
