@@ -50,7 +50,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     # The digest of a line is that of a text of this line alone. Lines are distinct in a document before they are joined.
     units = lines.select("doc_id", *ROW_KEY, canonical_digest(F.col("_lines")).alias("digest"), F.transform(F.array_distinct("_lines"), lambda x: F.sha2(x, 256)).alias("_of_lines"))
     by_line = known.select(F.col("digest").alias("_digest"), F.col("licence").alias("_notice"))
-    found = units.select(*ROW_KEY, F.explode("_of_lines").alias("_digest")).join(by_line, "_digest")
+    found = units.select(*ROW_KEY, F.explode_outer("_of_lines").alias("_digest")).join(by_line, "_digest")
     notices = found.groupBy(*ROW_KEY).agg(F.array_sort(F.collect_set("_notice")).alias("notices"))
     whole = units.select("doc_id", *ROW_KEY, "digest").join(known, "digest", "left").join(notices, list(ROW_KEY), "left")
     return whole.select("doc_id", "digest", "licence", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
