@@ -13,10 +13,10 @@ from checks.tables import load, stored
 from runsight.functions import canonical_name
 from runsight.operators.group_stats import group_stats
 from runsight.operators.inference import peak_concurrency
-from runsight.operators.manifest import file_history, size_report
+from runsight.operators.manifest import file_history, size_report, size_report_of_actions
 from runsight.operators.outliers import Thresholds, add_group_outliers, classify
 from runsight.operators.windows import attach_window
-from runsight.sources import append_labelled, materialize, parse_actions, read_json_dir
+from runsight.sources import append_labelled, materialize, parse_actions, read_actions, read_json_dir
 from runsight.sources.staging import scratch_path, stage
 
 DAY_MS = 86_400_000
@@ -161,9 +161,7 @@ def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf_dir: str, only_in_retention: bool) -> DataFrame:
-    lines = stored(spark, sf_dir, "commit_lines", lambda: stage(commit_lines(spark, sf_dir), "commit_lines"))
-    actions = stage(parse_actions(lines, TABLES), "actions")
-    return file_history(actions, NOW, only_in_retention)
+    return file_history(_actions(spark, sf_dir), NOW, only_in_retention)
 
 
 def _manifest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +169,49 @@ def _manifest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("version_timestamp", F.date_format("version_timestamp", "yyyy-MM-dd"))
 
 
+FIRST_COMMIT = 40
+"""From here on the third table has commits; a checkpoint stands for the others."""
+
+
+def _write_logs(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The same commit logs as files in the shared folder: one location holds a space, one table begins with a checkpoint."""
+    root = scratch_path(spark, "commit logs")
+    lines = stored(spark, sf_dir, "commit_lines", lambda: stage(commit_lines(spark, sf_dir), "commit_lines"))
+    actions = parse_actions(lines, {name: place for name, place in TABLES.items() if name.endswith("3")})
+    state = (
+        actions.filter((F.col("version") <= FIRST_COMMIT) & F.col("action").isin("add", "remove"))
+        .groupBy("file_name")
+        .agg(F.max_by(F.struct("action", "file_size"), "version").alias("last"))
+        .filter("last.action = 'add'")
+        .select(F.struct(F.col("file_name").alias("path"), F.col("last.file_size").alias("size")).alias("add"))
+    )
+    state.coalesce(1).write.parquet(f"{root}/state")
+    table = F.regexp_extract("path", r"orders_p([0-9])", 1)
+    version = F.regexp_extract("path", r"([0-9]{20})\.json$", 1)
+    files = lines.select(table.alias("table"), version.alias("version"), "value")
+    files = files.filter((F.col("table") != "3") | (F.col("version").cast("int") >= FIRST_COMMIT))
+    files.repartition("table", "version").write.partitionBy("table", "version").text(f"{root}/parts")
+    # Only names are changed from here: the writer's to those of a commit log.
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    locations = {name: f"{root}/lake/orders {name[-2:]}" if name.endswith("2") else f"{root}/lake/{name[-2:]}" for name in TABLES}
+    for name, location in locations.items():
+        system.mkdirs(path(f"{location}/_delta_log"))
+        for folder in system.listStatus(path(f"{root}/parts/table={name[-1]}")):
+            for part in system.globStatus(path(folder.getPath(), "part-*")):
+                system.rename(part.getPath(), path(f"{location}/_delta_log/{folder.getPath().getName().removeprefix('version=')}.json"))
+    for part in system.globStatus(path(f"{root}/state/part-*")):
+        system.rename(part.getPath(), path(f"{locations['shop.orders_p3']}/_delta_log/{FIRST_COMMIT:020d}.checkpoint.parquet"))
+    return locations
+
+
+def _manifest_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file history of commit logs on disk: commits, and a checkpoint where commits are gone."""
+    actions = stage(read_actions(spark, _write_logs(spark, sf_dir)), "actions")
+    rows = file_history(actions, NOW, True)
+    return rows.drop("table_location").withColumn("version_timestamp", F.date_format("version_timestamp", "yyyy-MM-dd"))
+
+
 def _manifest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _history(spark, sf_dir, False)
@@ -179,8 +220,17 @@ def _manifest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = stored(spark, sf_dir, "commit_lines", lambda: stage(commit_lines(spark, sf_dir), "commit_lines"))
+    return stage(parse_actions(lines, TABLES), "actions")
+
+
 def _manifest_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return size_report(_history(spark, sf_dir, False))
+    return size_report_of_actions(_actions(spark, sf_dir), NOW)
+
+
+def _manifest_sizes_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return size_report(stage(_history(spark, sf_dir, False), "manifest"))
 
 
 def _peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,8 +278,10 @@ QUERIES = {
     "flag_outliers_large_groups": partial(_event_outliers, key="event_type", hot_rows=1, split_rows=1),
     "outlier_score": _outlier_score,
     "manifest_history": _manifest_history,
+    "manifest_from_files": _manifest_from_files,
     "manifest_versions": _manifest_versions,
     "manifest_sizes": _manifest_sizes,
+    "manifest_sizes_from_table": _manifest_sizes_from_table,
     "peak_concurrency": _peak_concurrency,
     "sink_roundtrip": _sink_roundtrip,
     "json_dir": _json_dir,
@@ -313,6 +365,23 @@ history AS (
 
 _DAILY_SQL = """SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY ALL"""
 
+_SIZES_SQL = (
+    _MANIFEST_SQL
+    + """, files AS (
+  SELECT table_name, file_name, file_size, max(CAST(table_version_number = newest AS INT)) AS latest, max(in_retention_period) AS kept
+  FROM (SELECT *, max(table_version_number) OVER (PARTITION BY table_name) AS newest FROM history) GROUP BY ALL
+),
+kinds AS (
+  SELECT 'latest' AS type, table_name, count(*) AS num_files, CAST(sum(file_size) AS BIGINT) AS total_file_size FROM files WHERE latest = 1 GROUP BY ALL
+  UNION ALL SELECT 'in_retention', table_name, count(*), CAST(sum(file_size) AS BIGINT) FROM files WHERE kept = 1 GROUP BY ALL
+  UNION ALL SELECT 'all', table_name, count(*), CAST(sum(file_size) AS BIGINT) FROM files GROUP BY ALL
+),
+ranks AS (
+  SELECT table_name, CAST(row_number() OVER (ORDER BY total_file_size DESC, table_name) AS INT) AS table_rank FROM kinds WHERE type = 'in_retention'
+)
+SELECT * FROM kinds JOIN ranks USING (table_name)"""
+)
+
 ORACLE = {
     "canonical_names": """SELECT p_partkey, lower(regexp_replace(p_name, '[^a-zA-Z0-9_]+', '_', 'g')) AS name,
   lower(regexp_replace(p_type || ' (p)', '[^a-zA-Z0-9_]+', '_', 'g')) AS type FROM part""",
@@ -330,22 +399,14 @@ ORACLE = {
     + """SELECT overall_score, count(*) AS n, count(*) FILTER (outlier_class = 'unexplained') AS unexplained,
   CAST(sum(gt_median_10) AS BIGINT) AS above_median FROM classed GROUP BY ALL""",
     "manifest_history": _MANIFEST_SQL + "SELECT * FROM history WHERE in_retention_period = 1",
+    "manifest_from_files": _MANIFEST_SQL
+    + f"""SELECT * EXCLUDE (table_location) FROM history WHERE in_retention_period = 1
+  AND NOT (table_name = 'shop.orders_p3' AND table_version_number < {FIRST_COMMIT})""",
     "manifest_versions": _MANIFEST_SQL
     + """SELECT table_name, table_version_number, in_retention_period, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes,
   CAST(sum(latest_version) AS BIGINT) AS still_live FROM history GROUP BY ALL""",
-    "manifest_sizes": _MANIFEST_SQL
-    + """, files AS (
-  SELECT table_name, file_name, file_size, max(latest_version) AS latest, max(in_retention_period) AS kept FROM history GROUP BY ALL
-),
-kinds AS (
-  SELECT 'latest' AS type, table_name, count(*) AS num_files, CAST(sum(file_size) AS BIGINT) AS total_file_size FROM files WHERE latest = 1 GROUP BY ALL
-  UNION ALL SELECT 'in_retention', table_name, count(*), CAST(sum(file_size) AS BIGINT) FROM files WHERE kept = 1 GROUP BY ALL
-  UNION ALL SELECT 'all', table_name, count(*), CAST(sum(file_size) AS BIGINT) FROM files GROUP BY ALL
-),
-ranks AS (
-  SELECT table_name, CAST(row_number() OVER (ORDER BY total_file_size DESC, table_name) AS INT) AS table_rank FROM kinds WHERE type = 'in_retention'
-)
-SELECT * FROM kinds JOIN ranks USING (table_name)""",
+    "manifest_sizes": _SIZES_SQL,
+    "manifest_sizes_from_table": _SIZES_SQL,
     "peak_concurrency": """WITH c AS (
   SELECT event_type, epoch_us(ts) // 1000 AS began, CAST(round(value * 1000) AS BIGINT) * 60 AS took FROM events
 ),

@@ -13,8 +13,6 @@ from runsight.operators.skew import HotGroups, find_hot_groups
 CELLS_PER_TASK = 4_000_000
 """Metric values of one group that one task may hold for the built-in exact percentile."""
 
-MOST_RANGES = 50_000
-
 
 def percentile_label(probability: float) -> str:
     return f"p{probability * 100:g}".replace(".", "_")
@@ -52,7 +50,7 @@ def exact_percentiles(
         return df.groupBy(*keys).agg(*extra, *_exact(values, probabilities))
     large, rows = (hot.rows_of(df), hot.rows) if hot.complete else (df, df.count())
     ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows * len(values) // CELLS_PER_TASK))
-    by_range = percentiles_by_range(large, keys, values, probabilities, min(ranges, MOST_RANGES))
+    by_range = percentiles_by_range(large, keys, values, probabilities, ranges)
     by_range = by_range.select(*keys, *[F.col(name).alias(f"_q_{name}") for name in values])
     if extra:
         by_range = _join_by_group(large.groupBy(*keys).agg(*extra), by_range, keys)

@@ -13,6 +13,8 @@ from runsight.sources.staging import stage
 
 TABLE = ("table_name", "table_location")
 DEFAULT_RETENTION = "interval 7 days"
+BROADCAST_VERSIONS = 500_000
+"""Most table versions that are sent to every executor, by default."""
 
 
 def _versions(actions: DataFrame, now: Column, default_retention: str) -> DataFrame:
@@ -76,21 +78,34 @@ def _lifetimes(actions: DataFrame) -> DataFrame:
     )
 
 
+def _moment(now: datetime | Column | None) -> Column:
+    if now is None:
+        return F.current_timestamp()
+    return now if isinstance(now, Column) else F.lit(now).cast("timestamp")
+
+
+def _join_versions(rows: DataFrame, versions: DataFrame, broadcast_versions: int) -> DataFrame:
+    """Rows with what is known of their version. The versions are counted, so that none but a short list is broadcast.
+
+    Where they are many, each has few of the rows; a version that holds most of them is cut by the skew join.
+    """
+    few = versions.limit(broadcast_versions + 1).count() <= broadcast_versions
+    return rows.join(F.broadcast(versions) if few else versions.hint("merge"), [*TABLE, "version"])
+
+
 def file_history(
     actions: DataFrame,
     now: datetime | Column | None = None,
     only_in_retention: bool = True,
     default_retention: str = DEFAULT_RETENTION,
+    broadcast_versions: int = BROADCAST_VERSIONS,
 ) -> DataFrame:
     """One row per table version and live file, from action rows. Reads them twice: pass a stored table.
 
-    Version numbers are whole, so a lifetime lists its versions itself and meets them by equality: no range join.
+    Version numbers are whole, so a lifetime lists its versions itself and meets them by equality: no range join. Up to
+    `broadcast_versions` versions are broadcast after they were counted.
     """
-    if now is None:
-        now = F.current_timestamp()
-    elif not isinstance(now, Column):
-        now = F.lit(now).cast("timestamp")
-    versions = stage(_versions(actions, now, default_retention), "versions")
+    versions = stage(_versions(actions, _moment(now), default_retention), "versions")
     if only_in_retention:
         versions = versions.filter(F.col("in_retention_period") == 1)
     spans = versions.groupBy(*TABLE).agg(
@@ -104,7 +119,7 @@ def file_history(
         .filter(F.col("_from") <= F.col("_to"))
         .select(*TABLE, "file_name", "file_size", "latest_version", F.explode(F.sequence("_from", "_to")).alias("version"))
     )
-    return lived.join(versions.drop("_newest"), [*TABLE, "version"]).select(
+    return _join_versions(lived, versions.drop("_newest"), broadcast_versions).select(
         "table_name",
         "table_location",
         F.col("version").alias("table_version_number"),
@@ -123,11 +138,15 @@ def write_manifest(
     now: datetime | Column | None = None,
     only_in_retention: bool = True,
     path: str | None = None,
+    unusable: str = "error",
 ) -> DataFrame:
-    """File history of `tables` (name to location) as a new table; it must not exist."""
+    """File history of `tables` (name to location) as a new table; it must not exist.
+
+    `unusable` is what to do about tables without a usable commit log, see `read_actions`.
+    """
     if spark.catalog.tableExists(output_table):
         raise ValueError(f"table {output_table} exists")
-    actions = stage(read_actions(spark, tables), "actions")
+    actions = stage(read_actions(spark, tables, unusable), "actions")
     writer = file_history(actions, now, only_in_retention).write.mode("errorifexists")
     if path:
         writer = writer.option("path", path)
@@ -138,11 +157,40 @@ def write_manifest(
 def size_report(manifest: DataFrame) -> DataFrame:
     """Files and bytes per table, for the latest version, the retained versions and all; largest retained first.
 
-    Tables without retained files are left out.
+    Tables without retained files are left out. A file belongs to the latest version if it is in that version with this
+    size; a name that came back with another size counts once there.
     """
     files = manifest.groupBy("table_name", "file_name", "file_size").agg(
-        F.max("latest_version").alias("_latest"), F.max("in_retention_period").alias("_retained")
+        F.max("table_version_number").alias("_last"), F.max("in_retention_period").alias("_retained")
     )
+    newest = manifest.groupBy("table_name").agg(F.max("table_version_number").alias("_newest"))
+    latest = (F.col("_last") == F.col("_newest")).cast("int").alias("_latest")
+    return _size_rows(files.join(newest, "table_name").select("table_name", "file_name", "file_size", latest, "_retained"))
+
+
+def size_report_of_actions(
+    actions: DataFrame,
+    now: datetime | Column | None = None,
+    default_retention: str = DEFAULT_RETENTION,
+    broadcast_versions: int = BROADCAST_VERSIONS,
+) -> DataFrame:
+    """The size report straight from action rows, without a row per version and file. Reads them twice: pass a stored table.
+
+    A lifetime is in the latest version if it has no end, and in a retained one if the first retained version since its
+    start comes before its end.
+    """
+    versions = stage(_versions(actions, _moment(now), default_retention), "versions")
+    onwards = Window.partitionBy(*TABLE).orderBy(F.col("version").desc())
+    kept = F.min(F.when(F.col("in_retention_period") == 1, F.col("version"))).over(onwards)
+    lives = _join_versions(_lifetimes(actions), versions.select(*TABLE, "version", kept.alias("_kept")), broadcast_versions)
+    retained = F.coalesce(F.col("_kept") < F.col("_until"), F.col("_kept").isNotNull())
+    files = lives.groupBy("table_name", "file_name", "file_size").agg(
+        F.max(F.col("_until").isNull().cast("int")).alias("_latest"), F.max(retained.cast("int")).alias("_retained")
+    )
+    return _size_rows(files)
+
+
+def _size_rows(files: DataFrame) -> DataFrame:
     kinds = {"latest": F.col("_latest") == 1, "in_retention": F.col("_retained") == 1, "all": F.lit(True)}
     totals = files.groupBy("table_name").agg(
         *[F.count(F.when(test, 1)).alias(f"_n_{kind}") for kind, test in kinds.items()],

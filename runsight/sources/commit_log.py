@@ -1,13 +1,16 @@
-"""Commit logs of tables: JSON commits and Parquet checkpoints of the open Delta format, as rows of actions.
+"""Commit logs of tables: JSON commits and checkpoints of the open Delta format, as rows of actions.
 
-All tables and versions are read in one job. Nothing checks that the data files exist.
+Checkpoints may be single files, several parts, or named by a UUID as Parquet or JSON with the files listed in sidecars. Log files are
+first listed by name; of the checkpoints, only those needed are read. All tables and versions are read in one job. Nothing checks
+that the data files exist.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+import warnings
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +33,38 @@ _COMMIT = (
     "commitInfo struct<timestamp: bigint, inCommitTimestamp: bigint>"
 )
 _COMMIT_FILE = r"^\d{20}\.json$"
+_CHECKPOINT_FILE = r"^(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10})|\.[0-9a-fA-F-]{36})?\.(parquet|json)$"
+_STATE = f"{_ADD}, {_METADATA}, sidecar struct<path: string>"
 
 
 def _plain(location: Column) -> Column:
-    """A location without scheme and slashes at its ends, to compare a path with its URI."""
-    return F.regexp_replace(location, r"^[A-Za-z0-9]+:/*|^/+|/+$", "")
+    """A URI's path without scheme, authority and slashes at its ends."""
+    return F.regexp_replace(location, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*|^/+|/+$", "")
+
+
+def _log_folder(spark: SparkSession, location: str):
+    """The commit log's folder as Hadoop's path and its file system, or None. The location may be a path or an encoded URI."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(location.rstrip("/") or "/")]
+    if "%" in location:
+        paths.append(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(location.rstrip("/"))))
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path, "_delta_log")
+        if folder.getFileSystem(conf).exists(folder):
+            return path, folder
+    return None
+
+
+def _encoded_path(spark: SparkSession, location: str) -> str:
+    """The location's path as it stands in file URIs."""
+    found = _log_folder(spark, location)
+    path = found[0] if found else spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path.toUri().getRawPath()
+
+
+def _no_pattern(path: str) -> str:
+    """The path for a reader that takes patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def _file(path: str) -> Column:
@@ -52,7 +82,9 @@ def _place(path: str) -> list[Column]:
 def _named(df: DataFrame, tables: Mapping[str, str]) -> DataFrame:
     # One row per table the caller listed, so the broadcast is as small as that list.
     names = df.sparkSession.createDataFrame(list(tables.items()), "table_name string, table_location string")
-    names = names.select("*", _plain(F.col("table_location")).alias("_known"))
+    known = {name: _encoded_path(df.sparkSession, location) for name, location in tables.items()}
+    paths = df.sparkSession.createDataFrame(list(known.items()), "_name string, _path string")
+    names = names.join(F.broadcast(paths), F.col("table_name") == F.col("_name")).select("table_name", "table_location", _plain(F.col("_path")).alias("_known"))
     return df.join(F.broadcast(names), _plain(F.col("_location")) == F.col("_known")).drop("_known", "_location")
 
 
@@ -92,31 +124,54 @@ def parse_actions(lines: DataFrame, tables: Mapping[str, str], modified: str | N
     )
 
 
-def read_checkpoints(spark: SparkSession, tables: Mapping[str, str]) -> DataFrame | None:
-    """Action rows of the checkpoint files, or None if there are none."""
-    paths = [f"{location.rstrip('/')}/_delta_log/*.checkpoint*.parquet" for location in tables.values()]
-    found = []
-    for path in paths:
-        try:
-            spark.read.schema(f"{_ADD}, {_METADATA}").parquet(path)
-        except AnalysisException:
-            continue
-        found.append(path)
-    if not found:
-        return None
-    rows = (
-        spark.read.schema(f"{_ADD}, {_METADATA}")
-        .parquet(*found)
-        .select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("_modified"))
-        .filter(F.col("add").isNotNull() | F.col("metaData").isNotNull())
-        .select(
-            *_place("path"),
-            "_modified",
-            "add",
-            "metaData",
-        )
+def list_logs(spark: SparkSession, tables: Mapping[str, str]) -> DataFrame:
+    """Per table with a commit log: its first commit, and the files of the newest complete checkpoint up to that commit.
+
+    Only names are listed. Columns: table_name, table_location, first_commit, checkpoint_version, checkpoint_files.
+    """
+    folders = [_no_pattern(found[1].toString()) for location in tables.values() if (found := _log_folder(spark, location))]
+    if not folders:
+        return spark.createDataFrame([], "table_name string, table_location string, first_commit bigint, checkpoint_version bigint, checkpoint_files array<string>")
+    files = spark.read.format("binaryFile").load(folders).select(F.col("_metadata.file_path").alias("path"))
+    named = _named(files.select("path", *_place("path")), tables).withColumn("_file", _file("path"))
+    first = named.groupBy("table_name", "table_location").agg(F.min(F.when(F.col("_file").rlike(_COMMIT_FILE), F.col("version"))).alias("first_commit"))
+    part, parts = (F.nullif(F.regexp_extract("_file", _CHECKPOINT_FILE, n), F.lit("")).cast("int") for n in (2, 3))
+    sets = (
+        named.filter(F.col("_file").rlike(_CHECKPOINT_FILE))
+        # A checkpoint in parts is one if all are there; any other file is one by itself.
+        .withColumn("_set", F.when(part.isNotNull(), F.concat(F.lit("parts "), parts.cast("string"))).otherwise(F.col("_file")))
+        .groupBy("table_name", "version", "_set")
+        .agg(F.count_distinct("_file").alias("_found"), F.max(F.coalesce(parts, F.lit(1))).alias("_parts"), F.collect_set("path").alias("files"))
+        .filter(F.col("_found") == F.col("_parts"))
     )
-    return _named(rows, tables).select(
+    usable = sets.join(first.select("table_name", "first_commit"), "table_name").filter(F.col("version") <= F.col("first_commit"))
+    best = usable.groupBy("table_name").agg(F.max(F.struct("version", "_set", "files")).alias("_best"))
+    return first.join(best, "table_name", "left").select(
+        "table_name", "table_location", "first_commit", F.col("_best.version").alias("checkpoint_version"), F.col("_best.files").alias("checkpoint_files")
+    )
+
+
+def unusable_tables(tables: Mapping[str, str], logs: Iterable) -> dict[str, str]:
+    """Why the state of tables can't be known, by name; `logs` are rows of `list_logs`."""
+    known = {row["table_name"]: row for row in logs}
+    reasons = {}
+    for name in tables:
+        row = known.get(name)
+        if row is None:
+            reasons[name] = "has no commit log"
+        elif row["first_commit"] is None:
+            reasons[name] = "has no commits"
+        elif row["first_commit"] > 0 and (row["checkpoint_version"] is None or row["checkpoint_version"] < row["first_commit"] - 1):
+            reasons[name] = f"has no complete checkpoint up to its first commit, version {row['first_commit']}"
+    return reasons
+
+
+def _state_actions(state: DataFrame, files: DataFrame) -> DataFrame:
+    """Action rows of checkpoint rows, given with the `path` of their file; `files` has the table and version of each."""
+    plain = state.filter(F.col("add").isNotNull() | F.col("metaData").isNotNull())
+    # As many rows as there are checkpoint files.
+    placed = plain.join(F.broadcast(files), _plain(F.col("path")) == F.col("_known"))
+    return placed.select(
         "table_name",
         "table_location",
         "version",
@@ -125,33 +180,90 @@ def read_checkpoints(spark: SparkSession, tables: Mapping[str, str]) -> DataFram
         F.col("add.path").alias("file_name"),
         F.col("add.size").alias("file_size"),
         F.element_at("metaData.configuration", RETENTION_PROPERTY).alias("retention"),
-        F.col("_modified").alias("modified_ts"),
+        F.col("modified").alias("modified_ts"),
     )
 
 
-def read_actions(spark: SparkSession, tables: Mapping[str, str]) -> DataFrame:
+def _uri_paths(spark: SparkSession, uris: Iterable[str]) -> list[str]:
+    """Encoded file URIs as paths for a reader."""
+    jvm = spark._jvm
+    return [_no_pattern(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()) for uri in uris]
+
+
+def _read_state(spark: SparkSession, uris: Sequence[str]) -> DataFrame | None:
+    """Rows of checkpoint files of both formats: path, modified, add, metaData, sidecar."""
+    found = None
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified")]
+    for kind in ("parquet", "json"):
+        paths = _uri_paths(spark, [uri for uri in uris if uri.endswith(kind)])
+        if paths and kind == "parquet":
+            part = spark.read.schema(_STATE).parquet(*paths).select(*place, "add", "metaData", "sidecar")
+        elif paths:
+            part = spark.read.text(paths).select(*place, F.inline(F.array(F.from_json("value", _STATE))))
+        else:
+            continue
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def read_checkpoints(spark: SparkSession, tables: Mapping[str, str], logs: Sequence | None = None) -> DataFrame | None:
+    """Action rows of the checkpoints that stand for commits which are gone, or None if there are none.
+
+    `logs` are the rows of `list_logs`, if they are known already.
+    """
+    logs = list_logs(spark, tables).collect() if logs is None else logs
+    needed = [row for row in logs if row["first_commit"] and row["checkpoint_files"]]
+    if not needed:
+        return None
+    files = [(row["table_name"], row["table_location"], row["checkpoint_version"], uri) for row in needed for uri in row["checkpoint_files"]]
+    state = _read_state(spark, [uri for *_, uri in files])
+    listed = state.filter(F.col("sidecar").isNotNull()).select("path", "sidecar.path").toDF("path", "sidecar").collect()
+    place = {_plain_uri(uri): row for *row, uri in files}
+    sidecars = []
+    for row in listed:
+        own = row["sidecar"]
+        uri = own if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", own) else f"{row['path'].rpartition('/')[0]}/_sidecars/{own}"
+        sidecars.append((*place[_plain_uri(row["path"])], uri))
+    if sidecars:
+        more = _read_state(spark, [uri for *_, uri in sidecars])
+        state = state.unionByName(more)
+    where = spark.createDataFrame([tuple(x) for x in files + sidecars], "table_name string, table_location string, version bigint, _uri string")
+    return _state_actions(state, where.select("table_name", "table_location", "version", _plain(F.col("_uri")).alias("_known")))
+
+
+def _plain_uri(uri: str) -> str:
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*|^/+|/+$", "", uri)
+
+
+def read_actions(spark: SparkSession, tables: Mapping[str, str], unusable: str = "error") -> DataFrame:
     """Action rows of all `tables` (name to location).
 
-    Where the first commits were cleaned away, the newest checkpoint up to the first commit that is left stands for
-    them: its live files count as added in the checkpoint's version.
+    Where the first commits were cleaned away, the newest complete checkpoint up to the first commit that is left
+    stands for them: its live files count as added in the checkpoint's version.
+
+    Tables without a commit log, without commits, or with a gap before their first commit are an error that names
+    them; with `unusable="skip"` they are left out, and a warning names them.
     """
-    lines = spark.read.text([f"{location.rstrip('/')}/_delta_log/*.json" for location in tables.values()]).select(
+    if unusable not in ("error", "skip"):
+        raise ValueError("unusable is error or skip")
+    logs = list_logs(spark, tables).collect()
+    reasons = unusable_tables(tables, logs)
+    if reasons:
+        said = "; ".join(f"{name} {reason}" for name, reason in reasons.items())
+        if unusable == "error" or len(reasons) == len(tables):
+            raise ValueError(f"no file history: {said}")
+        warnings.warn(f"left out: {said}", stacklevel=2)
+        tables = {name: location for name, location in tables.items() if name not in reasons}
+        logs = [row for row in logs if row["table_name"] in tables]
+    folders = [_no_pattern(_log_folder(spark, location)[1].toString()) for location in tables.values()]
+    lines = spark.read.option("pathGlobFilter", "*.json").text(folders).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_modification_time").alias("modified"),
         "value",
     )
     commits = parse_actions(lines, tables, "modified")
-    checkpoints = read_checkpoints(spark, tables)
-    if checkpoints is None:
-        return commits
-    first = commits.groupBy("table_name").agg(F.min("version").alias("_first")).filter(F.col("_first") > 0)
-    base = (
-        checkpoints.join(first, "table_name")
-        .filter(F.col("version") <= F.col("_first"))
-        .groupBy("table_name")
-        .agg(F.max("version").alias("version"))
-    )
-    return commits.unionByName(checkpoints.join(base, ["table_name", "version"]).select(*commits.columns))
+    checkpoints = read_checkpoints(spark, tables, logs)
+    return commits if checkpoints is None else commits.unionByName(checkpoints.select(*commits.columns))
 
 
 def select_tables(

@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from runsight.operators.manifest import file_history, size_report, write_manifest
+from runsight.operators.manifest import file_history, size_report, size_report_of_actions, write_manifest
 from runsight.sources import read_actions, select_tables
 
 DAY = 86_400_000
@@ -111,7 +111,7 @@ def test_sizes(spark, lake):
         ("latest", "db.b", 1, 200, 1),
         ("in_retention", "db.b", 1, 200, 1),
         ("all", "db.b", 2, 300, 1),
-        ("latest", "db.a", 2, 21, 2),
+        ("latest", "db.a", 1, 11, 2),
         ("in_retention", "db.a", 3, 61, 2),
         ("all", "db.a", 4, 71, 2),
     ]
@@ -138,3 +138,86 @@ def test_select_tables(spark):
     for wrong in ({}, {"schemas": ["picked"], "table_names": ["picked.t1"]}, {"table_names": ["t1"]}):
         with pytest.raises(ValueError):
             select_tables(spark, **wrong)
+
+
+STATE = "add struct<path: string, size: bigint>, metaData struct<configuration: map<string, string>>, sidecar struct<path: string>"
+
+
+def checkpoint(spark, target, rows, schema=STATE):
+    """One Parquet file of checkpoint rows under the given name."""
+    out = target.parent.parent.parent / f"out-{target.name}"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(out))
+    (part,) = out.glob("*.parquet")
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_bytes(part.read_bytes())
+
+
+def files_by_version(spark, tables, **options):
+    return sorted(r[:3] for r in rows(file_history(read_actions(spark, tables, **options), NOW, False)))
+
+
+def added(*names):
+    return [((name, 5), None, None) for name in names]
+
+
+def test_locations_with_encoded_signs(spark, tmp_path):
+    for name in ("my table", "a%20b", "ü[1]"):
+        commit(tmp_path / name, 0, 1, add(name, 1))
+    tables = {f"t{n}": str(tmp_path / name) for n, name in enumerate(("my table", "a%20b", "ü[1]"))}
+    tables["uri"] = (tmp_path / "my table").as_uri()
+    found = files_by_version(spark, {**tables, "slash": str(tmp_path / "my table") + "/"})
+    assert [(name, file) for name, _, file in found] == [("slash", "my table"), ("t0", "my table"), ("t1", "a%20b"), ("t2", "ü[1]"), ("uri", "my table")]
+
+
+def test_sidecar_checkpoints(spark, tmp_path):
+    log = tmp_path / "t" / "_delta_log"
+    uuid = "80a083e8-7026-4e79-81be-64bd76c43a11"
+    checkpoint(spark, log / f"{10:020d}.checkpoint.{uuid}.parquet", [(None, None, ("side-a.parquet",)), (None, None, ("side-b.parquet",)), *added("c")])
+    checkpoint(spark, log / "_sidecars" / "side-a.parquet", added("a"))
+    checkpoint(spark, log / "_sidecars" / "side-b.parquet", added("b"))
+    commit(tmp_path / "t", 11, 0, remove("a"), add("d", 5))
+    assert files_by_version(spark, {"t": str(tmp_path / "t")}) == [("t", 10, "a"), ("t", 10, "b"), ("t", 10, "c"), ("t", 11, "b"), ("t", 11, "c"), ("t", 11, "d")]
+
+
+def test_json_checkpoints(spark, tmp_path):
+    log = tmp_path / "t" / "_delta_log"
+    log.mkdir(parents=True)
+    lines = [{"sidecar": {"path": "s.parquet"}}, {"add": {"path": "a", "size": 5}}, {"checkpointMetadata": {"version": 4}}]
+    (log / f"{4:020d}.checkpoint.80a083e8-7026-4e79-81be-64bd76c43a11.json").write_text("\n".join(map(json.dumps, lines)))
+    checkpoint(spark, log / "_sidecars" / "s.parquet", added("b"))
+    commit(tmp_path / "t", 5, 0, add("c", 5))
+    assert [r for r in files_by_version(spark, {"t": str(tmp_path / "t")}) if r[1] == 5] == [("t", 5, "a"), ("t", 5, "b"), ("t", 5, "c")]
+
+
+def test_checkpoints_in_parts_count_only_if_complete(spark, tmp_path):
+    log = tmp_path / "t" / "_delta_log"
+    for version, parts in ((3, (1, 2)), (4, (1,))):
+        for part in parts:
+            checkpoint(spark, log / f"{version:020d}.checkpoint.{part:010d}.{2:010d}.parquet", added(f"v{version}p{part}"))
+    commit(tmp_path / "t", 4, 1, add("x", 5))
+    found = files_by_version(spark, {"t": str(tmp_path / "t")})
+    assert [r[2] for r in found if r[1] == 4] == ["v3p1", "v3p2", "x"]
+
+
+def test_unusable_tables_are_named(spark, lake, tmp_path):
+    commit(tmp_path / "gap", 7, 0, add("x", 1))
+    checkpoint(spark, tmp_path / "gap" / "_delta_log" / f"{5:020d}.checkpoint.parquet", added("y"))
+    (tmp_path / "empty" / "_delta_log").mkdir(parents=True)
+    spark.range(1).write.parquet(str(tmp_path / "plain"))
+    odd = {"gap": str(tmp_path / "gap"), "empty": str(tmp_path / "empty"), "plain": str(tmp_path / "plain"), "gone": str(tmp_path / "gone")}
+    with pytest.raises(ValueError) as error:
+        read_actions(spark, {**lake, **odd})
+    assert all(name in str(error.value) for name in odd) and "db.a" not in str(error.value)
+    with pytest.warns(UserWarning, match="plain"):
+        found = files_by_version(spark, {**lake, **odd}, unusable="skip")
+    assert found == files_by_version(spark, lake)
+    with pytest.raises(ValueError):
+        read_actions(spark, odd, unusable="skip")
+
+
+def test_sizes_from_actions_are_those_of_the_table(spark, lake):
+    actions = read_actions(spark, lake)
+    want = size_report(file_history(actions, NOW, False)).collect()
+    for broadcast_versions in (0, 100):
+        assert size_report_of_actions(actions, NOW, broadcast_versions=broadcast_versions).collect() == want
+        assert rows(file_history(actions, NOW, broadcast_versions=broadcast_versions)) == rows(file_history(actions, NOW))
