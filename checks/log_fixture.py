@@ -38,15 +38,20 @@ def _item(item_id: int, name: str, value) -> F.Column:
     return F.struct(F.lit(item_id).alias("ID"), F.lit(name).alias("Name"), value.cast("string").alias("Value"))
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log as text files, read like any other."""
+def event_log_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the log lies as text files."""
 
-    def write() -> DataFrame:
+    def write() -> str:
         path = scratch_path(spark, "event_log")
         _lines(spark, sf_dir).write.text(path)
-        return read_event_log(spark, path, CLUSTER)
+        return path
+
+    return stored(spark, sf_dir, "event_log_path", write)
 
-    return stored(spark, sf_dir, "event_log", write)
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log, read like any other."""
+    return read_event_log(spark, event_log_path(spark, sf_dir), CLUSTER)
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +141,9 @@ joined AS (
 )"""
 
 
-def outliers_sql() -> str:
-    """Rows with flags of the multiples 1 and 2, and scores."""
+def outliers_sql(before: str | None = None) -> str:
+    """Rows with flags of the multiples 1 and 2, and scores; with `before`, of tasks and stages that began before it."""
+    cut = f"WHERE launch < epoch_ms(TIMESTAMP '{before}') AND submission < epoch_ms(TIMESTAMP '{before}')" if before else ""
     metrics = {"records": "k", "cpu": "cpu", "output": "k * 2", "size": "result_size"}
     stats = ", ".join(f"quantile_cont({column}, 0.95) AS p95_{name}" for name, column in metrics.items())
 
@@ -146,7 +152,8 @@ def outliers_sql() -> str:
             f"CASE WHEN {metrics[name]} > p95_{name} * {times} THEN 1 ELSE 0 END" for name in names for times in (1, 2)
         )
 
-    return f"""{joined_sql()},
+    return f"""{joined_sql().replace("joined AS", "all_joined AS")},
+joined AS (SELECT * FROM all_joined {cut}),
 stats AS (
   SELECT stage_id, submission, completion, count(*) AS events, count(DISTINCT task_id) AS num_tasks,
          avg(task_time) AS avg_time, median(task_time) AS median_time, quantile_cont(task_time, 0.95) AS p95_time, {stats}

@@ -14,6 +14,7 @@ from checks.log_fixture import (
     METRIC_KEYS,
     TASKS_SQL,
     event_log,
+    event_log_path,
     joined_sql,
     outliers_sql,
 )
@@ -23,8 +24,9 @@ from runsight.operators import events, metrics
 from runsight.operators.outliers import Thresholds, classify
 from runsight.operators.windows import attach_stages
 from runsight.plans import reports
-from runsight.plans.task_outliers import task_outliers
-from runsight.sources.staging import stage
+from runsight.plans.task_outliers import task_outliers, task_outliers_from_logs
+from runsight.sources import run_name
+from runsight.sources.staging import scratch_path, stage
 
 THRESHOLDS = Thresholds(low=1, high=2)
 NAMES = reports.Names(outlier="gt_p95_2")
@@ -105,10 +107,52 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({column: F.round(column, 6) for column in columns})
 
 
+def _bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with the lines of every 50th task cut short: what is read and what is bad."""
+    log, task = event_log(spark, sf_dir), F.get_json_object("logMessage", "$['Task Info']['Task ID']").cast("bigint")
+    cut = log.withColumn("logMessage", F.when(task % 50 == 0, F.left("logMessage", F.length("logMessage") - 30)).otherwise(F.col("logMessage")))
+    parsed = stage(events.parse_records(cut, metric_keys=(), accumulable_keys=(), keep_bad=True), "records")
+    bad = events.bad_records(parsed).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("bad"))
+    whole = parsed.filter("bad_record IS NULL").groupBy("cluster_id").agg(
+        F.count(F.when(F.col("event") == events.TASK_END, 1)).alias("tasks"), F.count(F.when(F.col("event") == events.STAGE_COMPLETED, 1)).alias("stages")
+    )
+    return whole.join(bad, "cluster_id")
+
+
 def _task_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = task_outliers(
         event_log(spark, sf_dir), metric_keys=METRIC_KEYS, accumulable_keys=ACCUMULABLE_KEYS, thresholds=THRESHOLDS
     )
+    return _outlier_columns(rows)
+
+
+def _task_outliers_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = task_outliers(
+        event_log(spark, sf_dir),
+        where="timestamp_millis(event_time) < timestamp'2024-01-16'",
+        metric_keys=METRIC_KEYS,
+        accumulable_keys=ACCUMULABLE_KEYS,
+        thresholds=THRESHOLDS,
+    )
+    return _outlier_columns(rows)
+
+
+def _outliers_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From log files to a named result table, which is read back."""
+    table = task_outliers_from_logs(
+        spark,
+        [event_log_path(spark, sf_dir)],
+        CLUSTER,
+        run_name("outliers_of_run"),
+        path=scratch_path(spark, "outliers_of_run"),
+        metric_keys=METRIC_KEYS,
+        accumulable_keys=ACCUMULABLE_KEYS,
+        thresholds=THRESHOLDS,
+    )
+    return _outlier_columns(spark.table(table))
+
+
+def _outlier_columns(rows: DataFrame) -> DataFrame:
     return _rounded(
         rows.select(
             "task_id",
@@ -229,6 +273,9 @@ QUERIES = {
     "epoch_and_diff": _epoch_and_diff,
     "attach_stages": _attach_stages,
     "task_outliers": _task_outliers,
+    "task_outliers_filtered": _task_outliers_filtered,
+    "outliers_table": _outliers_table,
+    "bad_records": _bad_records,
     "task_outliers_all_keys": _task_outliers_all_keys,
     "outlier_classes": _classes,
     "report_all_tasks": partial(_with_rounded_pcts, reports.all_tasks),
@@ -293,6 +340,9 @@ per_stage AS (
 _SCORES = """accumulables_score AS accumulables_overall_score, metrics_score AS task_metrics_overall_score, overall_score"""
 _STAGE_STATS = """round(avg_time, 6) AS stage_avg_task_time, round(median_time, 6) AS stage_median_task_time,
   round(p95_time, 6) AS stage_p95_task_time"""
+_OUTLIER_COLUMNS = f"""SELECT task_id, '{CLUSTER}' AS stage__cluster_id, stage_id, submission AS stage__submission_time, task_time,
+  events AS stage_num_task_finish_events, num_tasks AS stage_num_tasks, {_STAGE_STATS},
+  gt_p95_1, gt_p95_2, gt_median_10, {_SCORES} FROM outliers"""
 
 ORACLE = {
     "task_events": f"""WITH {TASKS_SQL}
@@ -323,10 +373,12 @@ SELECT task_id, {_TIME.format('launch')} AS launch, task_time // 1000 AS seconds
     "attach_stages": f"""WITH {joined_sql(1_800_000)}
 SELECT task_id, j.stage_id, j.submission AS stage__submission_time, j.completion AS stage__completion_time,
   s.num_tasks AS stage__num_tasks FROM joined j JOIN stages s USING (stage_id, submission)""",
-    "task_outliers": f"""WITH {outliers_sql()}
-SELECT task_id, '{CLUSTER}' AS stage__cluster_id, stage_id, submission AS stage__submission_time, task_time,
-  events AS stage_num_task_finish_events, num_tasks AS stage_num_tasks, {_STAGE_STATS},
-  gt_p95_1, gt_p95_2, gt_median_10, {_SCORES} FROM outliers""",
+    "task_outliers": f"WITH {outliers_sql()} {_OUTLIER_COLUMNS}",
+    "task_outliers_filtered": f"WITH {outliers_sql('2024-01-16')} {_OUTLIER_COLUMNS}",
+    "outliers_table": f"WITH {outliers_sql()} {_OUTLIER_COLUMNS}",
+    "bad_records": f"""WITH {TASKS_SQL}
+SELECT '{CLUSTER}' AS cluster_id, count(*) FILTER (task_id % 50 <> 0) AS tasks, (SELECT count(*) FROM stages) AS stages,
+  count(*) FILTER (task_id % 50 = 0) AS bad FROM tasks""",
     "task_outliers_all_keys": f"""WITH {outliers_sql()}
 SELECT task_id, stage_id, submission AS stage__submission_time, gt_p95_1, gt_p95_2, {_SCORES} FROM outliers""",
     "outlier_classes": f"""WITH {outliers_sql()}

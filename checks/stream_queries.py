@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,16 +35,45 @@ def _progress_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.progress_by_query(_with_data(streaming.collect_progress(spark, _streams(spark, sf_dir))))
 
 
+def _heard(spark: SparkSession, sf_dir: str, log: streaming.ProgressLog) -> streaming.ProgressLog:
+    """The events of both queries, told to the listener by its own methods; so no callback port is opened."""
+    for query in _streams(spark, sf_dir):
+        log.onQueryStarted(None)
+        for progress in query.recentProgress:
+            if progress.numInputRows:
+                log.onQueryProgress(SimpleNamespace(progress=progress))
+        log.onQueryTerminated(None)
+    return log
+
+
 def _progress_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Progress written to a folder, each event twice, and read back once."""
+    """Progress written by two listeners to one folder, so each event twice, and read back once."""
     path = scratch_path(spark, "progress")
-    texts = [(p.json.replace("\n", " "),) for query in _streams(spark, sf_dir) for p in query.recentProgress]
-    for _ in range(2):
-        spark.createDataFrame(texts, "value string").write.mode("append").text(path)
+    streams = _heard(spark, sf_dir, Recorder(spark, path, flush_every=1))
+    again = streaming.ProgressLog(spark, path, flush_every=2)
+    for event in streams.events:
+        again.onQueryProgress(event)
+    again.flush()
     events = _with_data(streaming.progress_table(spark, path))
     return streaming.progress_by_query(events).drop("batches")
 
 
+class Recorder(streaming.ProgressLog):
+    """Also remembers the events, to tell them once more."""
+
+    def __init__(self, *args, **options):
+        super().__init__(*args, **options)
+        self.events = []
+
+    def onQueryProgress(self, event) -> None:
+        self.events.append(event)
+        super().onQueryProgress(event)
+
+
+def _listener_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _heard(spark, sf_dir, streaming.ProgressLog(spark)).counts_table()
+
+
 def _event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.event_counts(load(spark, sf_dir, "events"), "event_type")
 
@@ -51,6 +81,7 @@ def _event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "progress_by_query": _progress_by_query,
     "progress_table": _progress_table,
+    "listener_counts": _listener_counts,
     "stream_event_counts": _event_counts,
 }
 
@@ -60,5 +91,7 @@ UNION ALL SELECT 'purchases', count(*), count(*) FILTER (event_type = 'purchase'
 ORACLE = {
     "progress_by_query": f"SELECT *, CAST(1 AS BIGINT) AS batches FROM ({_ROWS})",
     "progress_table": _ROWS,
+    "listener_counts": """SELECT kind, CAST(2 AS BIGINT) AS events FROM (VALUES ('started'), ('progress'), ('terminated')) AS k(kind)
+WHERE (SELECT count(*) FROM events) > 0""",
     "stream_event_counts": "SELECT event_type, count(*) AS events FROM events GROUP BY ALL",
 }

@@ -9,6 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.log_fixture import EVENT_TYPES
 from checks.tables import load, stored
 from runsight.functions import canonical_name
 from runsight.operators.group_stats import group_stats
@@ -250,13 +251,13 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored with statistics, appended in two labelled runs, read back."""
+    """Stored with statistics, appended in one labelled run per event type, read back."""
     name = f"daily_{uuid.uuid4().hex}"
     daily = materialize(
         _daily(spark, sf_dir), name, analyze=True, stats_columns=["day"], path=scratch_path(spark, "daily")
     )
     runs, path = f"runs_{uuid.uuid4().hex}", scratch_path(spark, "runs")
-    for event_type in ("click", "view"):
+    for event_type in EVENT_TYPES:
         append_labelled(daily.filter(F.col("event_type") == event_type), runs, f"run {event_type}", path=path)
     return spark.table(runs)
 
@@ -414,6 +415,6 @@ d AS (SELECT event_type, began AS t, 1 AS change FROM c UNION ALL SELECT event_t
 m AS (SELECT event_type, t, sum(change) AS change FROM d GROUP BY ALL),
 r AS (SELECT event_type, sum(change) OVER (PARTITION BY event_type ORDER BY t) AS opened FROM m)
 SELECT event_type AS test_label, CAST(max(opened) AS BIGINT) AS peak_concurrency FROM r GROUP BY ALL""",
-    "sink_roundtrip": f"SELECT *, 'run ' || event_type AS test_label FROM ({_DAILY_SQL}) WHERE event_type IN ('click', 'view')",
+    "sink_roundtrip": f"SELECT *, 'run ' || event_type AS test_label FROM ({_DAILY_SQL})",
     "json_dir": _DAILY_SQL,
 }

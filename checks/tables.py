@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,11 +16,11 @@ def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> D
     return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], Any] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from the given ones that several queries read, built once per application."""
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Any]) -> Any:
+    """A table, or its place, derived from the given ones that several queries read, built once per application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
         _stored[key] = build()

@@ -50,11 +50,18 @@ def parse_records(
     metric_keys: Sequence[str] = TASK_METRIC_KEYS,
     accumulable_keys: Sequence[str] = ACCUMULABLE_KEYS,
     accumulable_field: str = "Value",
+    where: Column | str | None = None,
     keep_raw: bool = False,
+    keep_bad: bool = False,
     record_col: str = "logMessage",
     cluster_col: str = "clusterId",
 ) -> DataFrame:
-    """Parse each wanted record once into the columns of both kinds; those of the other kind are NULL."""
+    """Parse each wanted record once into the columns of both kinds; those of the other kind are NULL.
+
+    `where` drops rows before metrics and accumulables are extracted. It may use `event_time` (a task's launch, a stage's
+    submission) and the plain columns of a kind. With `keep_bad` a column `bad_record` holds the text of records that
+    can't be read as a whole, see `bad_records`.
+    """
     tasks, stages = TASK_END in kinds, STAGE_COMPLETED in kinds
     fields = ["Event string"]
     if tasks:
@@ -63,13 +70,14 @@ def parse_records(
         fields += [_TASK_SECTION] if metric_keys else []
     if stages:
         fields.append(_STAGE_FIELDS)
+    fields += ["_corrupt_record string"] if keep_bad else []
 
     record = F.col(record_col)
     # A generator, so that the filter on its output can't pull the parse below itself and run it twice.
     parsed = (
         raw.filter(_mentions(record, kinds))
         .select(record, F.col(cluster_col), F.inline(F.array(F.from_json(record, ", ".join(fields)))))
-        .filter(F.col("Event").isin(*kinds))
+        .filter(F.coalesce(F.col("Event").isin(*kinds), F.lit(False)) | (F.col("_corrupt_record").isNotNull() if keep_bad else F.lit(False)))
     )
     columns = [F.col(cluster_col).alias("cluster_id"), F.col("Event").alias("event")]
     if tasks:
@@ -87,12 +95,8 @@ def parse_records(
             info["Speculative"].alias("speculative"),
             F.col("`Task Type`").alias("task_type"),
         ]
-        if metric_keys:
-            text = flatten_ints(F.col("`Task Metrics`"))
-            columns.append(F.from_json(text, metric_struct(metric_keys)).alias("task_metrics"))
-        if accumulable_keys:
-            text = latest_values(info["Accumulables"], accumulable_keys, accumulable_field)
-            columns.append(F.from_json(text, accumulable_struct(accumulable_keys)).alias("task_accumulables"))
+        columns += [F.col("`Task Metrics`").alias("_metrics")] if metric_keys else []
+        columns += [info["Accumulables"].alias("_items")] if accumulable_keys else []
     if stages:
         info = F.col("`Stage Info`")
         columns += [
@@ -104,7 +108,24 @@ def parse_records(
         ]
     if keep_raw:
         columns.append(record.alias(record_col))
-    return parsed.select(*columns)
+    if keep_bad:
+        columns.append(F.col("_corrupt_record").alias("bad_record"))
+    rows = parsed.select(*columns)
+    if where is not None:
+        times = [name for name in ("task_launch_time", "stage__submission_time") if name in rows.columns]
+        rows = rows.withColumn("event_time", F.coalesce(*times)).filter(where).drop("event_time")
+    extracted = {}
+    if tasks and metric_keys:
+        extracted["task_metrics"] = F.from_json(flatten_ints(F.col("_metrics")), metric_struct(metric_keys))
+    if tasks and accumulable_keys:
+        text = latest_values(F.col("_items"), accumulable_keys, accumulable_field)
+        extracted["task_accumulables"] = F.from_json(text, accumulable_struct(accumulable_keys))
+    return rows.withColumns(extracted).drop("_metrics", "_items") if extracted else rows
+
+
+def bad_records(parsed: DataFrame) -> DataFrame:
+    """(cluster_id, bad_record) of the wanted records that can't be read as a whole, such as cut lines. `parsed` has them by `keep_bad`."""
+    return parsed.filter(F.col("bad_record").isNotNull()).select("cluster_id", "bad_record")
 
 
 def task_rows(

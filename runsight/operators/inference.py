@@ -101,6 +101,7 @@ def _answer_column(
         system = [{"role": "system", "content": system_prompt}] if system_prompt else []
         return [*system, {"role": "user", "content": row["prompt"]}]
 
+    # Not deterministic, so that the optimizer never copies the call, for instance below a filter on the answer.
     @F.pandas_udf(struct)
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
@@ -112,7 +113,7 @@ def _answer_column(
                 answers.append(_call(client, messages_of(row), params)[: len(names)])
             yield pd.DataFrame.from_records(answers, columns=names)
 
-    return ask(request)
+    return ask.asNondeterministic()(request)
 
 
 def answer(
@@ -129,7 +130,7 @@ def answer(
 ) -> DataFrame:
     """Add the answer struct of each row.
 
-    Give either `prompt`, a text that is sent after the system prompt, or `messages`, an array of (role, content)
+    The service is called once per row that is read, also if answers are filtered, taken apart or joined. Give either `prompt`, a text that is sent after the system prompt, or `messages`, an array of (role, content)
     that is sent as it is. `schema` may rename the seven fields. `timed` adds when each call began and ended.
     """
     if (prompt is None) == (messages is None):
@@ -184,13 +185,21 @@ def labelled_run(
     prompt: str = "question",
     **options,
 ) -> dict[str, Any]:
-    """Answer all rows with `parallelism` tasks, append them under a label, and report time and status counts."""
+    """Answer all rows with `parallelism` tasks, append them under a label, and report time and status counts.
+
+    The label must be new to the table. Each row gets a `row_id` before it is answered, unique within the run: a row that
+    a repeated task attempt wrote twice can be recognised by it.
+    """
     label = label or f"{run_name('run')} parallelism={parallelism}"
+    spark = df.sparkSession
+    if spark.catalog.tableExists(results_table) and spark.table(results_table).filter(F.col("test_label") == label).limit(1).count():
+        raise ValueError(f"{results_table} holds a run labelled {label!r}")
     started = time.time()
-    answered = answer(df.repartition(parallelism), client_factory, prompt=prompt, timed=True, **options)
+    numbered = df.repartition(parallelism).withColumn("row_id", F.monotonically_increasing_id())
+    answered = answer(numbered, client_factory, prompt=prompt, timed=True, **options)
     append_labelled(answered, results_table, label, path=path)
     run_time = time.time() - started
-    counts = status_counts(df.sparkSession.table(results_table), label)
+    counts = status_counts(spark.table(results_table), label)
     return {"label": label, "run_time": run_time, "status_counts": counts}
 
 
@@ -203,11 +212,14 @@ def sweep(
     label: str = "sweep",
     **options,
 ) -> DataFrame:
-    """One labelled run per parallelism, one after the other: each row is a run's time and count of one status."""
+    """One labelled run per parallelism, one after the other: each row is a run's time and count of one status.
+
+    Labels hold the time, so sweeps can be repeated into one table.
+    """
     spark: SparkSession = df.sparkSession
     rows = []
     for parallelism in parallelisms:
-        name = f"{label} parallelism={parallelism}"
+        name = f"{run_name(label)} parallelism={parallelism}"
         run = labelled_run(df, parallelism, client_factory, results_table, label=name, **options)
         rows += [
             (parallelism, name, run["run_time"], row["status"], row["count"]) for row in run["status_counts"].collect()

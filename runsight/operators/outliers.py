@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from runsight.functions import canonical_text, total_of
 from runsight.operators.group_stats import group_stats, hot_groups_for, percentile_label
 from runsight.operators.metric_keys import ACCUMULABLE_KEYS, TASK_METRIC_KEYS
-from runsight.operators.skew import MOST_HOT_GROUPS, HotGroups, find_hot_groups
+from runsight.operators.skew import MOST_HOT_GROUPS, HotGroups, find_hot_groups, join_salted
 from runsight.sources.staging import stage
 
 STAGE_KEYS = ("stage__cluster_id", "stage_id", "stage__submission_time", "stage__completion_time")
 
 BROADCAST_CELLS = 10_000_000
-"""Most statistics values sent to every executor (80 MB as doubles)."""
+"""Most statistics values sent to every executor, by default (80 MB as doubles)."""
 
 SPLIT_ROWS = 5_000_000
 """If statistics are too many to broadcast, groups with more rows than this get theirs by broadcast all the same."""
@@ -53,14 +53,17 @@ def score(flags: Sequence[str], name: str) -> str:
     return f"{total_of(flags)} AS `{name}`"
 
 
-def _join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], counted: HotGroups, split_rows: int) -> DataFrame:
+def _join_stats(
+    df: DataFrame, stats: DataFrame, keys: Sequence[str], counted: HotGroups, split_rows: int, broadcast_cells: int
+) -> DataFrame:
     """Rows with the statistics of their group, which are a stored table.
 
     Statistics go to the rows as long as they are few: the rows, which are wide, stay where they are. If there are too
-    many, only those of large groups do, and the other rows are shuffled by group.
+    many, only those of large groups do, and the other rows are shuffled by group. If the large groups are too many to
+    list, each group's rows are cut into parts.
     """
     keys = list(keys)
-    most = max(1, BROADCAST_CELLS // len(stats.columns))
+    most = max(1, broadcast_cells // len(stats.columns))
     if stats.count() <= most:
         return df.join(F.broadcast(stats), keys)
     none_larger = not counted and counted.rows_over <= split_rows
@@ -68,6 +71,14 @@ def _join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], counted: H
     # Stored rows are far wider than their compressed files suggest, so the file size must not decide on a broadcast.
     if not hot:
         return df.join(stats.hint("merge"), keys)
+    if not hot.complete:
+        renamed = stats.withColumnsRenamed({key: f"_of_{key}" for key in keys})
+        same = None
+        for key in keys:
+            test = F.col(f"`{key}`") == F.col(f"`_of_{key}`")
+            same = test if same is None else same & test
+        joined = join_salted(df, renamed, same, hint="merge").drop(*[f"_of_{key}" for key in keys])
+        return joined.select(*keys, *[c for c in joined.columns if c not in keys])
     large = hot.rows_of(df).join(F.broadcast(hot.rows_of(stats)), keys)
     return large.unionByName(hot.other_rows_of(df).join(hot.other_rows_of(stats).hint("merge"), keys))
 
@@ -85,11 +96,13 @@ def add_group_outliers(
     distinct_as: str = "group_num_distinct",
     hot_rows: int | None = None,
     split_rows: int = SPLIT_ROWS,
+    broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
     """Add group statistics, flags and scores to each row.
 
     `metric_sets` maps a score's name to the metrics it sums up (names to SQL expressions); `overall_score` is the sum
-    of all scores. Rows with a NULL key have no group and are dropped. Reads `df` several times: pass a stored table, not an expensive plan.
+    of all scores. Up to `broadcast_cells` statistics values are broadcast; beyond, groups with more than `split_rows` rows are
+    kept from filling a task. Rows with a NULL key have no group and are dropped. Reads `df` several times: pass a stored table, not an expensive plan.
     """
     names = [name for metrics in metric_sets.values() for name in metrics] + [duration]
     repeated = {name for name in names if names.count(name) > 1}
@@ -109,7 +122,7 @@ def add_group_outliers(
         hot=hot,
     )
     stats = stage(stats, "group_stats")
-    joined = _join_stats(df, stats, keys, hot, split_rows)
+    joined = _join_stats(df, stats, keys, hot, split_rows, broadcast_cells)
 
     label = percentile_label(thresholds.probability)
 

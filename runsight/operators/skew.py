@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -41,6 +41,19 @@ class HotGroups:
         return self._split(df, "left_anti")
 
 
+SALTS = 32
+"""Parts that the rows of a key are cut into where the large keys are too many to list."""
+
+
+def join_salted(left: DataFrame, right: DataFrame, on: Column, salts: int = SALTS, hint: str | None = None) -> DataFrame:
+    """Inner join in which the rows of one key are dealt to `salts` tasks; each row of `right` goes to all of these."""
+    part = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name, kind in left.dtypes if not kind.startswith(("map", "variant", "struct<", "array"))]), F.lit(salts))
+    dealt = left.withColumn("_salt", part.cast("int"))
+    every = right.withColumn("_salts", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    every = every.hint(hint) if hint else every
+    return dealt.join(every, on & (F.col("_salt") == F.col("_salts"))).drop("_salt", "_salts")
+
+
 def find_hot_groups(
     df: DataFrame, keys: Sequence[str], rows_over: int, most: int = MOST_HOT_GROUPS
 ) -> HotGroups:

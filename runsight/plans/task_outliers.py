@@ -32,7 +32,7 @@ def task_outliers(
     """The outlier rows of raw records.
 
     The raw text is read and parsed once; the parsed records and the joined rows are staged, because both are read
-    several times. `where` filters tasks by launch time and stages by submission time if it uses `event_time`, so
+    several times. `where` is applied before metrics are extracted and anything is staged; it filters tasks by launch time and stages by submission time if it uses `event_time`, so
     tasks of a stage that began before a cut are left out.
     """
     parsed = parse_records(
@@ -40,6 +40,7 @@ def task_outliers(
         metric_keys=metric_keys,
         accumulable_keys=accumulable_keys,
         accumulable_field=accumulable_field,
+        where=where,
         keep_raw=keep_raw,
         record_col=record_col,
         cluster_col=cluster_col,

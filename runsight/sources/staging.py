@@ -7,11 +7,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded_staging() -> Iterator[list[str]]:
+    """Lists the folders that are staged meanwhile, so that the caller can remove them when the results are no longer read."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
+def remove_staged(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove staged folders. Frames that read them can't be read any more."""
+    for text in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -28,7 +48,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/runsight/{name}_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/runsight/{name}_{uuid.uuid4().hex}"
+    for paths in _recorders:
+        paths.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -33,16 +33,27 @@ def parse_progress(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.inline(F.array(F.from_json(column, PROGRESS_SCHEMA))))
 
 
-def collect_progress(spark: SparkSession, queries: Iterable[StreamingQuery]) -> DataFrame:
-    """The progress events that the queries still hold (Spark keeps the last ones of each), without a listener."""
-    texts = [(progress.json,) for query in queries for progress in query.recentProgress]
+def collect_progress(spark: SparkSession, queries: Iterable[StreamingQuery], first_batch: int = 0) -> DataFrame:
+    """The progress events that the queries still hold, without a listener.
+
+    Spark keeps the last events of each query, by default 100. If batches since `first_batch` are gone, that is an error:
+    hear longer queries with a `ProgressLog`.
+    """
+    texts = []
+    for query in queries:
+        events = query.recentProgress
+        batches = sorted({progress.batchId for progress in events})
+        if batches and batches != list(range(first_batch, batches[-1] + 1)):
+            raise RuntimeError(f"the progress of query {query.name or query.id} begins at batch {batches[0]} or has gaps: events are gone")
+        texts += [(progress.json,) for progress in events]
     return parse_progress(spark.createDataFrame(texts, "value string"))
 
 
 class ProgressLog(StreamingQueryListener):
     """Keeps count of all query events and writes the progress events as JSON lines, `flush_every` at a time.
 
-    What is not written yet is lost with the driver. Without a path nothing is written and nothing is held.
+    What is not written yet is lost with the driver. Events whose write fails wait for the next one. Without a path
+    nothing is written and nothing is held.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, flush_every: int = 100):
@@ -51,6 +62,7 @@ class ProgressLog(StreamingQueryListener):
         self._flush_every = flush_every
         self._waiting: list[str] = []
         self._lock = threading.Lock()
+        self._writing = threading.Lock()
         self._counts = {"started": 0, "progress": 0, "terminated": 0}
 
     def onQueryStarted(self, event) -> None:
@@ -75,16 +87,25 @@ class ProgressLog(StreamingQueryListener):
 
     def counts(self) -> dict[str, int]:
         """Events seen per kind, and in all."""
-        return {**self._counts, "total": sum(self._counts.values())}
+        with self._lock:
+            return {**self._counts, "total": sum(self._counts.values())}
+
+    def counts_table(self) -> DataFrame:
+        """Events seen, as a row per kind."""
+        rows = [(kind, seen) for kind, seen in self.counts().items() if kind != "total"]
+        return self._spark.createDataFrame(rows, "kind string, events bigint")
 
     def flush(self) -> int:
-        """Write the waiting events; returns how many."""
-        with self._lock:
-            texts, self._waiting = self._waiting, []
-        if texts and self._path:
-            lines = self._spark.createDataFrame([(" ".join(text.split("\n")),) for text in texts], "value string")
-            lines.coalesce(1).write.mode("append").text(self._path)
-        return len(texts)
+        """Write the waiting events; returns how many. They are let go only when they are written."""
+        with self._writing:
+            with self._lock:
+                texts = list(self._waiting)
+            if texts and self._path:
+                lines = self._spark.createDataFrame([(" ".join(text.split("\n")),) for text in texts], "value string")
+                lines.coalesce(1).write.mode("append").text(self._path)
+            with self._lock:
+                del self._waiting[: len(texts)]
+            return len(texts)
 
     def _count(self, kind: str) -> None:
         with self._lock:

@@ -10,3 +10,15 @@ class Echo:
             raise RuntimeError("no answer")
         shown = "|".join(f"{m['role']}={m['content']}" for m in messages)
         return Completion(f"{shown} {sorted(params.items())}", 3, 4)
+
+
+class Counted(Echo):
+    """Notes each call in a file."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def complete(self, messages, params):
+        with open(self.path, "a") as notes:
+            notes.write("x")
+        return super().complete(messages, params)

@@ -93,3 +93,35 @@ def test_log_files_and_prompts(spark, tmp_path):
     assert {(r["task_id"], r["cluster_id"]) for r in events.task_events(log).collect()} == {(1, "c7"), (2, "c7")}
     (tmp_path / "prompts.txt").write_text("  What? \t\nWhy?\n")
     assert [r["question"] for r in read_prompts(spark, f"{tmp_path}/prompts.txt").collect()] == ["What?", "Why?"]
+
+
+def test_where_applies_before_staging_and_bad_records_are_kept(spark):
+    from runsight.plans.task_outliers import task_outliers
+    from runsight.sources import recorded_staging, remove_staged
+    from runsight.sources.staging import scratch_root
+
+    def task(n, launch):
+        return (f'{{"Event":"SparkListenerTaskEnd","Stage ID":1,"Task Info":{{"Task ID":{n},"Launch Time":{launch},"Finish Time":{launch + 5},"Accumulables":[]}},"Task Metrics":{{"Executor CPU Time":{n}}}}}', "c")
+
+    def stage(start):
+        return (f'{{"Event":"SparkListenerStageCompleted","Stage Info":{{"Stage ID":1,"Stage Attempt ID":0,"Number of Tasks":10,"Submission Time":{start},"Completion Time":{start + 100}}}}}', "c")
+
+    lines = [task(n, 1000 * (n // 10) + n % 10) for n in range(50)] + [stage(1000 * n) for n in range(5)]
+    raw = spark.createDataFrame(lines, "logMessage string, clusterId string")
+    with recorded_staging() as paths:
+        found = task_outliers(raw, where="event_time >= 2000", metric_keys=("executor_cpu_time",), accumulable_keys=(), grace_ms=0)
+        rows = {r["task_id"] for r in found.collect()}
+    assert rows == set(range(20, 50))
+    assert len(paths) == 3 and all(path.startswith(scratch_root(spark)) for path in paths)
+    records = spark.read.parquet(paths[0])
+    assert records.count() == 33 and records.filter("task_metrics.executor_cpu_time IS NOT NULL").count() == 30
+    everything = task_outliers(raw, metric_keys=("executor_cpu_time",), accumulable_keys=(), grace_ms=0)
+    assert sorted(map(repr, everything.filter("task_id >= 20").collect())) == sorted(map(repr, found.collect()))
+    remove_staged(spark, paths)
+    with pytest.raises(Exception):
+        spark.read.parquet(paths[0])
+
+    cut = raw.union(spark.createDataFrame([(task(99, 5)[0][:-20], "c"), ("other line", "c")], raw.schema))
+    parsed = events.parse_records(cut, metric_keys=(), accumulable_keys=(), keep_bad=True)
+    assert [r["bad_record"] for r in events.bad_records(parsed).collect()] == [task(99, 5)[0][:-20]]
+    assert parsed.filter("bad_record IS NULL").count() == 55

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import json
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from runsight.operators import inference
-from tests.clients import Echo
+from tests.clients import Counted, Echo
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +118,30 @@ def test_peak_concurrency(spark):
     for slot in (50, 700, 60_000):
         found = {r["k"]: r["peak_concurrency"] for r in inference.peak_concurrency(df, "a", "b", ["k"], slot).collect()}
         assert found == {k: brute_peak(calls) for k, calls in data.items()}
+
+
+@pytest.mark.parametrize("use", ["filter", "take apart", "text", "join"])
+def test_the_service_is_called_once_per_row(spark, tmp_path, use):
+    notes = tmp_path / "calls"
+    rows = spark.range(100).selectExpr("id", "concat('q', id) AS question")
+    make = partial(Counted, str(notes))
+    if use == "text":
+        found = inference.answer_text(rows, make, prompt="question").filter("answer IS NOT NULL")
+    else:
+        found = inference.answer(rows, make, prompt="question")
+        found = {"filter": lambda: found.filter("answer.status = 'ok'"), "take apart": lambda: found.select("answer.*").filter("status = 'ok'"), "join": lambda: found.filter("answer.status = 'ok'").join(spark.range(100), "id")}[use]()
+    assert found.count() == found.filter("true").count() == 100
+    found.collect()
+    assert len(notes.read_text()) == 300
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ask(") == 1
+
+
+def test_sweeps_into_one_table_and_labels_are_new(spark, questions):
+    first, second = (inference.sweep(questions, [1, 2], Echo, "runs_again", label="s").collect() for _ in range(2))
+    assert sorted((r["parallelism"], r["status"], r["count"]) for r in second) == sorted((r["parallelism"], r["status"], r["count"]) for r in first)
+    assert {r["test_label"] for r in first}.isdisjoint(r["test_label"] for r in second)
+    table = spark.table("runs_again")
+    assert table.count() == table.select("test_label", "row_id").distinct().count() == 16
+    inference.labelled_run(questions, 1, Echo, "runs_again", label="mine")
+    with pytest.raises(ValueError, match="mine"):
+        inference.labelled_run(questions, 1, Echo, "runs_again", label="mine")

@@ -88,9 +88,8 @@ def test_fan_out_shows_in_the_counts(spark):
 
 @pytest.mark.parametrize("hot_rows, split_rows", [(18, 5_000_000), (1_000_000, 18), (1_000_000, 2_000_000), (18, 18), (0, 0)])
 @pytest.mark.parametrize("cells", [10_000_000, 60, 0])
-def test_large_groups_take_other_ways_to_the_same_rows(tasks, flagged, monkeypatch, hot_rows, split_rows, cells):
-    monkeypatch.setattr(outliers_module, "BROADCAST_CELLS", cells)
-    other = add_outliers(tasks, ["x"], ["a", "b"], hot_rows=hot_rows, split_rows=split_rows)
+def test_large_groups_take_other_ways_to_the_same_rows(tasks, flagged, hot_rows, split_rows, cells):
+    other = add_outliers(tasks, ["x"], ["a", "b"], hot_rows=hot_rows, split_rows=split_rows, broadcast_cells=cells)
     assert other.columns == flagged.columns
 
     def rows(df):
@@ -99,6 +98,14 @@ def test_large_groups_take_other_ways_to_the_same_rows(tasks, flagged, monkeypat
     assert rows(other) == rows(flagged)
 
 
+def test_more_large_groups_than_can_be_listed(tasks, flagged, monkeypatch):
+    find = outliers_module.find_hot_groups
+    monkeypatch.setattr(outliers_module, "find_hot_groups", lambda df, keys, rows, most: find(df, keys, rows, 1))
+    other = add_outliers(tasks, ["x"], ["a", "b"], split_rows=0, broadcast_cells=0)
+    assert other.columns == flagged.columns
+    assert sorted(map(repr, other.collect())) == sorted(map(repr, flagged.collect()))
+
+
 def test_classes_and_filters(flagged):
     classed = classify(flagged)
     counts = {r["outlier_class"]: r["count"] for r in classed.groupBy("outlier_class").count().collect()}

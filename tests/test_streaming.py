@@ -103,3 +103,29 @@ def test_each_event_is_written_once(spark, tmp_path, flush_every):
         log.onQueryProgress(event("q", batch))
     log.flush()
     assert spark.read.text(str(tmp_path / "l")).count() == 4
+
+
+def test_events_wait_if_their_write_fails(spark, tmp_path):
+    path = str(tmp_path / "l")
+    log = streaming.ProgressLog(spark, path, flush_every=100)
+    for batch in range(3):
+        log.onQueryProgress(event("q", batch))
+    log._path = "no-such-scheme://x/y"
+    with pytest.raises(Exception):
+        log.flush()
+    log._path = path
+    log.onQueryProgress(event("q", 3))
+    assert log.flush() == 4 and log.flush() == 0
+    assert spark.read.text(path).count() == 4
+    assert {r["kind"]: r["events"] for r in log.counts_table().collect()} == {"started": 0, "progress": 4, "terminated": 0}
+
+
+def test_lost_progress_is_an_error(spark):
+    def query(*batches):
+        return SimpleNamespace(name="n", id="i", recentProgress=[SimpleNamespace(batchId=b, json=event("q", b).progress.json) for b in batches])
+
+    assert streaming.collect_progress(spark, [query(0, 1, 1, 2), query()]).count() == 4
+    assert streaming.collect_progress(spark, [query(5, 6)], first_batch=5).count() == 2
+    for batches in ((3, 4), (0, 2)):
+        with pytest.raises(RuntimeError, match="gone"):
+            streaming.collect_progress(spark, [query(*batches)])

@@ -59,14 +59,45 @@ def test_slots_change_nothing(spark):
 
 
 @pytest.mark.parametrize("most", [0, 1, 30])
-def test_many_windows(spark, monkeypatch, most):
+def test_many_windows(spark, most):
     """All windows are too many to broadcast; those of the large keys are too many, or few enough."""
-    monkeypatch.setattr(windows_module, "BROADCAST_WINDOWS", most)
     stages = [("c", 1, 0, 1000), ("c", 2, 0, 1000), *(("d", n, 0, 10_000) for n in range(20))]
     tasks = [("c", 1, n, 10, 20) for n in range(50)] + [("c", 2, 90, 30, 40), ("d", 3, 91, 5000, 5000)]
     want = brute_force(tasks, stages, 30_000)
     for slot in (None, 500):
-        assert attached(spark, tasks, stages, slot_ms=slot, split_rows=10) == want
+        assert attached(spark, tasks, stages, slot_ms=slot, split_rows=10, broadcast_windows=most) == want
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_more_large_keys_than_can_be_listed(spark, monkeypatch, most):
+    find = windows_module.find_hot_groups
+    monkeypatch.setattr(windows_module, "find_hot_groups", lambda df, keys, rows: find(df, keys, rows, most=1))
+    stages = [("c", n, 0, 1000) for n in range(4)]
+    tasks = [("c", n, 100 * n + k, 10, 20) for n in range(4) for k in range(30)]
+    want = brute_force(tasks, stages, 30_000)
+    for slot in (None, 500):
+        assert attached(spark, tasks, stages, slot_ms=slot, split_rows=10, broadcast_windows=most) == want
+
+
+@pytest.mark.parametrize("split_rows", [None, 10])
+def test_long_windows_are_not_listed(spark, split_rows):
+    stages = [("c", 1, 0, 10**12), ("c", 1, 900, 2000), ("c", 2, 0, 1000), ("d", 1, 5, 10**15)]
+    tasks = [("c", n % 3, n, 100 * n, 100 * n + 50) for n in range(60)] + [("d", 1, 99, 10**14, 10**14 + 1)]
+    assert attached(spark, tasks, stages, slot_ms=100, split_rows=split_rows, most_slots=20) == brute_force(tasks, stages, 30_000)
+    plan_rows = windows_module._with_slots
+    listed = []
+
+    def seen(facts, windows, *args):
+        out = plan_rows(facts, windows, *args)
+        listed.append(out[1].count())
+        return out
+
+    windows_module._with_slots = seen
+    try:
+        attached(spark, tasks, stages, slot_ms=100, split_rows=split_rows, grace_ms=0, most_slots=20)
+    finally:
+        windows_module._with_slots = plan_rows
+    assert listed and listed[0] <= 2 * 22
 
 
 def test_listed_windows_are_not_broadcast_by_estimate(spark):
