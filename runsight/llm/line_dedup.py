@@ -37,6 +37,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: i
     """(occurrences of lines that may be repeated, the repeated lines with the document that keeps them)."""
     found = _occurrences(docs, min_chars)
     often = found.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_documents).drop("_n")
+    # Stored, so that the join below has nothing but a shuffle on either side and a frequent line can be split.
+    often = stage(often, "line_often")
     occurrences = stage(found.join(often, list(_LINE)), "line_occurrences")
     # Repeated rows become one before they are dealt out. The count above only has to be no smaller than that of documents.
     ranged = occurrences.distinct().repartitionByRange(*_LINE, "doc_id").sortWithinPartitions(*_LINE, "doc_id", "position")

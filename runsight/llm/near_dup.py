@@ -207,6 +207,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     rows = nodes.select("rep", "n_shingles", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("bucket"), F.sum("n_shingles").alias("weight")).filter("bucket > 1")
+    # Stored, so that the join has nothing but a shuffle on either side and a large bucket can be split.
+    buckets = stage(buckets, "minhash_buckets")
     members = stage(rows.join(buckets, "band"), "minhash_members")
 
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -228,6 +230,7 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     components = connected_components(links)
     placed = large.join(components, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+    mixed = stage(mixed, "minhash_mixed")
     blocks = F.greatest(F.ceil(F.col("bucket") / BLOCK_DOCUMENTS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     left = large.join(mixed, "band", "left_semi").withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
     # A block meets each other block once; a bucket of one block meets itself.

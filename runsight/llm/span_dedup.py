@@ -58,9 +58,11 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, min_words: int =
     found = identified(docs).select("doc_id", *ROW_KEY, F.explode_outer(spans).alias("_s")).filter("_s IS NOT NULL")
     found = found.select("doc_id", *ROW_KEY, "_s.position", "_s.length", F.col("_s.a").alias(_SPAN[0]), F.col("_s.b").alias(_SPAN[1]))
     often = found.groupBy(*_SPAN).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    # Stored, so that the join below has nothing but a shuffle on either side and a frequent span can be split.
+    often = stage(often, "span_often")
     occurrences = stage(found.join(often, list(_SPAN)), "span_occurrences")
     place = F.struct("doc_id", "position", *ROW_KEY)
-    firsts = occurrences.groupBy(*_SPAN).agg(F.min(place).alias("_first"))
+    firsts = stage(occurrences.groupBy(*_SPAN).agg(F.min(place).alias("_first")), "span_firsts")
     later = occurrences.join(firsts, list(_SPAN)).filter(~place.eqNullSafe(F.col("_first")))
     return later.select(*ROW_KEY, "position", "length", F.col("_first.doc_id").alias("first_doc_id"))
 
