@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from runsight.operators import events
 from runsight.sources import read_event_log, read_prompts
 
