@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.shipping import ship_code
 from runsight.llm import decontamination, line_dedup, mixing, near_dup, toxicity
 from runsight.sources.staging import stage
 
@@ -52,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for position, (name, work) in enumerate(STAGES):
         docs = work(spark, docs, sf_dir)

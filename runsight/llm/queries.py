@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.shipping import ship_code
 from runsight.llm import chat, decontamination, embedding_dedup, licenses, line_dedup, mixing, near_dup, pii, span_dedup, toxicity
 from runsight.llm.oracle import ORACLE  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
