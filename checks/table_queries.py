@@ -171,7 +171,7 @@ def _manifest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FIRST_COMMIT = 40
-"""From here on the third table has commits; a checkpoint stands for the others."""
+"""From here on the third table has commits; a checkpoint at the first of them stands for the others."""
 
 
 def _write_logs(spark: SparkSession, sf_dir: str) -> dict[str, str]:
@@ -179,8 +179,9 @@ def _write_logs(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     root = scratch_path(spark, "commit logs")
     lines = stored(spark, sf_dir, "commit_lines", lambda: stage(commit_lines(spark, sf_dir), "commit_lines"))
     actions = parse_actions(lines, {name: place for name, place in TABLES.items() if name.endswith("3")})
+    first = actions.filter(F.col("version") >= FIRST_COMMIT).agg(F.min("version")).first()[0]
     state = (
-        actions.filter((F.col("version") <= FIRST_COMMIT) & F.col("action").isin("add", "remove"))
+        actions.filter((F.col("version") <= first) & F.col("action").isin("add", "remove"))
         .groupBy("file_name")
         .agg(F.max_by(F.struct("action", "file_size"), "version").alias("last"))
         .filter("last.action = 'add'")
@@ -191,6 +192,9 @@ def _write_logs(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     version = F.regexp_extract("path", r"([0-9]{20})\.json$", 1)
     files = lines.select(table.alias("table"), version.alias("version"), "value")
     files = files.filter((F.col("table") != "3") | (F.col("version").cast("int") >= FIRST_COMMIT))
+    # Logs begin at version 0, also where no order is that early.
+    begin = [(name[-1], "0" * 20, '{"commitInfo":{"timestamp":0}}') for name in TABLES if not name.endswith("3")]
+    files = files.union(spark.createDataFrame(begin, files.schema))
     files.repartition("table", "version").write.partitionBy("table", "version").text(f"{root}/parts")
     # Only names are changed from here: the writer's to those of a commit log.
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -202,7 +206,7 @@ def _write_logs(spark: SparkSession, sf_dir: str) -> dict[str, str]:
             for part in system.globStatus(path(folder.getPath(), "part-*")):
                 system.rename(part.getPath(), path(f"{location}/_delta_log/{folder.getPath().getName().removeprefix('version=')}.json"))
     for part in system.globStatus(path(f"{root}/state/part-*")):
-        system.rename(part.getPath(), path(f"{locations['shop.orders_p3']}/_delta_log/{FIRST_COMMIT:020d}.checkpoint.parquet"))
+        system.rename(part.getPath(), path(f"{locations['shop.orders_p3']}/_delta_log/{first:020d}.checkpoint.parquet"))
     return locations
 
 
