@@ -161,6 +161,8 @@ def discover_keys(df: DataFrame, record_col: str = "logMessage") -> DataFrame:
         F.array_distinct(F.transform(items, lambda item: canonical_name(item["Name"]))),
         lambda name: F.struct(F.lit("accumulable").alias("kind"), name.alias("name")),
     )
+    # Cheap necessary test before the parse: both sections' names begin so. A text with escapes may spell them differently.
+    df = df.filter(F.col(record_col).contains('"Task ') | F.col(record_col).contains("\\u"))
     empty = F.array().cast("array<struct<kind:string,name:string>>")
     found = F.concat(F.coalesce(metric_names, empty), F.coalesce(item_names, empty))
     return (

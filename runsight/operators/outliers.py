@@ -165,6 +165,7 @@ def add_outliers(
     thresholds: Thresholds = Thresholds(),
     hot_rows: int | None = None,
     split_rows: int = SPLIT_ROWS,
+    broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
     """Stage statistics, flags and scores for tasks joined to their stages."""
     accumulables = {name: f"task_accumulables.{name}" for name in map(canonical_text, accumulable_keys)}
@@ -181,6 +182,7 @@ def add_outliers(
         distinct_as="stage_num_tasks",
         hot_rows=hot_rows,
         split_rows=split_rows,
+        broadcast_cells=broadcast_cells,
     )
 
 
