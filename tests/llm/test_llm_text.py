@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +76,29 @@ def test_spans_within_a_document_and_short_ones(spark):
     assert found == [(1, long + "Mid. ")] + rows[1:]
 
 
+def test_runs_of_short_sentences_are_found_whole(spark):
+    short = "".join(f"Short {i} here{'.!?'[i % 3]} " if i % 4 else f"Item {i} listed\n" for i in range(20))
+    uneven = " ".join(f"v{i}" for i in range(20)) + ". Yes. No. "
+    rows = [(1, short + "End of one."), (2, "So it began. " + short + "End of two."), (3, "Here. " + uneven + "End of three."), (4, "There. " + uneven + "End of four.")]
+    found = texts(span_dedup.dedup_spans(docs_of(spark, rows)))
+    assert found == [rows[0], (2, "So it began. End of two."), rows[2], (4, "There. End of four.")]
+
+
+def test_grown_runs_cover_every_run(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["A b c.", "D.", "E f g h i j k.", "L m n o p q r s t u v w x.", f"Own{i}."]) for _ in range(rng.randrange(30)))) for i in range(40)]
+    split = {i: [s.strip().lower() for s in re.findall(r"[^.]+\.", t)] for i, t in rows}
+    first, gone = {}, collections.defaultdict(set)
+    for i, sentences in split.items():
+        for a in range(len(sentences)):
+            for b in range(a + 2, len(sentences) + 1):
+                run = tuple(sentences[a:b])
+                if sum(len(s.split()) for s in run) >= 12 and first.setdefault(run, (i, a)) != (i, a):
+                    gone[i].update(range(a, b))
+    changed = span_dedup.changed_documents(docs_of(spark, rows)).collect()
+    assert {r["doc_id"]: {x for run in r["removed"] for x in range(run["start"], run["start"] + run["length"])} for r in changed} == gone
+
+
 def test_repeated_rows_keep_their_spans(spark):
     row = (1, " ".join(f"w{i}" for i in range(40)) + ".")
     assert texts(span_dedup.dedup_spans(docs_of(spark, [row, row]))) == [row, row]
