@@ -318,6 +318,22 @@ def test_trees_select_by_format_and_context(spark):
     assert sum(len(found[i]) > 1 for i in range(600)) < 30
 
 
+def test_loose_forms_are_selected(spark):
+    rng = random.Random(10)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [(i, f"Please call +1 ({digits(3)}) {digits(3)}-{digits(4)} or mail jo{i}@mail{i % 7}.com, order {digits(10)} is ready.") for i in range(600)]
+    loose = {"1 (222) 333-4444": "phone", "(222) 333-4444": "phone", "jane (at) mail (dot) com": "email", "jane[at]mail[dot]com": "email"}
+    rows += [(1000 + i, f"Please write to {text} now.") for i, text in enumerate(loose)]
+    rows += [(2000, "They meet (at) home. Then they go."), (2001, "Order 7345550123 is ready.")]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    for i, (text, kind) in enumerate(loose.items()):
+        start = len("Please write to ")
+        assert [(s["start"], s["end"], pii.KINDS[s["kind"] - 1]) for s in found[1000 + i]] == [(start, start + len(text), kind)]
+    assert found[2000] == found[2001] == []
+    assert sum(len(found[i]) > 2 for i in range(600)) < 30
+
+
 def test_queries_of_models(spark):
     from __spark_entry__ import queries
 
