@@ -12,12 +12,23 @@ from pyspark.sql import functions as F
 from runsight.llm.licence_texts import EQUIVALENT, KNOWN
 from runsight.llm.text import ROW_KEY, identified
 
-COPYRIGHT_LINE = r"(?md)^[^\p{L}\p{N}\n©(]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+_HOLDER = r"(?-i:Copyright(?: by)? (?!Notice|Holder|Owner|Licen|Law|And )\p{Lu})"
+_NOTICE = r"(?:copyright[ \t]*(?:by[ \t]+)?(?:\(c\)|©|[0-9]{4}|[\[<{][^\n]{0,40}[\]>}])|\(c\)[ \t]*(?:copyright|[0-9]{4})|©|" + _HOLDER + ")"
+COPYRIGHT_LINE = r"(?mdiu)^[^\p{L}\p{N}\n©(]*(?:" + _NOTICE + r"[^\n]{0,300}|all rights reserved(?:[^\p{L}\p{N}\n]*| by [^\n]{0,300}))$"
+"""A line that is a notice: it has a year, a sign or a holder, or says no more than that all rights are reserved."""
+COPYRIGHT_BEFORE_TEXT = r"(?iu)" + _NOTICE + (
+    r"[^\n]{0,300}?(?=permission is hereby granted|permission to use|redistribution and use|licensed under the|this program is free software"
+    r"|this software is provided|this source code form|boost software license|everyone is permitted)"
+)
+"""A notice on one line with what comes after it."""
 
 
 def canonical_lines(text: Column) -> Column:
     """The text's lines in canonical form, without lines that are empty in it."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+    text = F.coalesce(text, F.lit(""))
+    notice = F.lower(text).rlike(r"copyright|\(c\)|©|all rights reserved")
+    without = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_BEFORE_TEXT, ""), COPYRIGHT_LINE, "")
+    out = F.lower(F.when(notice, without).otherwise(text))
     # Each word gets spaces of its own, so that spellings can be replaced as whole words.
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", "  ")
     out = F.concat(F.lit(" "), F.replace(out, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
@@ -29,7 +40,15 @@ def canonical_lines(text: Column) -> Column:
 
 def canonical_digest(lines: Column) -> Column:
     """Digest of an entire text; where its lines break makes no difference. Null if nothing is left of it."""
-    return F.when(F.size(lines) > 0, F.sha2(F.array_join(lines, " "), 256))
+    joined = F.array_join(lines, " ")
+    whole = joined
+    # Spellings of one word are replaced by line; those of several may have stood on both sides of a break.
+    for other, usual in EQUIVALENT.items():
+        if " " in other:
+            spaced = F.replace(F.concat(F.lit(" "), whole, F.lit(" ")), F.lit(" "), F.lit("  "))
+            spaced = F.replace(spaced, F.lit(f" {other.replace(' ', '  ')} "), F.lit(f" {usual} "))
+            whole = F.when(whole.contains(other), F.trim(F.regexp_replace(spaced, " +", " "))).otherwise(whole)
+    return F.when(F.size(lines) > 0, F.sha2(whole, 256))
 
 
 def known_digests(spark: SparkSession, texts: dict[str, str] = KNOWN) -> DataFrame:

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,6 +179,23 @@ def test_licences_of_texts_and_lines(spark):
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs.union(docs)).count() == 16
 
 
+def test_licences_however_lines_break(spark):
+    full = {name: text for name, text in KNOWN.items() if not name.startswith("notice")}
+    cases = []
+    for name, text in full.items():
+        paragraphs = [" ".join(p.split()) for p in text.split("\n\n")]
+        for width in (30, 48, 60, 72, 100, 10_000):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in paragraphs)
+            cases += [(name, wrapped), (name, "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + wrapped), (name, "Copyright Someone Else\n" + wrapped)]
+        cases.append((name, " ".join(paragraphs)))
+        title = paragraphs.pop(0) if "titled" in name else ""
+        cases.append((name, " ".join([title, "Copyright (c) 2020 Someone, Inc."] + paragraphs)))
+    mit = KNOWN["MIT"]
+    cases.append(("MIT", mit.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS").replace("sublicense", "sub-\nlicense").replace("NONINFRINGEMENT", "NON-\nINFRINGEMENT")))
+    found = {r["doc_id"]: r["licence"] for r in licenses.scan(docs_of(spark, list(enumerate(t for _, t in cases)))).collect()}
+    assert [(n, t) for i, (n, t) in enumerate(cases) if found[i] != n] == []
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 
 
