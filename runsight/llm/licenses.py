@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsight.llm.licence_texts import EQUIVALENT, KNOWN
+from runsight.llm.licence_texts import COMMON, COMMON_DIGESTS, EQUIVALENT, KNOWN
 from runsight.llm.text import ROW_KEY, identified
 
 _HOLDER = r"(?-i:Copyright(?: by)? (?!Notice|Holder|Owner|Licen|Law|And )\p{Lu})"
@@ -51,10 +51,12 @@ def canonical_digest(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.sha2(whole, 256))
 
 
-def known_digests(spark: SparkSession, texts: dict[str, str] = KNOWN) -> DataFrame:
-    """(digest, licence) of the given texts. Of texts with one digest, the first name counts."""
-    rows = spark.createDataFrame([(name, text) for name, text in texts.items()], "licence string, text string")
+def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
+    """(digest, licence) of the given texts, by default of all in `licence_texts`. Of texts with one digest, the first name counts."""
+    rows = spark.createDataFrame(list((KNOWN | COMMON if texts is None else texts).items()), "licence string, text string")
     named = rows.select("licence", canonical_digest(canonical_lines(F.col("text"))).alias("digest")).filter("digest IS NOT NULL")
+    if texts is None:
+        named = named.unionByName(spark.createDataFrame(list(COMMON_DIGESTS.items()), "digest string, licence string"))
     return named.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 

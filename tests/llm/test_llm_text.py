@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
 import textwrap
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runsight.llm import chat, licenses, line_dedup, mixing, span_dedup
-from runsight.llm.licence_texts import KNOWN
+from runsight.llm.licence_texts import COMMON, KNOWN
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LINE = "This line is long enough to be looked at by all."
@@ -196,6 +197,16 @@ def test_licences_however_lines_break(spark):
     assert [(n, t) for i, (n, t) in enumerate(cases) if found[i] != n] == []
 
 
+def test_common_licences_are_known(spark):
+    cases = [(name, sign + " ".join(text.split("\n"))) for name, text in COMMON.items() for sign in ("", "Copyright (c) 2021 Someone\n\n")]
+    for name, file in {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}.items():
+        path = pathlib.Path("/usr/share/common-licenses", file)
+        if path.exists():
+            cases.append((name, path.read_text()))
+    found = {r["doc_id"]: r["licence"] for r in licenses.scan(docs_of(spark, list(enumerate(t for _, t in cases)))).collect()}
+    assert [n for i, (n, _) in enumerate(cases) if found[i] != n] == []
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 
 
