@@ -123,4 +123,36 @@ SELECT doc_id, count(*) AS n_sentences, count(g.j) AS n_removed,
     sha256(coalesce(string_agg(sentence, '' ORDER BY i) FILTER (g.j IS NULL), '')) AS kept_sha256, min(first_doc_id) AS first_doc_id
 FROM each e LEFT JOIN gone g ON g.r = e.r AND g.j = e.i GROUP BY e.r, doc_id HAVING count(g.j) > 0"""
 
-ORACLE = {"op7_span_dedup": _SPANS, "op7_span_dedup_runs": _RUNS, "op8_embedding_near_dup": _VECTORS, "op1_near_dup": _NEAR, "op5_chat_format": _CHAT, "op9_line_dedup": _LINES, "op10_license_scan": _LICENCES}
+_MIDDLE = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+rolled AS (SELECT doc_id, t, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM docs),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM rolled),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM parts"""
+
+
+def _clusters(rounds: int = 3) -> str:
+    """Rounds one after another, each as a step of its own."""
+    steps = """WITH whole AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+vectors AS (SELECT r, vec_id, i, v[i] AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM whole)),
+centroids_0 AS (SELECT c, i, v[i] AS y FROM (SELECT *, unnest(range(1, 65)) AS i FROM (
+    SELECT v, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS c FROM whole) WHERE c < 16))"""
+    for n in range(rounds + 1):
+        steps += f""",
+apart_{n} AS (SELECT r, vec_id, c, CAST(sum((x - y) * (x - y)) AS BIGINT) AS distance FROM vectors JOIN centroids_{n} USING (i) GROUP BY ALL),
+nearest_{n} AS (SELECT r, vec_id, c, distance FROM apart_{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c) = 1)"""
+        if n < rounds:
+            steps += f""",
+means_{n} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM nearest_{n} JOIN vectors USING (r) GROUP BY ALL),
+centroids_{n + 1} AS (SELECT c, i, coalesce((s - (s % n + n) % n) // n, y) AS y FROM centroids_{n} LEFT JOIN means_{n} USING (c, i))"""
+    return f"""{steps},
+digests AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM centroids_{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM nearest_{rounds} JOIN digests USING (c)"""
+
+
+ORACLE = {"op7_span_dedup": _SPANS, "op7_span_dedup_runs": _RUNS, "op8_embedding_near_dup": _VECTORS, "op1_near_dup": _NEAR, "op5_chat_format": _CHAT, "op9_line_dedup": _LINES, "op10_license_scan": _LICENCES, "op12_centroid_clusters": _clusters(), "op13_fill_in_middle": _MIDDLE}

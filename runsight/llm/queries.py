@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.shipping import ship_code
-from runsight.llm import chat, decontamination, embedding_dedup, licenses, line_dedup, mixing, near_dup, pii, span_dedup, toxicity
+from runsight.llm import centroids, chat, decontamination, embedding_dedup, fill_middle, licenses, line_dedup, mixing, near_dup, pii, quality, span_dedup, toxicity
 from runsight.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -108,6 +108,21 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"))
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.with_restored(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_near_dup": near_dup_minhash,
     "op2_mixing": mixture,
@@ -120,4 +135,7 @@ QUERIES = {
     "op8_embedding_near_dup": embedding_near_dup,
     "op9_line_dedup": line_dedup_digest,
     "op10_license_scan": license_scan,
+    "op11_quality": quality_scores,
+    "op12_centroid_clusters": centroid_clusters,
+    "op13_fill_in_middle": fill_in_middle,
 }
