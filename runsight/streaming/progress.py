@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import json
 import threading
 from collections.abc import Iterable
+from datetime import datetime, timezone
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +53,10 @@ def collect_progress(spark: SparkSession, queries: Iterable[StreamingQuery], fir
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps count of all query events and writes the progress events as JSON lines, `flush_every` at a time.
+    """Keeps count of all query events and writes them as JSON lines, `flush_every` progress events at a time.
 
     What is not written yet is lost with the driver. Events whose write fails wait for the next one. Without a path
-    nothing is written and nothing is held.
+    nothing is written and nothing is held. Where no callback connection may be opened, `hear` asks the queries instead.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, flush_every: int = 100):
@@ -64,9 +67,15 @@ class ProgressLog(StreamingQueryListener):
         self._lock = threading.Lock()
         self._writing = threading.Lock()
         self._counts = {"started": 0, "progress": 0, "terminated": 0}
+        self._names: dict[str, str] = {}
+        self._heard: dict[str, int] = {}
+        self._ended: set[str] = set()
 
     def onQueryStarted(self, event) -> None:
         self._count("started")
+        if event is not None:
+            self._names[str(event.id)] = event.name
+            self._note("started", event, event.timestamp)
 
     def onQueryProgress(self, event) -> None:
         self._count("progress")
@@ -83,8 +92,38 @@ class ProgressLog(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         self._count("terminated")
+        if event is not None:
+            self._note("terminated", event, datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z")
         self.flush()
 
+    def hear(self, query: StreamingQuery) -> None:
+        """Take what `query` reports of itself: that it runs, its progress, and that it ended. What was heard before isn't taken again.
+
+        Spark holds the last events of a query, by default 100. If some went by unheard, that is an error.
+        """
+        run, events = str(query.runId), query.recentProgress
+        about = SimpleNamespace(id=query.id, runId=query.runId, name=query.name)
+        if run not in self._heard:
+            about.timestamp = events[0].timestamp if events else datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
+            self.onQueryStarted(about)
+        before = self._heard.setdefault(run, -1)
+        new = [progress for progress in events if progress.batchId > before]
+        if new and before >= 0 and new[0].batchId != before + 1:
+            raise RuntimeError(f"events of query {query.name or query.id} between batches {before} and {new[0].batchId} are gone")
+        for progress in new:
+            self.onQueryProgress(SimpleNamespace(progress=progress))
+            self._heard[run] = progress.batchId
+        if not query.isActive and run not in self._ended:
+            self._ended.add(run)
+            self.onQueryTerminated(about)
+
+    def _note(self, kind: str, event, timestamp: str) -> None:
+        if self._path:
+            query = str(event.id)
+            line = {"event": kind, "id": query, "runId": str(event.runId), "name": self._names.get(query), "timestamp": timestamp}
+            with self._lock:
+                self._waiting.append(json.dumps(line))
+
     def counts(self) -> dict[str, int]:
         """Events seen per kind, and in all."""
         with self._lock:
@@ -125,7 +164,7 @@ def unregister(spark: SparkSession, log: ProgressLog | None) -> None:
 
 def progress_table(spark: SparkSession, path: str) -> DataFrame:
     """Written progress events, each once, newest first."""
-    events = read_json_dir(spark, path, PROGRESS_SCHEMA).filter(F.col("id").isNotNull())
+    events = read_json_dir(spark, path, PROGRESS_SCHEMA).filter("id IS NOT NULL AND batchId IS NOT NULL")
     return events.withColumn("_key", progress_key()).dropDuplicates(["_key"]).drop("_key").orderBy(F.col("timestamp").desc())
 
 
@@ -138,6 +177,13 @@ def progress_by_query(events: DataFrame) -> DataFrame:
     )
 
 
+def batch_counts(events: DataFrame) -> DataFrame:
+    """Per query name and batch, the rows read and the rows counted. A batch that was reported several times counts once."""
+    return events.groupBy("name", F.col("batchId").alias("batch_id")).agg(
+        F.max("numInputRows").alias("input_rows"), F.max(F.col("observedMetrics")["batch"]["rows"].cast("bigint")).alias("counted_rows")
+    )
+
+
 def event_counts(events: DataFrame, kind: str = "kind") -> DataFrame:
     """Events per kind."""
     return events.groupBy(kind).agg(F.count(F.lit(1)).alias("events"))

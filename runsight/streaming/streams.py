@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,27 @@ def event_stream(
     return reader.parquet(path)
 
 
+def run_kept(
+    stream: DataFrame,
+    name: str,
+    path: str,
+    checkpoint: str,
+    *,
+    every: str | None = None,
+    partition_by: Sequence[str] = (),
+) -> StreamingQuery:
+    """Start a named query that appends each batch to the Parquet folder `path`, and counts its rows as `run_counted` does.
+
+    The folder's own log names the files of finished batches, and Spark's reader goes by it: a batch that was cut short and
+    repeated after a restart from `checkpoint` is there once. `stream` must allow append mode.
+    """
+    counted = stream.observe("batch", F.count(F.lit(1)).alias("rows"))
+    writer = counted.writeStream.queryName(name).outputMode("append").format("parquet")
+    writer = writer.option("path", path).option("checkpointLocation", checkpoint)
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def run_counted(
     stream: DataFrame,
     name: str,

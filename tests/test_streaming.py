@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import json
+import random
 from types import SimpleNamespace
 
 import pytest
 
 from runsight import streaming
+from runsight.operators.events import parse_records, stage_rows, task_rows
+from runsight.operators.windows import attach_stages
+from runsight.sources import read_event_log
 
 
 def event(query, batch, rows=5, second=0):
@@ -129,3 +133,148 @@ def test_lost_progress_is_an_error(spark):
     for batches in ((3, 4), (0, 2)):
         with pytest.raises(RuntimeError, match="gone"):
             streaming.collect_progress(spark, [query(*batches)])
+
+
+def lines_of(path):
+    return [json.loads(line) for file in sorted(path.glob("*")) if not file.name.startswith((".", "_")) for line in file.read_text().splitlines()]
+
+
+def queries_of(spark, tmp_path, parts, name, checkpoint, keep=None):
+    """A query over a folder that gets `parts` more files, run to its end."""
+    for n in parts:
+        spark.range(n * 10, n * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streaming.event_stream(spark, str(tmp_path / "in"), "id bigint", "*.parquet", files_per_batch=1)
+    query = streaming.run_kept(stream, name, keep, checkpoint) if keep else streaming.run_counted(stream, name, checkpoint=checkpoint)
+    query.awaitTermination()
+    return query
+
+
+def test_a_log_hears_each_event_once(spark, tmp_path):
+    log = streaming.ProgressLog(spark, str(tmp_path / "log"), flush_every=2)
+    query = queries_of(spark, tmp_path, range(3), "heard", str(tmp_path / "c"))
+    for _ in range(2):
+        log.hear(query)
+    assert log.counts() == {"started": 1, "progress": 3, "terminated": 1, "total": 5}
+    again = queries_of(spark, tmp_path, range(3, 5), "heard", str(tmp_path / "c"))
+    log.hear(again)
+    assert log.counts() == {"started": 2, "progress": 5, "terminated": 2, "total": 9}
+    lines = lines_of(tmp_path / "log")
+    assert sum("event" in line for line in lines) == 4 and {line["name"] for line in lines} == {"heard"}
+    assert streaming.progress_table(spark, str(tmp_path / "log")).count() == 5
+
+
+def test_events_that_went_by_unheard_are_an_error(spark):
+    def query(*batches):
+        events = [SimpleNamespace(batchId=b, timestamp="t", json=event("q", b).progress.json) for b in batches]
+        return SimpleNamespace(id="i", runId="r", name="n", recentProgress=events, isActive=True)
+
+    log = streaming.ProgressLog(spark)
+    log.hear(query(0, 1))
+    log.hear(query(0, 1, 2))
+    assert log.counts()["progress"] == 3 and log.counts()["terminated"] == 0
+    with pytest.raises(RuntimeError, match="between batches 2 and 5"):
+        log.hear(query(5, 6))
+
+
+def test_counts_outlive_restarts_and_leave_out_copies(spark, tmp_path):
+    path, counted, own = (str(tmp_path / name) for name in ("log", "counted", "own"))
+    logs = [streaming.ProgressLog(spark, path, flush_every=n) for n in (1, 100)]
+    for run, parts in enumerate((range(3), range(3, 7)), 1):
+        query = queries_of(spark, tmp_path, parts, "counted", str(tmp_path / "c"))
+        for log in logs:
+            log.hear(query)
+        for _ in range(2):
+            # The second time there is nothing new.
+            streaming.count_events(spark, path, counted, own, files_per_batch=2).awaitTermination()
+        rows = {r["kind"]: (r["events"], r["batches"], r["input_rows"], r["counted_rows"]) for r in streaming.event_totals(spark, counted).collect()}
+        seen = parts[-1] + 1
+        assert rows == {"started": (run, None, None, None), "terminated": (run, None, None, None), "progress": (seen, seen, 10 * seen, 10 * seen)}
+    (tmp_path / "log" / "bad.json").write_text('{"id": "x", "batchId":\n{"other": 1}\n')
+    streaming.count_events(spark, path, counted, own).awaitTermination()
+    assert sum(r["events"] for r in streaming.event_totals(spark, counted).collect()) == 11
+
+
+def test_counted_events_within_the_watermark_may_come_in_any_order(spark, tmp_path):
+    path = tmp_path / "log"
+    path.mkdir()
+    order = [5, 3, 4, 3, 5, 1]
+    for n, batch in enumerate(order):
+        (path / f"{n}.json").write_text(" ".join(event("q", batch, second=batch).progress.json.split("\n")))
+        streaming.count_events(spark, str(path), str(tmp_path / "counted"), str(tmp_path / "own"), late="1 minute").awaitTermination()
+    row = streaming.event_totals(spark, str(tmp_path / "counted")).first()
+    assert (row["events"], row["batches"], row["input_rows"]) == (4, 4, 20)
+
+
+def test_a_kept_stream_that_is_stopped_between_batches_holds_each_row_once(spark, tmp_path):
+    for n in range(6):
+        spark.range(n * 10, n * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streaming.event_stream(spark, str(tmp_path / "in"), "id bigint", "*.parquet", files_per_batch=1)
+    keep, own, events = str(tmp_path / "kept"), str(tmp_path / "c"), []
+    query = streaming.run_kept(stream, "kept", keep, own, every="100 milliseconds")
+    for _ in range(200):
+        if query.recentProgress:
+            break
+        query.awaitTermination(0.1)
+    query.stop()
+    events.append(streaming.collect_progress(spark, [query]))
+    done = spark.read.parquet(keep).count()
+    assert 10 <= done <= 60
+    # What a batch that was cut short has left behind is in no batch.
+    spark.range(1000, 1005).coalesce(1).write.parquet(str(tmp_path / "left"))
+    for file in (tmp_path / "left").glob("part-*"):
+        (tmp_path / "kept" / file.name).write_bytes(file.read_bytes())
+    query = streaming.run_kept(stream, "kept", keep, own)
+    query.awaitTermination()
+    events.append(streaming.collect_progress(spark, [query], query.recentProgress[0].batchId if query.recentProgress else 0))
+    assert sorted(r["id"] for r in spark.read.parquet(keep).collect()) == list(range(60))
+    counts = streaming.batch_counts(events[0].unionByName(events[1])).filter("input_rows > 0").collect()
+    assert sorted(r["batch_id"] for r in counts) == list(range(6)) and {r["counted_rows"] for r in counts} == {10}
+
+
+def record(kind, **about):
+    if kind == "task":
+        info = {"Task ID": about["task"], "Launch Time": about["launch"], "Finish Time": about["finish"], "Executor ID": "1", "Host": "h"}
+        return json.dumps({"Event": "SparkListenerTaskEnd", "Stage ID": about["stage"], "Task Type": "T", "Task Info": info})
+    info = {"Stage ID": about["stage"], "Stage Attempt ID": 0, "Number of Tasks": 1, "Submission Time": about["since"], "Completion Time": about["until"]}
+    return json.dumps({"Event": "SparkListenerStageCompleted", "Stage Info": info})
+
+
+def test_a_growing_log_gives_what_the_whole_log_gives(spark, tmp_path):
+    dice, minute = random.Random(3), 60_000
+    lines = []
+    for n in range(60):
+        # Stage ids come back, and some runs overlap.
+        since = n * 7 * minute
+        until = since + dice.randint(1, 20) * minute
+        lines.append((until, record("stage", stage=n % 4, since=since, until=until)))
+        for k in range(5):
+            launch = since + dice.randint(-1, 10) * minute
+            finish = launch + dice.randint(0, 10) * minute
+            lines.append((finish + dice.randint(-9, 9) * minute, record("task", task=n * 10 + k, stage=n % 4, launch=launch, finish=finish)))
+    lines.append((0, "not a record"))
+    texts = [text for _, text in sorted(lines)]
+    path = tmp_path / "log"
+    path.mkdir()
+    options = {"grace_ms": minute, "slot_ms": 5 * minute}
+    for n in range(5):
+        (path / f"{n}.txt").write_text("\n".join(texts[n * len(texts) // 5 : (n + 1) * len(texts) // 5]))
+        stream = streaming.event_log_stream(spark, str(path), "c", files_per_batch=1)
+        joined = streaming.attach_stages_stream(stream, longest_ms=30 * minute, late="1 hour", **options)
+        query = streaming.run_kept(joined, "log", str(tmp_path / "kept"), str(tmp_path / "c"))
+        query.awaitTermination()
+    held = [operator.numRowsTotal for operator in query.recentProgress[-1].stateOperators]
+    assert held and sum(held) < len(lines)
+    raw = read_event_log(spark, str(path), "c")
+    parsed = parse_records(raw, metric_keys=(), accumulable_keys=())
+    whole = attach_stages(task_rows(parsed), stage_rows(parsed), grace_ms=minute, slot_ms=5 * minute, split_rows=None)
+    columns = ["task_id", "stage_id", "task_launch_time", "stage__submission_time", "stage__completion_time", "stage__num_tasks", "event_time"]
+    found, expected = (sorted(map(tuple, df.select(*columns).collect())) for df in (spark.read.parquet(str(tmp_path / "kept")), whole))
+    assert found == expected and len(found) > 150
+
+
+def test_a_stage_that_runs_too_long_for_the_state_is_an_error(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "0.txt").write_text("\n".join([record("stage", stage=1, since=0, until=10**9), record("task", task=1, stage=1, launch=1, finish=2)]))
+    joined = streaming.attach_stages_stream(streaming.event_log_stream(spark, str(tmp_path / "log"), "c"), longest_ms=10**8)
+    with pytest.raises(Exception, match="runs longer"):
+        streaming.run_kept(joined, "long", str(tmp_path / "kept"), str(tmp_path / "c")).awaitTermination()
