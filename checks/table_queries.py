@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import datetime
 import uuid
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks.log_fixture import EVENT_TYPES
 from checks.tables import load, stored
 from runsight.functions import canonical_name
+from runsight.operators.asof import attach_last_window
+from runsight.operators.distinct_counts import common_bitmaps, distinct_counts, id_bitmaps, merge_bitmaps
 from runsight.operators.group_stats import group_stats
 from runsight.operators.inference import peak_concurrency
-from runsight.operators.manifest import file_history, size_report, size_report_of_actions
+from runsight.operators.manifest import file_history, size_report, size_report_of_actions, version_totals
 from runsight.operators.outliers import Thresholds, add_group_outliers, classify
+from runsight.operators.percentile_sketches import merge_sketches, percentiles_by_sketch, sketch_values
 from runsight.operators.windows import attach_window
 from runsight.sources import append_labelled, materialize, parse_actions, read_actions, read_json_dir
 from runsight.sources.staging import scratch_path, stage
@@ -80,6 +83,57 @@ def _stats_of_large_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats, "avg_", "median_", "p95_")
 
 
+def _stats_by_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other way of large groups: their percentiles narrowed down by sketches."""
+    stats = group_stats(load(spark, sf_dir, "events"), ["event_type"], {"value": "value", "k": K}, hot_rows=1, large_by="sketch")
+    return _rounded(stats, "avg_", "median_", "p95_")
+
+
+def _merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of all rows and of each type, from sketches that are stored per type and day. Few values at once, so that brackets are refined."""
+    events, values = load(spark, sf_dir, "events"), {"value": "value", "k": K}
+    daily = stage(sketch_values(events, ["event_type", F.to_date("ts").alias("day")], values), "daily_sketches")
+
+    def of(*keys: str) -> DataFrame:
+        found = percentiles_by_sketch(events, keys, values, (0.5, 0.95), sketches=merge_sketches(daily, keys, list(values)), at_once=100)
+        kind = F.col("event_type") if keys else F.lit("all")
+        columns = [F.round(F.col(name)[i], 6).alias(f"{label}_{name}") for name in values for i, label in enumerate(("median", "p95"))]
+        return found.select(kind.alias("event_type"), *columns)
+
+    return of("event_type").unionByName(of())
+
+
+def _distinct_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users in two tables whose users overlap: of each, of both together, and common to both."""
+    events = load(spark, sf_dir, "events")
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    one, other = (stage(id_bitmaps(events.filter(test), ["event_type"], "user_id"), "user_bitmaps") for test in (early, ~early))
+    tables = {"early": one, "late": other, "together": merge_bitmaps([one, other], ["event_type"]), "common": common_bitmaps([one, other], ["event_type"])}
+    parts = [distinct_counts(bitmaps, ["event_type"], "users").withColumn("of", F.lit(name)) for name, bitmaps in tables.items()]
+    return reduce(DataFrame.unionByName, parts).filter("users > 0")
+
+
+def _last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event between two purchases of its user, with the first of these: the windows follow one another without overlap."""
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", at.alias("at"), "event_type")
+    bought = events.filter("event_type = 'purchase'").groupBy("user_id", "at").agg(F.max("event_id").alias("purchase_id"))
+    until = F.lead("at").over(Window.partitionBy("user_id").orderBy("at")) - 1
+    windows = bought.select(F.col("user_id").alias("buyer"), F.col("at").alias("bought_at"), until.alias("until"), "purchase_id").filter("until IS NOT NULL")
+    bounds = {"start": "at", "end": "at", "window_start": "bought_at", "window_end": "until"}
+    return attach_last_window(stage(events, "events"), stage(windows, "purchases"), on={"user_id": "buyer"}, ranges=32, drop=(), **bounds).drop("buyer")
+
+
+def _stored_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their lines, each stored by order, joined and summed up without a shuffle."""
+    names = {}
+    for table, key, columns in (("orders", "o_orderkey", ["o_orderpriority"]), ("lineitem", "l_orderkey", ["l_quantity", "l_linenumber"])):
+        names[table] = f"{table}_{uuid.uuid4().hex}"
+        materialize(load(spark, sf_dir, table).select(key, *columns), names[table], path=scratch_path(spark, table), bucket_by=[key], buckets=16)
+    joined = spark.table(names["orders"]).join(spark.table(names["lineitem"]).hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").cast("double").alias("quantity"))
+
+
 def _event_outliers(spark: SparkSession, sf_dir: str, key: str = "user_id", **options) -> DataFrame:
     events = load(spark, sf_dir, "events").withColumn("k", F.expr(K))
     rows = add_group_outliers(
@@ -225,6 +279,11 @@ def _manifest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _version_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `manifest_versions` has, from the starts and ends of lifetimes."""
+    return version_totals(_actions(spark, sf_dir), NOW, block=16).drop("table_location", "version_timestamp").filter("files > 0")
+
+
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = stored(spark, sf_dir, "commit_lines", lambda: stage(commit_lines(spark, sf_dir), "commit_lines"))
     return stage(parse_actions(lines, TABLES), "actions")
@@ -279,12 +338,18 @@ QUERIES = {
     "group_stats_users": _stats_by_user,
     "group_stats_documents": _stats_by_source,
     "group_stats_large_groups": _stats_of_large_groups,
+    "group_stats_sketches": _stats_by_sketch,
+    "percentiles_merged_sketches": _merged_sketches,
+    "distinct_bitmaps": _distinct_bitmaps,
+    "attach_last_window": _last_purchase,
+    "stored_join": _stored_join,
     "flag_outliers": _event_outliers,
     "flag_outliers_large_groups": partial(_event_outliers, key="event_type", hot_rows=1, split_rows=1),
     "outlier_score": _outlier_score,
     "manifest_history": _manifest_history,
     "manifest_from_files": _manifest_from_files,
     "manifest_versions": _manifest_versions,
+    "manifest_version_totals": _version_totals,
     "manifest_sizes": _manifest_sizes,
     "manifest_sizes_from_table": _manifest_sizes_from_table,
     "peak_concurrency": _peak_concurrency,
@@ -387,6 +452,16 @@ ranks AS (
 SELECT * FROM kinds JOIN ranks USING (table_name)"""
 )
 
+_VERSIONS_SQL = (
+    _MANIFEST_SQL
+    + """SELECT table_name, table_version_number, in_retention_period, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes,
+  CAST(sum(latest_version) AS BIGINT) AS still_live FROM history GROUP BY ALL"""
+)
+
+_QUANTILES_SQL = ", ".join(
+    f"round(CAST(quantile_cont({c}, {p}) AS DOUBLE), 6) AS {label}_{c}" for c in ("value", "k") for label, p in (("median", 0.5), ("p95", 0.95))
+)
+
 ORACLE = {
     "canonical_names": """SELECT p_partkey, lower(regexp_replace(p_name, '[^a-zA-Z0-9_]+', '_', 'g')) AS name,
   lower(regexp_replace(p_type || ' (p)', '[^a-zA-Z0-9_]+', '_', 'g')) AS type FROM part""",
@@ -398,6 +473,21 @@ ORACLE = {
   {_stats_sql({"chars": "n_chars", "words": "len(string_split(text, ' '))"}, "doc_")} FROM documents GROUP BY ALL""",
     "group_stats_large_groups": f"""SELECT event_type, count(*) AS num_rows,
   {_stats_sql({"value": "value", "k": "k"})} FROM (SELECT *, {_K_SQL} AS k FROM events) GROUP BY ALL""",
+    "group_stats_sketches": f"""SELECT event_type, count(*) AS num_rows,
+  {_stats_sql({"value": "value", "k": "k"})} FROM (SELECT *, {_K_SQL} AS k FROM events) GROUP BY ALL""",
+    "percentiles_merged_sketches": f"""SELECT coalesce(event_type, 'all') AS event_type, {_QUANTILES_SQL}
+  FROM (SELECT *, {_K_SQL} AS k FROM events) GROUP BY GROUPING SETS ((event_type), ())""",
+    "distinct_bitmaps": """WITH e AS (SELECT event_type, user_id, ts < TIMESTAMP '2024-01-16' AS early FROM events),
+u AS (SELECT event_type, user_id, bool_or(early) AS a, bool_or(NOT early) AS b FROM e GROUP BY ALL)
+SELECT event_type, 'early' AS of, count(*) AS users FROM u WHERE a GROUP BY ALL UNION ALL
+SELECT event_type, 'late', count(*) FROM u WHERE b GROUP BY ALL UNION ALL SELECT event_type, 'together', count(*) FROM u GROUP BY ALL
+UNION ALL SELECT event_type, 'common', count(*) FROM u WHERE a AND b GROUP BY ALL""",
+    "attach_last_window": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS "at", event_type FROM events),
+p AS (SELECT user_id, "at" AS bought_at, max(event_id) AS purchase_id FROM e WHERE event_type = 'purchase' GROUP BY ALL),
+w AS (SELECT *, lead(bought_at) OVER (PARTITION BY user_id ORDER BY bought_at) - 1 AS until FROM p)
+SELECT e.*, bought_at, until, purchase_id FROM e JOIN w USING (user_id) WHERE "at" BETWEEN bought_at AND until""",
+    "stored_join": """SELECT o_orderkey, o_orderpriority, count(*) AS lines, CAST(sum(l_quantity) AS DOUBLE) AS quantity
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""",
     "flag_outliers": _event_outliers_sql("user_id") + "SELECT * FROM classed",
     "flag_outliers_large_groups": _event_outliers_sql("event_type") + "SELECT * FROM classed",
     "outlier_score": _event_outliers_sql("user_id")
@@ -407,9 +497,8 @@ ORACLE = {
     "manifest_from_files": _MANIFEST_SQL
     + f"""SELECT * EXCLUDE (table_location) FROM history WHERE in_retention_period = 1
   AND NOT (table_name = 'shop.orders_p3' AND table_version_number < {FIRST_COMMIT})""",
-    "manifest_versions": _MANIFEST_SQL
-    + """SELECT table_name, table_version_number, in_retention_period, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes,
-  CAST(sum(latest_version) AS BIGINT) AS still_live FROM history GROUP BY ALL""",
+    "manifest_versions": _VERSIONS_SQL,
+    "manifest_version_totals": _VERSIONS_SQL,
     "manifest_sizes": _SIZES_SQL,
     "manifest_sizes_from_table": _SIZES_SQL,
     "peak_concurrency": """WITH c AS (

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runsight.operators.percentile_sketches import percentiles_by_sketch
 from runsight.operators.percentiles import percentiles_by_range
 from runsight.operators.skew import HotGroups, find_hot_groups
 
@@ -37,27 +38,34 @@ def exact_percentiles(
     probabilities: Sequence[float],
     extra: Sequence[Column] = (),
     hot: HotGroups | None = None,
+    large_by: str = "range",
 ) -> DataFrame:
     """Per group `_q_<name>` arrays of percentiles, and the `extra` aggregates.
 
     Groups that fit in a task take one pass. Large ones take the range-partitioned way; if there are more of those
-    than the driver may list, all groups take it.
+    than the driver may list, all groups take it. With `large_by` "sketch", the listed large groups are narrowed down by
+    sketches instead, without sorting their values; pass a stored table then.
     """
+    if large_by not in ("range", "sketch"):
+        raise ValueError("large_by must be 'range' or 'sketch'")
     keys, extra = list(keys), list(extra)
     if hot is None:
         hot = hot_groups_for(df, keys, len(values))
     if not hot:
         return df.groupBy(*keys).agg(*extra, *_exact(values, probabilities))
     large, rows = (hot.rows_of(df), hot.rows) if hot.complete else (df, df.count())
-    ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows * len(values) // CELLS_PER_TASK))
-    by_range = percentiles_by_range(large, keys, values, probabilities, ranges)
-    by_range = by_range.select(*keys, *[F.col(name).alias(f"_q_{name}") for name in values])
+    if large_by == "sketch" and hot.complete:
+        of_large = percentiles_by_sketch(large, keys, values, probabilities)
+    else:
+        ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows * len(values) // CELLS_PER_TASK))
+        of_large = percentiles_by_range(large, keys, values, probabilities, ranges)
+    of_large = of_large.select(*keys, *[F.col(name).alias(f"_q_{name}") for name in values])
     if extra:
-        by_range = _join_by_group(large.groupBy(*keys).agg(*extra), by_range, keys)
+        of_large = _join_by_group(large.groupBy(*keys).agg(*extra), of_large, keys)
     if not hot.complete:
-        return by_range
+        return of_large
     small = hot.other_rows_of(df).groupBy(*keys).agg(*extra, *_exact(values, probabilities))
-    return small.unionByName(by_range)
+    return small.unionByName(of_large)
 
 
 def _join_by_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,6 +91,7 @@ def group_stats(
     distinct_as: str = "num_distinct",
     hot: HotGroups | None = None,
     hot_rows: int | None = None,
+    large_by: str = "range",
 ) -> DataFrame:
     """One row per group: row count, distinct count, and `avg`, `median` and percentile of every metric.
 
@@ -95,7 +104,7 @@ def group_stats(
         hot = hot_groups_for(df, keys, len(metrics), hot_rows)
     counts = [F.count(F.lit(1)).alias(rows_as)] if rows_as else []
     averages = [F.expr(f"avg({value}) AS `_a_{name}`") for name, value in metrics.items()]
-    stats = exact_percentiles(df, keys, metrics, (0.5, probability), counts + averages, hot)
+    stats = exact_percentiles(df, keys, metrics, (0.5, probability), counts + averages, hot, large_by)
     if distinct_of:
         distinct = df.select(*keys, distinct_of).distinct().groupBy(*keys).agg(F.count(distinct_of).alias(distinct_as))
         stats = _join_by_group(stats, distinct, keys)

@@ -15,6 +15,8 @@ TABLE = ("table_name", "table_location")
 DEFAULT_RETENTION = "interval 7 days"
 BROADCAST_VERSIONS = 500_000
 """Most table versions that are sent to every executor, by default."""
+VERSIONS_PER_BLOCK = 10_000
+"""Versions of a table that one task sums up."""
 
 
 def _versions(actions: DataFrame, now: Column, default_retention: str) -> DataFrame:
@@ -190,6 +192,40 @@ def size_report_of_actions(
     return _size_rows(files)
 
 
+def version_totals(
+    actions: DataFrame, now: datetime | Column | None = None, default_retention: str = DEFAULT_RETENTION, block: int = VERSIONS_PER_BLOCK
+) -> DataFrame:
+    """Per table version: files, bytes, and files that the latest version still holds. Reads the actions twice: pass a stored table.
+
+    A lifetime adds its file at its start and takes it away at its end. These changes are summed per version where they are read, and
+    versions run through prefix sums in blocks, so the cost is two rows per lifetime, however many versions it spans.
+    Versions without files have zeros; files of unknown size count as 0 bytes.
+    """
+    versions = stage(_versions(actions, _moment(now), default_retention), "versions")
+    measures = {"files": F.lit(1), "bytes": F.coalesce("file_size", F.lit(0)), "still_live": F.col("latest_version")}
+
+    def change(at: str, sign: int) -> Column:
+        return F.struct(F.col(at).alias("version"), *[(value * sign).cast("bigint").alias(name) for name, value in measures.items()])
+
+    changes = _lifetimes(actions).select(*TABLE, F.inline(F.array(change("version", 1), change("_until", -1)))).filter("version IS NOT NULL")
+    changes = changes.groupBy(*TABLE, "version").agg(*[F.sum(name).alias(name) for name in measures])
+    steps = versions.join(changes, [*TABLE, "version"], "left").select(
+        *versions.columns, *[F.coalesce(name, F.lit(0)).alias(name) for name in measures], F.floor(F.col("version") / F.lit(block)).alias("_block")
+    )
+    steps = stage(steps, "version_changes")
+    blocks = Window.partitionBy(*TABLE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = steps.groupBy(*TABLE, "_block").agg(*[F.sum(name).alias(f"_{name}") for name in measures])
+    before = sums.select(*TABLE, "_block", *[F.coalesce(F.sum(f"_{name}").over(blocks), F.lit(0)).alias(f"_{name}") for name in measures])
+    inside = Window.partitionBy(*TABLE, "_block").orderBy("version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return steps.join(before, [*TABLE, "_block"]).select(
+        *TABLE,
+        F.col("version").alias("table_version_number"),
+        "version_timestamp",
+        "in_retention_period",
+        *[(F.sum(name).over(inside) + F.col(f"_{name}")).alias(name) for name in measures],
+    )
+
+
 def _size_rows(files: DataFrame) -> DataFrame:
     kinds = {"latest": F.col("_latest") == 1, "in_retention": F.col("_retained") == 1, "all": F.lit(True)}
     totals = files.groupBy("table_name").agg(

@@ -19,10 +19,21 @@ def materialize(
     analyze: bool = False,
     stats_columns: Sequence[str] = (),
     path: str | None = None,
+    bucket_by: Sequence[str] = (),
+    buckets: int = 200,
 ) -> DataFrame:
-    """Create or replace `table` from `df`, optionally with table and column statistics."""
+    """Create or replace `table` from `df`, optionally with table and column statistics.
+
+    With `bucket_by`, the rows are dealt by these columns into `buckets` files, each sorted by them. Tables dealt by the same
+    columns into as many buckets are joined and grouped by these without a shuffle. The rows are dealt out before they are
+    written, so that there is one file per bucket and not one per bucket and task.
+    """
     spark = df.sparkSession
+    if bucket_by:
+        df = df.repartition(buckets, *bucket_by)
     writer = df.write.mode("overwrite")
+    if bucket_by:
+        writer = writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(table)

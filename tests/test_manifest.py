@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import datetime
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from runsight.operators.manifest import file_history, size_report, size_report_of_actions, write_manifest
+from runsight.operators.manifest import file_history, size_report, size_report_of_actions, version_totals, write_manifest
 from runsight.sources import read_actions, select_tables
 
 DAY = 86_400_000
@@ -221,3 +223,38 @@ def test_sizes_from_actions_are_those_of_the_table(spark, lake):
     for broadcast_versions in (0, 100):
         assert size_report_of_actions(actions, NOW, broadcast_versions=broadcast_versions).collect() == want
         assert rows(file_history(actions, NOW, broadcast_versions=broadcast_versions)) == rows(file_history(actions, NOW))
+
+
+@pytest.mark.parametrize("seed, block", [(0, 1), (1, 3), (2, 10_000)])
+def test_totals_per_version_are_those_of_the_history(spark, seed, block):
+    dice = random.Random(seed)
+    rows = []
+    for table in ("t1", "t2"):
+        for version in range(30):
+            if dice.random() < 0.2:
+                continue
+            at = datetime.datetime(2024, 1, 1) + datetime.timedelta(days=version)
+            rows.append((table, f"/{table}", version, "commit", None, None, at, None))
+            for name in dice.sample(range(12), dice.randint(0, 4)):
+                kind = dice.choice(["add", "add", "remove"])
+                rows.append((table, f"/{table}", version, kind, f"f{name}", dice.choice([None, 5, 70]) if kind == "add" else None, None, None))
+    actions = spark.createDataFrame(rows, "table_name string, table_location string, version long, action string, file_name string, file_size long, commit_ts timestamp, retention string")
+    now = datetime.datetime(2024, 1, 20)
+    history = file_history(actions, now, only_in_retention=False)
+    keys = ["table_name", "table_location", "table_version_number", "version_timestamp", "in_retention_period"]
+    expected = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"), F.sum("latest_version").alias("still_live"))
+    found = version_totals(actions, now, block=block)
+    assert sorted(map(tuple, found.filter("files > 0").collect())) == sorted(map(tuple, expected.collect()))
+    assert found.count() == actions.select("table_name", "version").distinct().count()
+    assert version_totals(actions.limit(0), now).collect() == []
+
+
+def test_totals_cost_the_same_rows_however_many_versions_a_file_lives(spark, capsys):
+    commits = [("t", "/t", v, "commit", None, None, datetime.datetime(2024, 1, 1), None) for v in range(500)]
+    adds = [("t", "/t", 0, "add", f"f{i}", 1, None, None) for i in range(20)]
+    actions = spark.createDataFrame(commits + adds, "table_name string, table_location string, version long, action string, file_name string, file_size long, commit_ts timestamp, retention string")
+    found = version_totals(actions, datetime.datetime(2024, 1, 2))
+    assert {r["files"] for r in found.collect()} == {20} and found.count() == 500
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Generate" not in plan

@@ -51,3 +51,15 @@ def test_scratch_root_needs_a_shared_folder_on_a_cluster():
     )
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_root(cluster)
+
+
+def test_tables_stored_by_their_key_are_joined_without_a_shuffle(spark, capsys):
+    one = materialize(spark.range(1000).selectExpr("id AS a", "id % 7 AS x"), "by_key_one", bucket_by=["a"], buckets=4)
+    other = materialize(spark.range(3000).selectExpr("id % 1500 AS b", "id AS y"), "by_key_other", bucket_by=["b"], buckets=4, analyze=True)
+    joined = one.join(other.hint("merge"), one["a"] == other["b"]).groupBy("a").agg({"y": "sum"})
+    assert joined.count() == 1000 and joined.filter("a = 3").first()[1] == 3 + 1503
+    joined.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    again = materialize(spark.range(5).selectExpr("id AS a", "0 AS x"), "by_key_one", bucket_by=["a"], buckets=4)
+    assert again.count() == 5
