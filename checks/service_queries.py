@@ -107,6 +107,37 @@ def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("run_time_s").withColumn("test_label", F.regexp_replace("test_label", r"_\d{8}_\d{6}_\d{6} ", " "))
 
 
+class Down(BaseException):
+    """The service is gone: this ends the call's task, not only its row."""
+
+
+class FailingClient(DigestClient):
+    """Goes down at some texts."""
+
+    def complete(self, messages: list[dict[str, str]], params: dict[str, Any]) -> inference.Completion:
+        if hashlib.md5(messages[-1]["content"].encode()).digest()[0] == 0:
+            raise Down
+        return super().complete(messages, params)
+
+
+def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document twice, answered by a service that goes down, then by one that doesn't: what was stored isn't asked for again."""
+    table = _run_table(spark)
+    documents = _documents(spark, sf_dir)
+    twice = documents.union(documents)
+    options = {"label": "run", "slices": 6, "prompt": "text", **table}
+    try:
+        inference.resumable_run(twice, FailingClient, **options)
+    except Exception as error:
+        # Any other failure is one.
+        if "Down" not in str(error):
+            raise
+    answers = inference.resumable_run(twice, DigestClient, **options)
+    return answers.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("answers"), F.countDistinct("row_key").alias("row_keys"), F.countDistinct("answer.content").alias("contents"), F.min("answer.content").alias("content")
+    )
+
+
 def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = inference.answer(_documents(spark, sf_dir), DigestClient, prompt="text")
     return answered.filter("answer.status = 'ok'").select("doc_id", "answer.content", "answer.total_tokens")
@@ -132,6 +163,7 @@ QUERIES = {
     "replicate": _replicate,
     "run_status_counts": _status_counts,
     "run_sweep": _sweep,
+    "run_resumed": _resumed,
 }
 
 _OK = "length(text) % 7 <> 0"
@@ -160,6 +192,8 @@ FROM (SELECT *, CASE WHEN lang = 'fr' THEN 'large' END AS wanted FROM documents)
     "replicate": """SELECT item_id, 6000 // (SELECT count(*) FROM benchmark) AS copies, CAST(length(trim(text)) AS INT) AS chars FROM benchmark""",
     "run_status_counts": f"""SELECT label AS test_label, {_STATUS} AS status, count(*) AS count
 FROM documents, (VALUES ('first'), ('second')) AS l(label) GROUP BY ALL""",
+    "run_resumed": f"""SELECT doc_id, 2 * count(*) AS answers, 2 * count(*) AS row_keys, count(DISTINCT {_CONTENT}) AS contents,
+  min({_CONTENT}) AS content FROM documents GROUP BY ALL""",
     "run_sweep": f"""SELECT CAST(n AS INT) AS parallelism, 'sweep parallelism=' || CAST(n AS VARCHAR) AS test_label, {_STATUS} AS status,
   count(*) AS count FROM documents, (VALUES (2), (4), (8)) AS l(n) GROUP BY ALL""",
 }

@@ -22,3 +22,21 @@ class Counted(Echo):
         with open(self.path, "a") as notes:
             notes.write("x")
         return super().complete(messages, params)
+
+
+class Outage(BaseException):
+    """Ends the call's task, not only its row."""
+
+
+class GoesDown(Counted):
+    """Is down once there were `most` calls."""
+
+    def __init__(self, path, most):
+        super().__init__(path)
+        self.most = most
+
+    def complete(self, messages, params):
+        with open(self.path) as notes:
+            if len(notes.read()) >= self.most:
+                raise Outage
+        return super().complete(messages, params)

@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import json
+import os
 from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from runsight.operators import inference
-from tests.clients import Counted, Echo
+from runsight.operators.inference import keyed_rows, resumable_run
+from tests.clients import Counted, Echo, GoesDown
 
 
 @pytest.fixture(scope="module")
@@ -145,3 +147,41 @@ def test_sweeps_into_one_table_and_labels_are_new(spark, questions):
     inference.labelled_run(questions, 1, Echo, "runs_again", label="mine")
     with pytest.raises(ValueError, match="mine"):
         inference.labelled_run(questions, 1, Echo, "runs_again", label="mine")
+
+
+def test_rows_have_keys_of_what_they_hold(spark):
+    rows = [("a", 1), ("a", 1), ("b", 1), (None, None), (None, None), (None, None), ("", 0)]
+    df = spark.createDataFrame(rows, "q string, n int")
+    keys = [sorted(map(tuple, keyed_rows(part, block=block).collect()), key=repr) for part, block in ((df.repartition(5), 2), (df.coalesce(1), 100))]
+    assert keys[0] == keys[1] and len({key for *_, key in keys[0]}) == 7
+    assert sorted(row[:2] for row in keys[0] if row[0]) == [("a", 1), ("a", 1), ("b", 1)]
+    assert keyed_rows(df.limit(0)).collect() == []
+
+
+def test_a_run_that_broke_off_asks_for_what_is_missing(spark, tmp_path):
+    rows = [(f"question {i % 80}",) for i in range(100)] + [("fail",), (None,)]
+    df = spark.createDataFrame(rows, "question string").repartition(3)
+    notes, table = str(tmp_path / "calls"), "resumed_answers"
+    open(notes, "w").close()
+    calls = lambda: os.path.getsize(notes)
+    with pytest.raises(Exception, match="Outage"):
+        resumable_run(df, partial(GoesDown, notes, 60), table, "run", slices=8, parallelism=1)
+    kept = spark.table(table).count()
+    assert 0 < kept <= 61 and calls() == 60
+    before = calls()
+    done = resumable_run(df.repartition(7), partial(Counted, notes), table, "run", slices=8)
+    assert done.count() == 102 == done.select("row_key").distinct().count()
+    # One row has no prompt, and no call.
+    assert calls() - before in (102 - kept, 101 - kept)
+    assert sorted(r["question"] or "" for r in done.collect()) == sorted(row[0] or "" for row in rows)
+    before = calls()
+    assert resumable_run(df, partial(Counted, notes), table, "run", slices=3).count() == 102 and calls() == before
+    more = df.union(df.limit(1))
+    assert resumable_run(more, partial(Counted, notes), table, "run", slices=3).count() == 103 and calls() <= before + 1
+    assert resumable_run(df, partial(Counted, notes), table, "other", slices=2).count() == 102
+    assert spark.table(table).count() == 205
+
+
+def test_a_run_without_rows(spark):
+    df = spark.createDataFrame([], "question string")
+    assert resumable_run(df, Echo, "no_answers", "run", slices=2).collect() == []
