@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +22,12 @@ from checks.log_fixture import (
 )
 from checks.tables import stored
 from runsight.functions import from_epoch_ms, whole_units_between
+from runsight.functions.sql import register_sql_functions
 from runsight.operators import events, metrics
 from runsight.operators.outliers import Thresholds, classify
 from runsight.operators.windows import attach_stages
 from runsight.plans import reports
+from runsight.plans.report_scan import bundle_of_one_scan
 from runsight.plans.task_outliers import task_outliers, task_outliers_from_logs
 from runsight.sources import run_name
 from runsight.sources.staging import scratch_path, stage
@@ -77,6 +81,20 @@ def _flatten_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.select("task_id", "task_metrics.*")
 
 
+def _flatten_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and accumulables of tasks by SQL text alone."""
+    functions = register_sql_functions(spark, "runsight_")
+    view = f"log_{uuid.uuid4().hex}"
+    event_log(spark, sf_dir).createOrReplaceTempView(view)
+    flatten, latest = (next(name for name in functions if name.endswith(end)) for end in ("flatten_metrics", "latest_values"))
+    return spark.sql(f"""
+        SELECT task_id, m.*, a.* FROM (
+            SELECT CAST(get_json_object(logMessage, "$['Task Info']['Task ID']") AS BIGINT) AS task_id,
+                from_json({flatten}(logMessage), 'input_metrics__records_read BIGINT, executor_cpu_time BIGINT, jvm_gc_time BIGINT, result_size BIGINT') AS m,
+                from_json({latest}(logMessage, array('number of output rows', 'peak_memory_usage')), 'number_of_output_rows BIGINT, number_of_output_rows_id INT, peak_memory_usage BIGINT, peak_memory_usage_id INT') AS a
+            FROM {view} WHERE get_json_object(logMessage, '$.Event') = '{events.TASK_END}')""")
+
+
 def _latest_accumulable(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ("number of output rows", "peak_memory_usage", "internal_metrics_resultsize")
     tasks = events.task_events(event_log(spark, sf_dir), metric_keys=(), accumulable_keys=keys)
@@ -202,8 +220,8 @@ def _multi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.all_tasks({"early": rows.filter(early), "late": rows.filter(~early)}, names=NAMES)
 
 
-def _bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.bundle({"run": outlier_table(spark, sf_dir)}, level="all", names=NAMES)
+def _bundle(spark: SparkSession, sf_dir: str, bundle: Callable[..., dict[str, DataFrame]] = reports.bundle) -> DataFrame:
+    found = bundle({"run": outlier_table(spark, sf_dir)}, level="all", names=NAMES)
     counts = [
         df.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("report"), "n")
         for name, df in found.items()
@@ -214,6 +232,18 @@ def _bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total
 
 
+def _one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executors, hosts and stages by one scan: their totals side by side."""
+    found = bundle_of_one_scan({"run": outlier_table(spark, sf_dir)}, level="all", names=NAMES)
+    ranked = found["stages_ranked"].select(
+        F.lit("stage").alias("report"), F.concat_ws(" ", F.col("stage_id").cast("string"), F.date_format("stage__submission_ts", "yyyy-MM-dd HH:mm:ss")).alias("of"),
+        "total_tasks", "gt_p95_2_tasks", "gt_p95_2_unexplained_tasks", F.round("p95_task_time", 6).alias("p95_task_time"),
+    )
+    types = found["by_task_type"].select(F.lit("type").alias("report"), F.col("task_type").alias("of"), "total_tasks", "gt_p95_2_tasks", "gt_p95_2_unexplained_tasks", F.lit(None).cast("double").alias("p95_task_time"))
+    table = found["all_tasks"].select(F.lit("table").alias("report"), F.col("tbl").alias("of"), "total_tasks", "gt_p95_2_tasks", "gt_p95_2_unexplained_tasks", F.lit(None).cast("double").alias("p95_task_time"))
+    return ranked.unionByName(types).unionByName(table)
+
+
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = classify(outlier_table(spark, sf_dir), outlier="gt_p95_2")
     return rows.groupBy("outlier_class").agg(F.count(F.lit(1)).alias("n"))
@@ -267,6 +297,7 @@ QUERIES = {
     "stage_events": _stage_events,
     "event_filter": _event_filter,
     "flatten_metrics": _flatten_metrics,
+    "flatten_in_sql": _flatten_in_sql,
     "latest_accumulable": _latest_accumulable,
     "metric_structs_from_raw": _raw_structs,
     "discover_keys": _discover_keys,
@@ -287,6 +318,8 @@ QUERIES = {
     "report_top_outliers": _top_outliers,
     "report_multi_table": _multi_table,
     "report_bundle": _bundle,
+    "report_bundle_one_scan": partial(_bundle, bundle=bundle_of_one_scan),
+    "report_one_scan": _one_scan,
     "tasks_of_stage": _tasks_of_stage,
     "stage_timeline": _stage_timeline,
 }
@@ -344,6 +377,12 @@ _OUTLIER_COLUMNS = f"""SELECT task_id, '{CLUSTER}' AS stage__cluster_id, stage_i
   events AS stage_num_task_finish_events, num_tasks AS stage_num_tasks, {_STAGE_STATS},
   gt_p95_1, gt_p95_2, gt_median_10, {_SCORES} FROM outliers"""
 
+_BUNDLE_SQL = f"""WITH {outliers_sql()}
+SELECT * FROM (VALUES ('all_tasks', 1), ('affected_stages', 3), ('top_executors', 10), ('top_hosts', 10)) AS t(report, n)
+UNION ALL SELECT 'by_task_type', count(DISTINCT task_type) FROM outliers
+UNION ALL SELECT 'stages_ranked', count(*) FROM (SELECT DISTINCT stage_id, submission FROM outliers)
+UNION ALL SELECT 'top_outliers', CAST(least(10, sum(gt_p95_2)) AS BIGINT) FROM outliers"""
+
 ORACLE = {
     "task_events": f"""WITH {TASKS_SQL}
 SELECT '{CLUSTER}' AS cluster_id, stage_id, launch AS event_time, 'Success' AS task_end_reason, finish AS task_finish_time,
@@ -359,6 +398,9 @@ UNION ALL SELECT 'stage', stage_id, count(*) FROM stages WHERE submission < {_HA
     "flatten_metrics": f"""WITH {TASKS_SQL}
 SELECT task_id, k AS input_metrics__records_read, cpu AS executor_cpu_time, CAST(NULL AS BIGINT) AS jvm_gc_time,
   CAST(NULL AS BIGINT) AS result_size FROM tasks""",
+    "flatten_in_sql": f"""WITH {TASKS_SQL}
+SELECT task_id, k AS input_metrics__records_read, cpu AS executor_cpu_time, CAST(NULL AS BIGINT) AS jvm_gc_time, CAST(NULL AS BIGINT) AS result_size,
+  k * 2 AS number_of_output_rows, 17 AS number_of_output_rows_id, CAST(NULL AS BIGINT) AS peak_memory_usage, 9 AS peak_memory_usage_id FROM tasks""",
     "latest_accumulable": f"""WITH {TASKS_SQL}
 SELECT task_id, k * 2 AS number_of_output_rows, 17 AS number_of_output_rows_id, CAST(NULL AS BIGINT) AS peak_memory_usage,
   9 AS peak_memory_usage_id, result_size AS internal_metrics_resultsize, 20 AS internal_metrics_resultsize_id FROM tasks""",
@@ -409,11 +451,13 @@ ORDER BY overall_score, task_time DESC, task_id LIMIT 10""",
 SELECT *, gt_p95_2_tasks * 100 / total_tasks AS gt_p95_2_tasks_pct,
   gt_p95_2_unexplained_tasks * 100 / total_tasks AS gt_p95_2_unexplained_tasks_pct
 FROM (SELECT CASE WHEN submission < {_HALF_MS} THEN 'early' ELSE 'late' END AS tbl, {_TOTALS} FROM outliers GROUP BY ALL)""",
-    "report_bundle": f"""WITH {outliers_sql()}
-SELECT * FROM (VALUES ('all_tasks', 1), ('affected_stages', 3), ('top_executors', 10), ('top_hosts', 10)) AS t(report, n)
-UNION ALL SELECT 'by_task_type', count(DISTINCT task_type) FROM outliers
-UNION ALL SELECT 'stages_ranked', count(*) FROM (SELECT DISTINCT stage_id, submission FROM outliers)
-UNION ALL SELECT 'top_outliers', CAST(least(10, sum(gt_p95_2)) AS BIGINT) FROM outliers""",
+    "report_bundle": _BUNDLE_SQL,
+    "report_bundle_one_scan": _BUNDLE_SQL,
+    "report_one_scan": f"""WITH {outliers_sql()}
+SELECT 'stage' AS report, CAST(stage_id AS VARCHAR) || ' ' || {_TIME.format('submission')} AS of, * EXCLUDE (stage_id, submission, explained_tasks)
+FROM (SELECT stage_id, submission, {_TOTALS}, round(quantile_cont(task_time, 0.95), 6) AS p95_task_time FROM outliers GROUP BY ALL)
+UNION ALL SELECT 'type', task_type, * EXCLUDE (task_type, explained_tasks), NULL FROM (SELECT task_type, {_TOTALS} FROM outliers GROUP BY ALL)
+UNION ALL SELECT 'table', 'run', * EXCLUDE (explained_tasks), NULL FROM (SELECT {_TOTALS} FROM outliers)""",
     "tasks_of_stage": f"""WITH {outliers_sql()}
 SELECT task_id, task_time AS task_duration, {_STAGE_STATS}, launch AS task_launch_time, finish AS task_finish_time,
   'Success' AS task_end_reason, k AS input_metrics__records_read, k * 2 AS number_of_output_rows

@@ -64,7 +64,12 @@ def over_tables(tables: Tables, report: Callable[[DataFrame], DataFrame], order_
     if not isinstance(tables, Mapping):
         spark = SparkSession.getActiveSession()
         tables = {name: spark.table(name) for name in tables}
-    parts = [report(df).select(F.lit(name).alias("tbl"), "*") for name, df in tables.items()]
+    return over_named_tables(tables, lambda name, df: report(df), order_by)
+
+
+def over_named_tables(tables: Mapping[str, DataFrame], report: Callable[[str, DataFrame], DataFrame], order_by: Order = "tbl") -> DataFrame:
+    """`over_tables` for a report that asks for the table's name."""
+    parts = [report(name, df).select(F.lit(name).alias("tbl"), "*") for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts).distinct().orderBy(*_order(order_by))
 
 
@@ -79,7 +84,7 @@ def outlier_totals(names: Names = DEFAULT, explained_as: str = "explained_tasks"
     ]
 
 
-def _total_pcts(names: Names) -> list[Column]:
+def total_pcts(names: Names) -> list[Column]:
     return [
         pct(column, "total_tasks").alias(f"{column}_pct")
         for column in (f"{names.outlier}_tasks", f"{names.outlier}_unexplained_tasks")
@@ -95,7 +100,7 @@ def all_tasks(tables: Tables, min_stage_tasks: int | None = None, names: Names =
 
     def report(df: DataFrame) -> DataFrame:
         totals = _large_enough(df, min_stage_tasks, names).agg(*outlier_totals(names))
-        return totals.select("*", *_total_pcts(names))
+        return totals.select("*", *total_pcts(names))
 
     return over_tables(tables, report)
 
@@ -106,7 +111,7 @@ def by_task_type(tables: Tables, min_stage_tasks: int | None = None, names: Name
     def report(df: DataFrame) -> DataFrame:
         rows = _large_enough(df, min_stage_tasks, names)
         totals = rows.groupBy(F.col(names.row_type).alias("task_type")).agg(*outlier_totals(names))
-        return totals.select("*", *_total_pcts(names))
+        return totals.select("*", *total_pcts(names))
 
     return over_tables(tables, report)
 
@@ -115,34 +120,44 @@ def affected_stages(
     tables: Tables, size_classes: Sequence[int] = (0, 20, 100), order_by: Order = "tbl", names: Names = DEFAULT
 ) -> DataFrame:
     """Stages with outliers and with unexplained outliers, for all stages and for those above each size."""
+    return over_tables(tables, lambda df: classes_of_stages(df.groupBy(*names.group).agg(*outlier_totals(names)), size_classes, names), order_by)
+
+
+def classes_of_stages(stages: DataFrame, size_classes: Sequence[int] = (0, 20, 100), names: Names = DEFAULT) -> DataFrame:
+    """`affected_stages` from the totals of each stage."""
     measures = ("total_stages", "num_affected_stages_all_outliers", "num_affected_stages_unexplained_outliers")
+    hit = F.when(F.col(f"{names.outlier}_tasks") > 0, 1).otherwise(0)
+    unexplained = F.when(F.col(f"{names.outlier}_unexplained_tasks") > 0, 1).otherwise(0)
+    totals, classes = [], []
+    for i, size in enumerate(size_classes):
+        large = F.col("total_tasks") > size
+        totals += [
+            F.count(F.when(large, 1)).alias(f"{measures[0]}_{i}"),
+            F.sum(F.when(large, hit)).alias(f"{measures[1]}_{i}"),
+            F.sum(F.when(large, unexplained)).alias(f"{measures[2]}_{i}"),
+        ]
+        label = f"stages with tasks>{size}" if size else "all_stages"
+        fields = [F.col(f"{measure}_{i}").alias(measure) for measure in measures]
+        classes.append(F.struct(F.lit(label).alias("stage_class"), *fields))
+    rows = stages.agg(*totals).select(F.inline(F.array(*classes)))
+    return rows.select(
+        "stage_class",
+        measures[0],
+        measures[1],
+        pct(measures[1], measures[0]).alias("pct_affected_stages_all_outliers"),
+        measures[2],
+        pct(measures[2], measures[0]).alias("pct_affected_stages_unexplained_outliers"),
+    )
 
-    def report(df: DataFrame) -> DataFrame:
-        stages = df.groupBy(*names.group).agg(*outlier_totals(names))
-        hit = F.when(F.col(f"{names.outlier}_tasks") > 0, 1).otherwise(0)
-        unexplained = F.when(F.col(f"{names.outlier}_unexplained_tasks") > 0, 1).otherwise(0)
-        totals, classes = [], []
-        for i, size in enumerate(size_classes):
-            large = F.col("total_tasks") > size
-            totals += [
-                F.count(F.when(large, 1)).alias(f"{measures[0]}_{i}"),
-                F.sum(F.when(large, hit)).alias(f"{measures[1]}_{i}"),
-                F.sum(F.when(large, unexplained)).alias(f"{measures[2]}_{i}"),
-            ]
-            label = f"stages with tasks>{size}" if size else "all_stages"
-            fields = [F.col(f"{measure}_{i}").alias(measure) for measure in measures]
-            classes.append(F.struct(F.lit(label).alias("stage_class"), *fields))
-        rows = stages.agg(*totals).select(F.inline(F.array(*classes)))
-        return rows.select(
-            "stage_class",
-            measures[0],
-            measures[1],
-            pct(measures[1], measures[0]).alias("pct_affected_stages_all_outliers"),
-            measures[2],
-            pct(measures[2], measures[0]).alias("pct_affected_stages_unexplained_outliers"),
-        )
 
-    return over_tables(tables, report, order_by)
+def stage_times(names: Names = DEFAULT) -> list[Column]:
+    """Sums and bounds of the times of a stage's tasks, as aggregates."""
+    return [
+        F.sum(names.duration).alias("total_task_time"),
+        F.min(names.start).alias("min_task_launch_time"),
+        F.max(names.end).alias("max_task_finish_time"),
+        F.max(names.duration).alias("max_task_time"),
+    ]
 
 
 def stages_ranked(
@@ -153,81 +168,89 @@ def stages_ranked(
     order_by = order_by or [F.col("tbl"), F.col(f"{names.outlier}_unexplained_tasks").desc()]
 
     def report(df: DataFrame) -> DataFrame:
-        extra = [
-            *outlier_totals(names, explained),
-            F.sum(names.duration).alias("total_task_time"),
-            F.min(names.start).alias("min_task_launch_time"),
-            F.max(names.end).alias("max_task_finish_time"),
-            F.max(names.duration).alias("max_task_time"),
-        ]
-        stages = exact_percentiles(
-            df, names.group, {names.duration: f"`{names.duration}`"}, (float(probability),), extra
-        )
-        keys = [name for name in names.group if name != names.group_start]
-        span = (F.col("max_task_finish_time") - F.col("min_task_launch_time")) / F.lit(60_000)
-        return stages.select(
-            *keys,
-            from_epoch_ms(names.group_start).alias("stage__submission_ts"),
-            "total_tasks",
-            f"{names.outlier}_tasks",
-            f"{names.outlier}_unexplained_tasks",
-            explained,
-            "total_task_time",
-            "min_task_launch_time",
-            "max_task_finish_time",
-            span.alias("stage_time_m"),
-            F.col(f"_q_{names.duration}")[0].alias("p95_task_time"),
-            "max_task_time",
-            *_total_pcts(names),
-            pct(explained, "total_tasks").alias(f"{explained}_pct"),
+        extra = [*outlier_totals(names, explained), *stage_times(names)]
+        return ranks_of_stages(
+            exact_percentiles(df, names.group, {names.duration: f"`{names.duration}`"}, (float(probability),), extra), names
         )
 
     return over_tables(tables, report, order_by)
 
 
+def ranks_of_stages(stages: DataFrame, names: Names = DEFAULT) -> DataFrame:
+    """The columns of `stages_ranked` from the totals, times and percentile of each stage."""
+    explained = f"{names.outlier}_explained_tasks"
+    keys = [name for name in names.group if name != names.group_start]
+    span = (F.col("max_task_finish_time") - F.col("min_task_launch_time")) / F.lit(60_000)
+    return stages.select(
+        *keys,
+        from_epoch_ms(names.group_start).alias("stage__submission_ts"),
+        "total_tasks",
+        f"{names.outlier}_tasks",
+        f"{names.outlier}_unexplained_tasks",
+        explained,
+        "total_task_time",
+        "min_task_launch_time",
+        "max_task_finish_time",
+        span.alias("stage_time_m"),
+        F.col(f"_q_{names.duration}")[0].alias("p95_task_time"),
+        "max_task_time",
+        *total_pcts(names),
+        pct(explained, "total_tasks").alias(f"{explained}_pct"),
+    )
+
+
 def _top_places(tables: Tables, keys: Sequence[str], order_by: Order, limit: int, names: Names) -> DataFrame:
     def report(df: DataFrame) -> DataFrame:
-        flagged = F.col(names.outlier) > 0
-        unexplained = flagged & (F.col(names.score) == 0)
-        time = F.col(names.event_time)
-        places = df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("total_tasks"),
-            F.count(F.when(unexplained, 1)).alias("_unexplained"),
-            F.count(F.when(flagged, 1)).alias("_outliers"),
-            F.min(time).alias("_first"),
-            F.max(time).alias("_last"),
-            F.min(F.when(flagged, time)).alias("_first_outlier"),
-            F.max(F.when(flagged, time)).alias("_last_outlier"),
-        )
-        # A place without such tasks has no count, and one without a full key is never matched to any.
-        known = reduce(Column.__and__, [F.col(key).isNotNull() for key in keys])
-
-        def if_known(column: Column) -> Column:
-            return F.when(known, column)
-
-        def second_of(column: str) -> Column:
-            return F.floor(F.col(column) / F.lit(1000))
-
-        seconds = second_of("_last") - second_of("_first")
-        rows = places.select(
-            *keys,
-            "total_tasks",
-            if_known(F.nullif("_unexplained", F.lit(0))).alias("unexplained_tasks"),
-            if_known(pct(F.nullif("_unexplained", F.lit(0)), "total_tasks")).alias("unexplained_pct"),
-            if_known(F.nullif("_outliers", F.lit(0))).alias("outlier_tasks"),
-            if_known(pct(F.nullif("_outliers", F.lit(0)), "total_tasks")).alias("outlier_pct"),
-            format_epoch_ms("_first").alias("min_t_executor"),
-            format_epoch_ms("_last").alias("max_t_executor"),
-            if_known(format_epoch_ms("_first_outlier")).alias("min_t_outlier"),
-            if_known(format_epoch_ms("_last_outlier")).alias("max_t_outlier"),
-            seconds.alias("t_executor_est_duration_s"),
-            F.floor(seconds / F.lit(3600)).alias("t_executor_est_duration_H"),
-        )
-        return rows.orderBy(F.col("outlier_pct").desc(), *keys).limit(limit)
+        places = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_tasks"), *place_measures(names))
+        return rows_of_places(places, keys, limit)
 
     return over_tables(tables, report, order_by)
 
 
+def place_measures(names: Names = DEFAULT) -> list[Column]:
+    """Counts and times of outliers of an executor or host, as aggregates."""
+    flagged = F.col(names.outlier) > 0
+    unexplained = flagged & (F.col(names.score) == 0)
+    time = F.col(names.event_time)
+    return [
+        F.count(F.when(unexplained, 1)).alias("_unexplained"),
+        F.count(F.when(flagged, 1)).alias("_outliers"),
+        F.min(time).alias("_first"),
+        F.max(time).alias("_last"),
+        F.min(F.when(flagged, time)).alias("_first_outlier"),
+        F.max(F.when(flagged, time)).alias("_last_outlier"),
+    ]
+
+
+def rows_of_places(places: DataFrame, keys: Sequence[str], limit: int = 10) -> DataFrame:
+    """The rows of `top_executors` and `top_hosts` from the measures of each place."""
+    # A place without such tasks has no count, and one without a full key is never matched to any.
+    known = reduce(Column.__and__, [F.col(key).isNotNull() for key in keys])
+
+    def if_known(column: Column) -> Column:
+        return F.when(known, column)
+
+    def second_of(column: str) -> Column:
+        return F.floor(F.col(column) / F.lit(1000))
+
+    seconds = second_of("_last") - second_of("_first")
+    rows = places.select(
+        *keys,
+        "total_tasks",
+        if_known(F.nullif("_unexplained", F.lit(0))).alias("unexplained_tasks"),
+        if_known(pct(F.nullif("_unexplained", F.lit(0)), "total_tasks")).alias("unexplained_pct"),
+        if_known(F.nullif("_outliers", F.lit(0))).alias("outlier_tasks"),
+        if_known(pct(F.nullif("_outliers", F.lit(0)), "total_tasks")).alias("outlier_pct"),
+        format_epoch_ms("_first").alias("min_t_executor"),
+        format_epoch_ms("_last").alias("max_t_executor"),
+        if_known(format_epoch_ms("_first_outlier")).alias("min_t_outlier"),
+        if_known(format_epoch_ms("_last_outlier")).alias("max_t_outlier"),
+        seconds.alias("t_executor_est_duration_s"),
+        F.floor(seconds / F.lit(3600)).alias("t_executor_est_duration_H"),
+    )
+    return rows.orderBy(F.col("outlier_pct").desc(), *keys).limit(limit)
+
+
 def top_executors(
     tables: Tables, order_by: Order = "tbl, outlier_pct desc", limit: int = 10, names: Names = DEFAULT
 ) -> DataFrame:

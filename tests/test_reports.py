@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 from runsight.plans import reports
+from runsight.plans.report_scan import bundle_of_one_scan, report_groups
 
 SCHEMA = """
     stage__cluster_id string, stage_id bigint, stage__id bigint, stage__submission_time bigint, stage__completion_time bigint,
@@ -108,3 +109,24 @@ def test_stage_queries(tables):
     assert len(rows) == 121 and rows[0]["task_duration"] == 5000 and rows[0]["host"] == "b"
     timeline = reports.stage_timeline(tables["quiet"]).collect()
     assert len(timeline) == 1 and timeline[0]["duration"] == 9000 and timeline[0]["sst"] == "2023-11-14 22:13:20"
+
+
+@pytest.mark.parametrize("level", ["basic", "all"])
+def test_one_scan_gives_the_rows_of_the_single_reports(spark, tables, level):
+    odd = [row(n, stage=n % 2 or None, kind=None if n % 3 else "Map", outlier=n % 4 == 0 and 1 or 0, score=n % 3) for n in range(40)]
+    odd += [tuple(None if i in (8, 12, 18) else v for i, v in enumerate(row(77)))]
+    every = {**tables, "odd": spark.createDataFrame(odd, SCHEMA), "none": tables["quiet"].limit(0)}
+    found, expected = bundle_of_one_scan(every, level=level), reports.bundle(every, level=level)
+    assert list(found) == list(expected)
+    for name, df in expected.items():
+        assert found[name].columns == df.columns
+        assert sorted(map(repr, found[name].collect())) == sorted(map(repr, df.collect())), name
+
+
+def test_one_scan_reads_each_table_once(spark, tables, tmp_path, capsys):
+    tables["busy"].write.parquet(str(tmp_path / "t"))
+    report_groups(spark.read.parquet(str(tmp_path / "t"))).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    with pytest.raises(ValueError, match="level"):
+        bundle_of_one_scan(tables, level="some")
