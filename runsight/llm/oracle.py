@@ -94,20 +94,6 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(other, vec_id))
 FROM v LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)"""
 
 _SENTENCE = r"[^.!?\n]*[.!?\n][.!?\n \t\x0B\f\r]*|[^.!?\n]+"
-_SPANS = f"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_SENTENCE}') AS sentences FROM documents),
-each AS (SELECT r, doc_id, i, sentences[i] AS sentence FROM (SELECT *, unnest(range(1, len(sentences) + 1)) AS i FROM docs)),
-plain AS (SELECT *, trim(regexp_replace({_lower("sentence")}, '[ \t\x0B\f\r]+', ' ', 'g'), ' ' || chr(10)) AS s FROM each),
-sized AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE length(s) - length(replace(s, ' ', '')) + 1 END AS w FROM plain),
-next AS (SELECT *, lead(s) OVER x AS s2, lead(w) OVER x AS w2 FROM sized WINDOW x AS (PARTITION BY r ORDER BY i)),
-spans AS (SELECT r, doc_id, i, 2 AS n, [s, s2] AS span FROM next WHERE s2 IS NOT NULL AND w + w2 >= 12
-    UNION ALL SELECT r, doc_id, i, 1, [s] FROM next WHERE w >= 30),
-ranked AS (SELECT *, row_number() OVER x AS k, first(doc_id) OVER x AS first_doc_id FROM spans WINDOW x AS (PARTITION BY span ORDER BY doc_id NULLS FIRST, i)),
-gone AS (SELECT r, j, min(first_doc_id) AS first_doc_id FROM (SELECT r, unnest(range(i, i + n)) AS j, first_doc_id FROM ranked WHERE k > 1) GROUP BY r, j)
-SELECT doc_id, count(*) AS n_sentences, count(g.j) AS n_removed,
-    sha256(coalesce(string_agg(sentence, '' ORDER BY i) FILTER (g.j IS NULL), '')) AS kept_sha256, min(first_doc_id) AS first_doc_id
-FROM each e LEFT JOIN gone g ON g.r = e.r AND g.j = e.i GROUP BY e.r, doc_id HAVING count(g.j) > 0"""
-
 # All runs of 2 to 13 sentences with 12 words, though the operator hashes only the shortest.
 _RUNS = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_SENTENCE}') AS sentences FROM documents),
@@ -155,4 +141,4 @@ SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER
     CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM nearest_{rounds} JOIN digests USING (c)"""
 
 
-ORACLE = {"op7_span_dedup": _SPANS, "op7_span_dedup_runs": _RUNS, "op8_embedding_near_dup": _VECTORS, "op1_near_dup": _NEAR, "op5_chat_format": _CHAT, "op9_line_dedup": _LINES, "op10_license_scan": _LICENCES, "op12_centroid_clusters": _clusters(), "op13_fill_in_middle": _MIDDLE}
+ORACLE = {"op7_span_dedup": _RUNS, "op7_span_dedup_runs": _RUNS, "op8_embedding_near_dup": _VECTORS, "op1_near_dup": _NEAR, "op5_chat_format": _CHAT, "op9_line_dedup": _LINES, "op10_license_scan": _LICENCES, "op12_centroid_clusters": _clusters(), "op13_fill_in_middle": _MIDDLE}

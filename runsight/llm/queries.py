@@ -69,9 +69,9 @@ def _run_lengths(found: str) -> Column:
     return F.aggregate(F.coalesce(found, F.array().cast("array<struct<start:int,length:int>>")), F.lit(0).cast("long"), lambda n, r: n + r["length"])
 
 
-def _span_digest(spark: SparkSession, sf_dir: str, grow: bool) -> DataFrame:
+def span_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose sentences, with the first of the documents that keep these."""
-    found = span_dedup.changed_documents(_table(spark, sf_dir, "documents"), grow=grow)
+    found = span_dedup.changed_documents(_table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
         F.size(span_dedup.split_sentences(F.col("text"))).cast("long").alias("n_sentences"),
@@ -81,16 +81,6 @@ def _span_digest(spark: SparkSession, sf_dir: str, grow: bool) -> DataFrame:
     )
 
 
-def span_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of exactly two sentences, as its SQL has it; `span_dedup_runs` has all."""
-    return _span_digest(spark, sf_dir, grow=False)
-
-
-def span_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of two or more sentences."""
-    return _span_digest(spark, sf_dir, grow=True)
-
-
 def embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -131,7 +121,7 @@ QUERIES = {
     "op5_chat_format": chat_format,
     "op6_decontamination": decontaminate,
     "op7_span_dedup": span_dedup_digest,
-    "op7_span_dedup_runs": span_dedup_runs,
+    "op7_span_dedup_runs": span_dedup_digest,
     "op8_embedding_near_dup": embedding_near_dup,
     "op9_line_dedup": line_dedup_digest,
     "op10_license_scan": license_scan,
