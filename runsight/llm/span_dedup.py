@@ -99,6 +99,8 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, min_words: int =
     # The outer form, since for the other the optimizer would compute the spans once more, to test whether there are any.
     found = identified(docs).select("doc_id", *ROW_KEY, F.explode_outer(spans).alias("_s")).filter("_s IS NOT NULL")
     found = found.select("doc_id", *ROW_KEY, "_s.position", "_s.length", F.col("_s.a").alias(_SPAN[0]), F.col("_s.b").alias(_SPAN[1]))
+    # Stored, so that texts are split and hashed once: it is read for the counts and for the occurrences.
+    found = stage(found, "spans")
     often = found.groupBy(*_SPAN).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     # Stored, so that the join below has nothing but a shuffle on either side and a frequent span can be split.
     often = stage(often, "span_often")
