@@ -169,18 +169,29 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 """Further texts, known beside `KNOWN`."""
 
 COMMON_DIGESTS = {
-    "7dc0ccfedfe9cf9e59c97a3e43eea7b035a0e7a7be84d714acef36eb5c9fb4bc": "Apache-2.0",
-    "4f14b6cbdd362d5a6d1023eaee7538d57a6c9271c5e1de4bdc60e02a182c0730": "Apache-2.0 (without appendix)",
-    "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e": "CC0-1.0",
-    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
-    "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34": "GPL-2.0 (without appendix)",
-    "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68": "GPL-3.0",
-    "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636": "GPL-3.0 (without appendix)",
-    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
-    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
-    "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13": "MPL-2.0",
+    "949a7b2ca212ee17e4c8952aba2a29d03724b803529db7cf60597550d6008283": "Apache-2.0",
+    "9475155ff6ce9d08e3e704d636c3b015934a1c768cc10fa0c95abb3075f86de3": "Apache-2.0",
+    "15dfa46e3be740a924fb2f10a350b184be810116728a9a0f7a1102ed556c85a1": "Apache-2.0 (without appendix)",
+    "0d55c34f704694729e228539a324c6396d3e555926cfd50471c4a286d5eff35b": "Apache-2.0 (without appendix)",
+    "888ab175b43ed137ae3c3f8f32a1f0e1677fe31f7a9f09890c39b11b1934ad6c": "CC0-1.0",
+    "73a13dcbe1ed76f940bf43896efdd96280f583c00f2794bf93609fd3accf573d": "CC0-1.0",
+    "90d0f6a20987abc2028de99ca57a3c6a23a5cdabca769277aa72fce2b8b618e3": "GPL-2.0",
+    "343fffad4187d1bae7c872b59832b41e762657dc4acdee6a6f0259da3df1cd00": "GPL-2.0",
+    "261fdcf3f7e3433204252c856a191e81a46f009c47e7b62c400a51cc05bd450a": "GPL-2.0 (without appendix)",
+    "ac29ff91b200890a154300f26d79e808bf757e0de4235f33c60c9a49ec4d7377": "GPL-2.0 (without appendix)",
+    "6c6ea98c6c4fcacb30dfff389dcd6e48ad82a8ad55ad8d064ceadd4ab86ba5a0": "GPL-3.0",
+    "318825e237b710988c5e6f5e899edd6df5be6e06270e219f1b80078bd589ad3e": "GPL-3.0",
+    "79c2fc1717475e2a05b0f0b2fb7b97e9d4927dfa4781d94792f03908f39440a6": "GPL-3.0 (without appendix)",
+    "8929555c5d5b504c85ba6e4918482ab9899632fe5417edced5248d425960dbc0": "GPL-3.0 (without appendix)",
+    "4c081d24947bf70b2bb0f5bbe14c3c2736c23c60bcc727ac32f1781510ebda5d": "LGPL-2.1",
+    "8c1aab1135b10e0ac64874541815cc11ea7705ef5a15cb2c160eee53c5778036": "LGPL-2.1",
+    "3beb0300a7609806481b52d07ba995e4b665d549ce6460c6c156e59240a833be": "LGPL-2.1 (without appendix)",
+    "c2284fa80234454b1f464e0e9dcf2b616905aa5eafd910746cda56becd2a6ca2": "LGPL-2.1 (without appendix)",
+    "cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45": "LGPL-3.0",
+    "599e236ddcb69302837061770c9ad5f7b2e9908bdde58f1d38401c54304f7934": "LGPL-3.0",
+    "115c0ae57e100b00c2b6e84d27f884a7d6e862c320de5429b8320f484f9e3f28": "MPL-2.0",
 }
-"""Digests of the canonical form of long texts."""
+"""Digests of the canonical form of long texts, with their titles and without."""
 
 EQUIVALENT = {
     "licence": "license",
@@ -193,3 +204,20 @@ EQUIVALENT = {
     "favour": "favor",
     "http": "https",
 }
+
+BEGINNINGS = [
+    "permission is hereby granted free of charge",
+    "permission to use copy modify",
+    "redistribution and use in source and binary forms",
+    "this is free and unencumbered software",
+    "this software is provided as is without any express or implied warranty",
+    "licensed under the apache license",
+    "this source code form is subject to the terms of the mozilla public license",
+    "everyone is permitted to copy and distribute verbatim copies",
+    "terms and conditions for use reproduction and distribution",
+    "creative commons corporation is not a law firm",
+]
+"""The first words of licences' own texts, behind titles and notices, in canonical form."""
+
+NAMED_TITLES = ["creative commons legal code", "cc0 1 0 universal", "zlib", "mit", "isc", "expat", "the unlicense", "unlicense"]
+"""Titles without the word licence, in canonical form."""

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from runsight.llm.chat import CHAT
-from runsight.llm.licence_texts import EQUIVALENT, KNOWN
+from runsight.llm.licence_texts import COMMON, COMMON_DIGESTS, EQUIVALENT, KNOWN
+from runsight.llm.licenses import BEGINNING, ENDORSEMENT, FROM_NOTICE, MARKER, NOTICE, SIGNS, TITLE, TITLE_LINE
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,24 +53,47 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY r, doc_id"""
 
 
-def _canonical(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), '(?m)^[^\\p{{L}}\\p{{N}}\\n©(]*(?:copyright|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g')"
-    out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', '  ', 'g')"
-    out = f"' ' || replace({out}, chr(10), ' ' || chr(10) || ' ') || ' '"
-    for other, usual in EQUIVALENT.items():
+def _spelled(text: str, spellings: dict[str, str]) -> str:
+    out = f"' ' || replace(replace({text}, ' ', '  '), chr(10), ' ' || chr(10) || ' ') || ' '"
+    for other, usual in spellings.items():
         out = f"replace({out}, ' {other.replace(' ', '  ')} ', ' {usual} ')"
-    return f"list_filter(list_transform(string_split(regexp_replace({out}, ' +', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    return f"regexp_replace({out}, ' +', ' ', 'g')"
 
 
+def _levelled(text: str) -> str:
+    """The canonical text, with a line break ahead."""
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{SIGNS}', ' copyright ', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '{MARKER}', '\\1\\2', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    out = _spelled(out, {other: usual for other, usual in EQUIVALENT.items() if " " not in other})
+    return f"chr(10) || array_to_string(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), chr(10))"
+
+
+def _text_digest(text: str) -> str:
+    flat = _spelled(f"trim(regexp_replace({text}, '[ \\n]+', ' ', 'g'))", {other: usual for other, usual in EQUIVALENT.items() if " " in other})
+    flat = f"trim(regexp_replace({flat}, '{ENDORSEMENT}', 'neither the name of the copyright holder nor the names of', 'g'))"
+    return f"(SELECT CASE WHEN f <> '' THEN sha256(f) END FROM (SELECT {flat} AS f))"
+
+
+_APART = "array_to_string(list_transform(string_split({}, chr(10)), lambda x: CASE WHEN regexp_matches(x, '" + TITLE_LINE + "') AND NOT contains(x, 'copyright') THEN chr(10) || x || chr(10) ELSE x END), chr(10))"
+_PARAGRAPHS = "list_transform(string_split_regex({}, '\\n\\n+'), lambda p: trim(replace(p, chr(10), ' ')))"
+_DIGESTS = f"""
+    SELECT id, t, CASE WHEN begun THEN {_text_digest("array_to_string(list_transform(ps, lambda p: CASE WHEN regexp_matches(p, '" + NOTICE + "') THEN regexp_replace(p, '" + FROM_NOTICE + "', '', 'g') ELSE p END), ' ') || body")}
+            WHEN len(list_filter(ps, lambda p: p <> '' AND NOT regexp_matches(p, '{NOTICE}'))) = 0 AND (contains(t, 'copyright') OR contains(t, 'all rights reserved')) THEN NULL ELSE {_text_digest("t")} END AS whole,
+        CASE WHEN begun AND len(list_filter(ps, lambda p: p <> '' AND NOT regexp_matches(p, '{NOTICE}') AND NOT regexp_matches(p, '{TITLE}'))) = 0 THEN {_text_digest("body")} END AS body
+    FROM (SELECT *, {_PARAGRAPHS.format(_APART.replace("{}", "CASE WHEN begun THEN head ELSE t END"))} AS ps, substr(t, length(head) + 1) AS body
+        FROM (SELECT *, regexp_matches(t, '{BEGINNING}') AS begun, regexp_extract(t, '{BEGINNING}', 1) AS head FROM (SELECT id, {_levelled("text")} AS t FROM TABLE_OF_TEXTS)))"""
+
 _LICENCES = f"""
-WITH texts(licence, text) AS (VALUES {", ".join(f"({_text(name)}, {_text(text)})" for name, text in KNOWN.items())}),
-known AS (SELECT min(licence) AS licence, digest FROM (SELECT licence, sha256(array_to_string({_canonical("text")}, ' ')) AS digest FROM texts) GROUP BY digest),
-docs AS (SELECT row_number() OVER () AS r, doc_id, {_canonical("text")} AS lines FROM documents),
-notices AS (SELECT r, string_agg(DISTINCT k.licence, ',' ORDER BY k.licence) AS notices
-    FROM (SELECT r, sha256(unnest(lines)) AS digest FROM docs) JOIN known k USING (digest) GROUP BY r),
-whole AS (SELECT *, CASE WHEN len(lines) > 0 THEN sha256(array_to_string(lines, ' ')) END AS digest FROM docs)
-SELECT w.doc_id, w.digest, k.licence, coalesce(n.notices, '') AS notices
-FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN notices n ON n.r = w.r"""
+WITH texts(id, text) AS (VALUES {", ".join(f"({_text(name)}, {_text(text)})" for name, text in (KNOWN | COMMON).items())}),
+of_texts AS ({_DIGESTS.replace("TABLE_OF_TEXTS", "texts")}),
+known AS (SELECT min(licence) AS licence, digest FROM (SELECT id AS licence, whole AS digest FROM of_texts UNION ALL SELECT id, body FROM of_texts
+    UNION ALL VALUES {", ".join(f"({_text(name)}, {_text(digest)})" for digest, name in COMMON_DIGESTS.items())}) WHERE digest IS NOT NULL GROUP BY digest),
+docs AS (SELECT row_number() OVER () AS id, doc_id, text FROM documents),
+of_docs AS ({_DIGESTS.replace("TABLE_OF_TEXTS", "docs")}),
+notices AS (SELECT id, string_agg(DISTINCT k.licence, ',' ORDER BY k.licence) AS notices
+    FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM of_docs) JOIN known k ON k.digest = sha256(line) WHERE line <> '' GROUP BY id)
+SELECT d.doc_id, o.whole AS digest, coalesce(a.licence, b.licence) AS licence, coalesce(n.notices, '') AS notices
+FROM docs d JOIN of_docs o USING (id) LEFT JOIN known a ON a.digest = o.whole LEFT JOIN known b ON b.digest = o.body LEFT JOIN notices n ON n.id = d.id"""
 
 _NEAR = f"""
 WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_WORD}') AS words FROM documents),

@@ -207,6 +207,55 @@ def test_common_licences_are_known(spark):
     assert [n for i, (n, _) in enumerate(cases) if found[i] != n] == []
 
 
+HEADS = [
+    "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n", "Expat License\n\nCopyright 2020 Someone\n\n", "Copyright the project authors\n\n", "Copyright: 2020 Someone\n\n",
+    "Copyright, 2020 Someone\n\n", "Portions Copyright (c) 2020 Someone\n\n", "SPDX-FileCopyrightText: 2020 Someone\n\n", "Copyright &copy; 2020 Someone\n\n", "copyright someone 2020\n",
+    "Copyright (c) 2020 Someone of a place\nthat goes on in a second line\n\n", "© 2020 Someone ", "All rights reserved.\n\n", "SPDX-License-Identifier: X\n\nCopyright (C) 2011-2020 A, B and C. All rights reserved.\n",
+    "Copyright (c) " + ", ".join(f"holder {i} of some institute" for i in range(200)) + "\n\n", "".join(f"Copyright (c) {1990 + i} Holder {i}\n" for i in range(30)) + "\n", "",
+]
+
+
+def test_licences_under_any_notice_and_title(spark):
+    full = {name: text for name, text in (KNOWN | COMMON).items() if not name.startswith(("notice", "header")) and "titled" not in name}
+    cases = [(name, head + text) for name, text in full.items() for head in HEADS]
+    cases += [(name, "\n".join(sign + " " + line for line in (head + text).split("\n"))) for name, text in full.items() for sign in ("#", " *", "//") for head in HEADS[:2]]
+    bullets = re.sub(r"(?m)^[0-9]\. ", "* ", COMMON["BSD-3-Clause"])
+    cases += [("BSD-2-Clause", re.sub(r"(?m)^[0-9]\. ", sign, COMMON["BSD-2-Clause"])) for sign in ("* ", "- ", "a) ", "(2) ", "")]
+    cases += [("BSD-3-Clause", text.replace("the copyright holder nor", f"{who} nor")) for text in (COMMON["BSD-3-Clause"], bullets) for who in ("the organization", "Someone, Inc.", "the\n   copyright holder")]
+    found = {r["doc_id"]: r["licence"] for r in licenses.scan(docs_of(spark, list(enumerate(t for _, t in cases)))).collect()}
+    assert [(n, t[:80]) for i, (n, t) in enumerate(cases) if found[i] != n] == []
+
+
+def test_texts_that_are_no_licences(spark):
+    mit = KNOWN["MIT"]
+    cases = ["The story of a licence.\n\n" + mit, "An essay.\n\nCopyright 2020 X\n\n" + mit, "We talk at length here of this and that and of copyright law\n\n" + mit, mit + "\n\nAnd more.", mit[:-20], "licence", "Copyright 2020 X\n\nA poem."]
+    found = licenses.scan(docs_of(spark, list(enumerate(cases)))).collect()
+    # The first is under a title.
+    assert [r["licence"] for r in sorted(found, key=lambda r: r["doc_id"])] == ["MIT"] + [None] * 6
+    notices = licenses.scan(docs_of(spark, [(1, "Copyright 2020 X\n\n(c) 2021 Y\nAll rights reserved"), (2, "© 2001")])).collect()
+    assert [r["digest"] for r in notices] == [None, None]
+
+
+def test_many_known_digests_give_the_same_rows(spark):
+    mit = "Copyright (c) 2020 X\n\n" + KNOWN["MIT"]
+    rows = [(1, mit), (1, mit), (2, "MIT License\n\n" + mit), (3, "a\nReleased under the MIT License.\nb"), (4, None), (None, "x"), *((9, mit) for _ in range(50)), (10, "word " * 300_000 + "\nReleased under the MIT License.")]
+    docs = docs_of(spark, rows)
+    few, many = (sorted(map(repr, licenses.scan(docs, few_known=n).collect())) for n in (1000, 3))
+    assert few == many and len(few) == len(rows)
+    assert sum("licence='MIT" in row for row in few) == 53 and sum("notice MIT" in row for row in few) == 2
+
+
+@pytest.mark.parametrize("name, file", [("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_long_licences_by_digest(spark, name, file):
+    path = pathlib.Path("/usr/share/common-licenses", file)
+    if not path.exists():
+        pytest.skip(f"no text of {name} here")
+    text = path.read_text()
+    cases = [text, " ".join(text.split("\n")), re.sub(r"(?m)^", " * ", text)]
+    found = licenses.scan(docs_of(spark, list(enumerate(cases)))).collect()
+    assert {r["licence"] for r in found if r["doc_id"] != 1} == {name}
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 
 
