@@ -36,6 +36,11 @@ def rotation(dimensions: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors with a largest component between 1/2 and 1, by powers of two: no square of a component overflows, or is lost beside others."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed signs of the rotated unit vectors, and correction factors."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -58,7 +63,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes, factors = [], []
         for vector in batch.column("embedding"):
-            code, factor = encode(vector.values.to_numpy(zero_copy_only=False).astype(np.float64)[None, :])
+            code, factor = encode(scaled(vector.values.to_numpy(zero_copy_only=False).astype(np.float64)[None, :]))
             codes.append(code.tobytes())
             factors.append(factor[0])
         columns = [*batch.columns, pa.array(codes, pa.binary()), pa.array(factors, pa.float64())]
@@ -81,7 +86,7 @@ def _linked(codes, factors, vectors, low, high, limit: float) -> np.ndarray:
 def _block_links(limit: float):
     def work(table: pa.Table) -> pa.Table:
         ids, many, own = (table.column(c).to_numpy() for c in ("rep", "n", "_own"))
-        vectors = np.stack([v.values.to_numpy(zero_copy_only=False) for v in table.column("embedding")]).astype(np.float64)
+        vectors = scaled(np.stack([v.values.to_numpy(zero_copy_only=False) for v in table.column("embedding")]).astype(np.float64))
         codes = np.stack([np.frombuffer(c.as_py(), np.uint8) for c in table.column("code")])
         factors = table.column("factor").to_numpy()
         low, high = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
@@ -120,8 +125,7 @@ def near_duplicate_vectors(vectors: DataFrame, limit: float = 0.98, block: int =
     """
     values = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    size = F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x)
-    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & (size > 0) & (size < float("inf"))
+    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists(values, lambda x: x != 0)
     first, second = hash_pair(F.size("embedding"), F.col("embedding"))
     every = vectors.select(
         F.col("vec_id").cast("long"), "embedding", "label", F.coalesce(usable, F.lit(False)).alias("_usable"), first.alias("_a"), second.alias("_b")
