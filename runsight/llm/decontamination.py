@@ -9,12 +9,16 @@ between the item and any part of the text there.
 Ahead of the walk, windows that cannot be alike are left out, without loss: an edit destroys at most three word triples of the item, so
 a window around a copy holds the others.
 
+Items of few words are no sequences that could be edited and still be told from chance: these are found where a text has all their words
+in order. In scripts without spaces each sign is a word.
+
 Documents are read once for each block of items, and nothing is shuffled. A block of items is of bounded size, and that is what is
 sent to the tasks.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +31,10 @@ from pyspark.sql import functions as F
 
 EDITS = 0.2
 MIN_WORDS = 8
-"""Shorter items are no passage that could be told from chance; they are not searched. Any longer one keeps a triple (see above)."""
-ITEMS_PER_BLOCK, WORDS_PER_BLOCK = 5_000, 500_000
+"""Shorter items are found by all their words only. Any longer one keeps a triple (see above)."""
+MIN_REMOVED = 4
+"""Items of fewer words are reported, but documents that hold them stay: they stand in texts by chance."""
+ITEMS_PER_BLOCK, WORDS_PER_BLOCK = 20_000, 2_000_000
 SAMPLED, BANDS = 2, 160
 """Two walks that agree in a quarter of their positions, as after edits of a fifth of the words, share a sample with probability
 1 - (1 - 1/16)^160 = 0.99997; windows that start a few words off are further tries."""
@@ -41,9 +47,16 @@ _PAD = np.uint64(0)
 FOUND = "doc_id long, item_id long, distance int, item_words int, start_word long, end_word long"
 
 
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]")
+"""Signs of scripts that put no spaces between words."""
+
+
 def words_of(text: str | None) -> np.ndarray:
-    """Hashes of the words: runs of characters other than ASCII punctuation and whitespace, in lower case."""
-    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACES).split()
+    """Hashes of the words: runs of characters other than ASCII punctuation and whitespace, in lower case; in scripts without spaces, of the signs."""
+    text = (text or "").lower()
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(lambda m: f" {m.group()} " if m.group().isalnum() else " ", text)
+    words = text.encode("utf-8", "surrogatepass").translate(_SPACES).split()
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
@@ -51,6 +64,14 @@ def _triples(words: np.ndarray) -> np.ndarray:
     return (words[:-2] * _MIX + words[1:-1]) * _MIX + words[2:]
 
 
+def _sequences(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` words in order."""
+    keys = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for k in range(size if len(keys) else 0):
+        keys = (keys ^ (keys >> np.uint64(29))) * _MIX + words[k : k + len(keys)]
+    return keys
+
+
 def walk(windows: np.ndarray) -> np.ndarray:
     """CGK embedding of equally long sequences (rows) into 3 times as many positions."""
     count, size = windows.shape
@@ -101,9 +122,21 @@ class ItemIndex:
     sizes: np.ndarray
     """The sizes of the items that hold the triple number i are sizes[first[i] : first[i + 1]]."""
     edits: float
+    short: dict[int, tuple[np.ndarray, list[int], np.ndarray]]
+    """Of the short items, by number of words: hashes of their words in order, ids, and their words."""
 
     @staticmethod
     def build(items: list[tuple[int, np.ndarray]], edits: float) -> ItemIndex:
+        few: dict[int, list] = defaultdict(list)
+        for item_id, words in items:
+            if len(words) < MIN_WORDS:
+                few[len(words)].append((item_id, words))
+        short = {}
+        for n, group in few.items():
+            keys = np.array([_sequences(w, n)[0] for _, w in group], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            short[n] = keys[order], [group[i][0] for i in order], np.stack([group[i][1] for i in order])
+        items = [item for item in items if len(item[1]) >= MIN_WORDS]
         groups: dict[int, list] = defaultdict(list)
         for item_id, words in items:
             groups[len(words)].append((item_id, words))
@@ -115,7 +148,7 @@ class ItemIndex:
         held = {(int(t), len(words)) for _, words in items for t in _triples(words)}
         both = np.array(sorted(held), np.uint64).reshape(-1, 2)
         triples, first = np.unique(both[:, 0], return_index=True)
-        return ItemIndex(by_size, triples, np.append(first, len(both)), both[:, 1].astype(np.int64), edits)
+        return ItemIndex(by_size, triples, np.append(first, len(both)), both[:, 1].astype(np.int64), edits, short)
 
     def allowed(self, size: int) -> int:
         return int(size * self.edits + 1e-9)
@@ -129,6 +162,8 @@ class ItemIndex:
 
         A part that begins there is at most the allowed edits longer than the item, so the triples are counted that far.
         """
+        if not len(self.triples):
+            return
         triples = _triples(words)
         number = np.searchsorted(self.triples, triples)
         number[number == len(self.triples)] = 0
@@ -154,7 +189,7 @@ class ItemIndex:
             if len(words) >= 3:
                 for size, begins in self.starts(words):
                     windows[size].append((n, begins))
-        rows = []
+        rows = [row for doc in docs for row in self._whole(doc)]
         for size, found in windows.items():
             owners = np.concatenate([np.full(len(starts), n) for n, starts in found])
             begins = np.concatenate([starts for _, starts in found])
@@ -173,6 +208,20 @@ class ItemIndex:
                     rows.append(row)
         return rows
 
+    def _whole(self, doc: tuple[int, np.ndarray]) -> Iterator[tuple]:
+        """The short items that the document holds, each at its first place."""
+        doc_id, words = doc
+        for n, (known, ids, texts) in self.short.items():
+            own = _sequences(words, n)
+            low, high = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
+            first: dict[int, int] = {}
+            for place in np.flatnonzero(low < high).tolist():
+                for item in range(low[place], high[place]):
+                    if item not in first and (texts[item] == words[place : place + n]).all():
+                        first[item] = place
+            for item, place in first.items():
+                yield doc_id, ids[item], 0, n, place, place + n
+
     def _candidates(self, docs, owners, begins, size) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs that agree in a band, each once."""
         ids, _, known, whose = self.by_size[size]
@@ -206,12 +255,12 @@ class ItemIndex:
         return (doc_id, ids[item], best[0], size, best[1], best[2]) if best else None
 
 
-def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The items' words, in blocks of bounded size."""
+def _item_blocks(items: DataFrame, least: int = 1) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The items' words, in blocks of bounded size. Items of fewer than `least` words are left out."""
     block, size = [], 0
     for row in items.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         words = words_of(row["text"])
-        if len(words) >= MIN_WORDS:
+        if len(words) >= least:
             if block and (len(block) == ITEMS_PER_BLOCK or size + len(words) > WORDS_PER_BLOCK):
                 yield block
                 block, size = [], 0
@@ -248,8 +297,8 @@ def _searching(index: ItemIndex):
 def find_items(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, distance, item_words, start_word, end_word (of the best place).
 
-    `docs` has doc_id and text, `items` item_id and text. Null and empty texts hold nothing; items under MIN_WORDS words are not searched.
-    Rows without an id are searched like others, repeated rows give repeated results, and so do repeated items. Copies of items with
+    `docs` has doc_id and text, `items` item_id and text. Null and empty texts hold nothing, and items without words are in none;
+    items under MIN_WORDS words are found without edits. Rows without an id are searched like others, repeated rows give repeated results, and so do repeated items. Copies of items with
     one text are all reported. Without documents or items there are no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
@@ -261,11 +310,11 @@ def find_items(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataF
 
 
 def without_items(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
-    """The rows of `docs`, with all their columns, in which no item is found.
+    """The rows of `docs`, with all their columns, in which no item of at least MIN_REMOVED words is found.
 
     Rows are tested where they are, so rows without an id and repeated rows are judged by their own texts.
     """
-    for block in _item_blocks(items):
+    for block in _item_blocks(items, MIN_REMOVED):
         docs = docs.mapInArrow(_filtering(ItemIndex.build(block, edits), docs.columns.index("text")), docs.schema)
     return docs
 

@@ -346,3 +346,33 @@ def test_queries_of_models(spark):
     found = {(r["doc_id"], r["item_id"]) for r in queries()["op6_decontamination"](spark, SF).collect()}
     assert {(d, i["item_id"]) for d, t in docs.items() for i in items if i["text"] in t} <= found
     assert {r["doc_id"] for r in queries()["op3_toxicity"](spark, SF).collect()} == set(docs)
+
+
+def test_short_items_and_unspaced_scripts_are_found(spark):
+    items = [(1, "What is the capital of France?"), (2, "水的沸点在标准大气压下是多少摄氏度呢"), (3, "yes"), (4, "yes"), (5, "two words"), (6, "?!"), (7, None), (8, "seven words are in this very item"), (9, "東京")]
+    texts = {
+        1: "We ask: what is the capital -- of France? Nobody knows.", 2: "题目:水的沸点在标准大气压下是多少摄氏度呢?答案", 3: "The capital of France is what", 4: "oh YES, oh yes",
+        5: "two\nwords and two words", 6: "Seven words are in this item", 7: None, 8: "", 9: "in this very item: SEVEN words are in this very item!", 10: "私は東京に", 11: "水的沸点在标准大气压下多少摄氏度呢",
+    }
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(list(texts.items()), DOCS)
+    found = {(r["doc_id"], r["item_id"]): (r["distance"], r["start_word"], r["end_word"]) for r in decontamination.find_items(docs, items).collect()}
+    assert found.pop((2, 2))[0] == 0 and found.pop((11, 2))[0] == 1
+    assert found == {(1, 1): (0, 2, 8), (4, 3): (0, 1, 2), (4, 4): (0, 1, 2), (5, 5): (0, 0, 2), (9, 8): (0, 4, 11), (10, 9): (0, 2, 4)}
+    assert sorted(r["doc_id"] for r in decontamination.without_items(docs, items).collect()) == [3, 4, 5, 6, 7, 8, 10]
+
+
+def test_many_items_take_one_scan(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=rng.randint(2, 20))) for _ in range(20_000)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {texts[i]} after") for i in range(0, 20_000, 400)], DOCS)
+    found = decontamination.find_items(docs, items)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    exact = {(r["doc_id"], r["item_id"]) for r in found.collect() if r["distance"] == 0}
+    assert {(i, i) for i in range(0, 20_000, 400)} <= exact
+
+
+def test_large_and_tiny_vectors_are_compared_by_their_direction(spark):
+    rows = [(1, [1e200, 0.0], 0), (2, [2e200, 0.0], 0), (3, [1e-200, 0.0], 0), (4, [3.0, 0.0], 0), (5, [0.0, 5e-324], 0), (6, [0.0, 1.7e308], 0), (7, [0.0, 0.0], 0), (8, [1e308, 1e308], 0), (9, [2.0, 2.0], 0)]
+    found = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["component_id"], r["n_links"]) for r in found} == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (1, 3), 5: (5, 1), 6: (5, 1), 7: (7, 0), 8: (8, 1), 9: (8, 1)}
