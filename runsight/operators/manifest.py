@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runsight.operators.skew import join_salted
 from runsight.sources.commit_log import read_actions
 from runsight.sources.staging import stage
 
@@ -89,10 +91,14 @@ def _moment(now: datetime | Column | None) -> Column:
 def _join_versions(rows: DataFrame, versions: DataFrame, broadcast_versions: int) -> DataFrame:
     """Rows with what is known of their version. The versions are counted, so that none but a short list is broadcast.
 
-    Where they are many, each has few of the rows; a version that holds most of them is cut by the skew join.
+    Where they are many, the rows of each are dealt to several tasks, since one version may hold most of the files.
     """
-    few = versions.limit(broadcast_versions + 1).count() <= broadcast_versions
-    return rows.join(F.broadcast(versions) if few else versions.hint("merge"), [*TABLE, "version"])
+    if versions.limit(broadcast_versions + 1).count() <= broadcast_versions:
+        return rows.join(F.broadcast(versions), [*TABLE, "version"])
+    names = [*TABLE, "version"]
+    renamed = versions.withColumnsRenamed({name: f"_of_{name}" for name in names})
+    same = reduce(Column.__and__, [rows[name] == renamed[f"_of_{name}"] for name in names])
+    return join_salted(rows, renamed, same, hint="merge").drop(*[f"_of_{name}" for name in names])
 
 
 def file_history(

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from runsight.sources.staging import stage
+
 MOST_HOT_GROUPS = 10_000
 """At most this many keys are held by the driver and broadcast; any other group has under 1/10,000 of the rows."""
 
@@ -54,6 +56,24 @@ def join_salted(left: DataFrame, right: DataFrame, on: Column, salts: int = SALT
     return dealt.join(every, on & (F.col("_salt") == F.col("_salts"))).drop("_salt", "_salts")
 
 
+def join_splitting_hot(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, salts: int = SALTS, most: int = MOST_HOT_GROUPS
+) -> DataFrame:
+    """Inner join on columns of both sides, in which the heaviest keys are dealt to `salts` tasks each.
+
+    `right` has one row per key, and in `weight` how many rows of `left` have it, or a number that grows with that. At most `most` keys
+    are split: any other has under 1 / `most` of the rows. Their few rows on the right go to every part. `right` is read
+    twice: pass a stored table; `left` is read once. Rows with a null key are in no pair.
+    """
+    hot = right.orderBy(F.col(weight).desc(), *keys).limit(most).select(*keys, F.lit(True).alias("_hot"))
+    hot = F.broadcast(stage(hot, "hot_keys"))
+    part = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name, kind in left.dtypes if not kind.startswith(("map", "variant"))]), F.lit(salts)).cast("int")
+    dealt = left.join(hot, list(keys), "left").withColumn("_salt", F.when(F.col("_hot"), part).otherwise(F.lit(0))).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    every = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return dealt.join(every, [*keys, "_salt"]).drop("_salt")
+
+
 def find_hot_groups(
     df: DataFrame, keys: Sequence[str], rows_over: int, most: int = MOST_HOT_GROUPS
 ) -> HotGroups:
