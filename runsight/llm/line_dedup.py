@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsight.llm.text import ROW_KEY, WHITESPACE, hash_pair, identified, lower_ascii, outside, runs, whole_row
+from runsight.operators.skew import join_splitting_hot
 from runsight.sources.staging import stage
 
 MIN_CHARS = 40
@@ -36,16 +37,16 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """(occurrences of lines that may be repeated, the repeated lines with the document that keeps them)."""
     found = _occurrences(docs, min_chars)
-    often = found.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_documents).drop("_n")
-    # Stored, so that the join below has nothing but a shuffle on either side and a frequent line can be split.
+    often = found.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_documents)
+    # The most frequent lines are dealt to several tasks each.
     often = stage(often, "line_often")
-    occurrences = stage(found.join(often, list(_LINE)), "line_occurrences")
+    occurrences = stage(join_splitting_hot(found, often, _LINE, "_n").drop("_n"), "line_occurrences")
     # Repeated rows become one before they are dealt out. The count above only has to be no smaller than that of documents.
     ranged = occurrences.distinct().repartitionByRange(*_LINE, "doc_id").sortWithinPartitions(*_LINE, "doc_id", "position")
     in_document = Window.partitionBy(*_LINE, "doc_id").orderBy("position", *ROW_KEY)
     firsts = ranged.withColumn("_nth", F.row_number().over(in_document)).filter("_nth = 1")
     keepers = firsts.groupBy(*_LINE).agg(F.count("doc_id").alias("documents"), F.max("doc_id").alias("keeper"))
-    return occurrences, keepers.filter(F.col("documents") >= min_documents)
+    return occurrences, stage(keepers.filter(F.col("documents") >= min_documents), "line_keepers")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -56,7 +57,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     not counted and lose such lines. Rows of one id are one document for the count, and the largest id's rows keep their lines.
     """
     occurrences, keepers = repeated_lines(docs, min_chars, min_documents)
-    lost = occurrences.join(keepers, list(_LINE)).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lost = join_splitting_hot(occurrences, keepers, _LINE, "documents").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy(*ROW_KEY).agg(F.collect_set("position").alias("_dropped")).select(*ROW_KEY, runs(F.col("_dropped")).alias("dropped"))
 
 
