@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from runsight.llm.components import connected_components
 from runsight.llm.text import whole_row
+from runsight.operators.skew import join_splitting_hot
 from runsight.sources.staging import stage
 
 ROWS, BANDS = 4, 20
@@ -207,9 +208,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     rows = nodes.select("rep", "n_shingles", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("bucket"), F.sum("n_shingles").alias("weight")).filter("bucket > 1")
-    # Stored, so that the join has nothing but a shuffle on either side and a large bucket can be split.
+    # The largest buckets are dealt to several tasks each.
     buckets = stage(buckets, "minhash_buckets")
-    members = stage(rows.join(buckets, "band"), "minhash_members")
+    members = stage(join_splitting_hot(rows, buckets, ["band"], "bucket"), "minhash_members")
 
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stage(docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), SETS), "minhash_sets")
@@ -218,8 +219,9 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     a, b = small.select("band", F.col("rep").alias("a")), small.select("band", F.col("rep").alias("b"))
     pairs = a.join(b, "band").filter("a < b").select("a", "b")
     central = large.groupBy("rep").agg(F.sum("bucket").alias("central"))
-    pivots = large.join(central, "rep").groupBy("band").agg(F.max(F.struct("central", -F.col("rep"))).alias("top")).select("band", (-F.col("top.col2")).alias("pivot"))
-    stars = large.join(pivots, "band").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    pivots = large.join(central, "rep").groupBy("band").agg(F.max(F.struct("central", -F.col("rep"))).alias("top"), F.count(F.lit(1)).alias("_members"))
+    pivots = stage(pivots.select("band", (-F.col("top.col2")).alias("pivot"), "_members"), "minhash_pivots")
+    stars = join_splitting_hot(large, pivots, ["band"], "_members").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
     pairs = pairs.union(stars).distinct()
 
     signatures = nodes.select("rep", "signature")
