@@ -247,15 +247,17 @@ def _fit_documents(features: np.ndarray, toxic: np.ndarray, penalty: float = 1e-
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Fits the model to labelled documents that aren't held out.
 
-    `labels` has doc_id and toxic (0 or 1; other rows are ignored). Of ids with several labels the largest counts. At most `fit_rows`
-    ids are used; their words are counted, and their vocabulary words brought to the driver. Without labelled rows of both kinds
+    `labels` has doc_id and toxic (0 or 1; other rows are ignored). Of ids with several labels the largest counts, of
+    several texts of one id the one with the least hash. At most `fit_rows` ids are used; their words are counted, and their vocabulary words brought to the driver. Without labelled rows of both kinds
     the model knows no words and gives all documents one score.
     """
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     labelled = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = stage(labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "toxicity_sample")
-    # The chosen ids are no more than `fit_rows`, whatever the tables hold.
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # The chosen ids are no more than `fit_rows`, whatever the tables hold, and each has one text. Stored, since it is read twice.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    once = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = stage(once, "toxicity_texts").select("text", "toxic")
 
     words = sample.mapInArrow(_contexts, "word string, toxic int, context long").distinct().groupBy("word").agg(
         F.count(F.when(F.col("toxic") == 1, 1)).alias("bad"), F.count(F.when(F.col("toxic") == 0, 1)).alias("good")

@@ -376,3 +376,16 @@ def test_large_and_tiny_vectors_are_compared_by_their_direction(spark):
     rows = [(1, [1e200, 0.0], 0), (2, [2e200, 0.0], 0), (3, [1e-200, 0.0], 0), (4, [3.0, 0.0], 0), (5, [0.0, 5e-324], 0), (6, [0.0, 1.7e308], 0), (7, [0.0, 0.0], 0), (8, [1e308, 1e308], 0), (9, [2.0, 2.0], 0)]
     found = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert {r["vec_id"]: (r["component_id"], r["n_links"]) for r in found} == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (1, 3), 5: (5, 1), 6: (5, 1), 7: (7, 0), 8: (8, 1), 9: (8, 1)}
+
+
+def test_one_id_with_many_rows_is_one_row_of_the_toxicity_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i} of many") for i in range(300)] + [(1, None), (3, "other"), (None, "x")], DOCS)
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    seen = []
+    plain = toxicity._training_set
+    try:
+        toxicity._training_set = lambda rows, reach: seen.extend(rows) or plain(rows, reach)
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity._training_set = plain
+    assert sum(row["toxic"] == 0 for row in seen) <= 1 and len(seen) <= 2
