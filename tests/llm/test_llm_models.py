@@ -389,3 +389,15 @@ def test_one_id_with_many_rows_is_one_row_of_the_toxicity_sample(spark):
     finally:
         toxicity._training_set = plain
     assert sum(row["toxic"] == 0 for row in seen) <= 1 and len(seen) <= 2
+
+
+def test_numbers_beside_others_are_found_and_hex_words_left_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    added = pii.personal_data(docs).select("doc_id", F.explode("spans").alias("s")).filter("NOT s.base").join(docs.select("doc_id", "text"), "doc_id").collect()
+    found = {(r["doc_id"], pii.KINDS[r["s"]["kind"] - 1], r["text"][r["s"]["start"] : r["s"]["end"]]) for r in added}
+    assert {(1377, "phone", "+1 (826) 555-4081"), (7052, "phone", "+1 (843) 555-7672"), (46, "card", "7536784127813050"), (46, "card", "4845168114407329")} <= found
+    for r in added:
+        around = r["text"][max(0, r["s"]["start"] - 1) : r["s"]["end"] + 1]
+        assert not around[0].isalnum() or r["s"]["start"] == 0 or around[0] in "+("
+        assert not around[-1].isalnum() or r["s"]["end"] == len(r["text"])
+    assert len(found) < 20
