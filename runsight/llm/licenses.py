@@ -8,6 +8,7 @@ long, and if there is nothing else but titles, these go as well. A text is a who
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,20 +38,25 @@ FEW_KNOWN = 1_000
 
 def _respelled(text: Column, spellings: dict[str, str]) -> Column:
     """Whole words in other spellings. Each word gets spaces of its own for that, if there is any to replace."""
-    found = F.lit(False)
-    for other in spellings:
-        found = found | text.contains(other)
-    out = F.concat(F.lit(" "), F.replace(F.replace(text, F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
-    for other, usual in spellings.items():
-        out = F.replace(out, F.lit(f" {other.replace(' ', '  ')} "), F.lit(f" {usual} "))
-    return F.when(found, F.regexp_replace(out, " +", " ")).otherwise(text)
+
+    def replaced(text: Column) -> Column:
+        out = F.concat(F.lit(" "), F.replace(F.replace(text, F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+        for other, usual in spellings.items():
+            out = F.replace(out, F.lit(f" {other.replace(' ', '  ')} "), F.lit(f" {usual} "))
+        found = reduce(Column.__or__, [text.contains(other) for other in spellings])
+        return F.when(found, F.regexp_replace(out, " +", " ")).otherwise(text)
+
+    return bound(text, replaced)
+
+
+def _signed(text: Column) -> Column:
+    held = reduce(Column.__or__, [text.contains(sign) for sign in ("©", "&copy;", "(c)", "filecopyrighttext")])
+    return F.when(held, F.regexp_replace(text, SIGNS, " copyright ")).otherwise(text)
 
 
 def canonical_lines(text: Column) -> Column:
-    """The text's lines in canonical form; those of signs only are empty."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    signed = out.contains("©") | out.contains("&copy;") | out.contains("(c)") | out.contains("filecopyrighttext")
-    out = F.when(signed, F.regexp_replace(out, SIGNS, " copyright ")).otherwise(out)
+    """The text's lines in canonical form; those of signs only are empty. Each step is bound, so that none is computed again by what reads it."""
+    out = bound(F.lower(F.coalesce(text, F.lit(""))), _signed)
     out = F.regexp_replace(F.regexp_replace(out, MARKER, "$1$2"), r"[^\p{L}\p{N}\n]+", " ")
     out = _respelled(out, {other: usual for other, usual in EQUIVALENT.items() if " " not in other})
     return F.transform(F.split(out, "\n"), lambda line: F.trim(line))
@@ -58,10 +64,19 @@ def canonical_lines(text: Column) -> Column:
 
 def _digest(text: Column) -> Column:
     """Digest of canonical text; where its lines break makes no difference. Null if nothing is left of it."""
-    flat = F.trim(F.regexp_replace(text, "[ \n]+", " "))
+
+    return _flat_digest(F.trim(F.regexp_replace(text, "[ \n]+", " ")))
+
+
+def _flat_digest(flat: Column) -> Column:
+    """Digest of canonical text on one line."""
+
+    def renamed(flat: Column) -> Column:
+        other = F.regexp_replace(flat, ENDORSEMENT, "neither the name of the copyright holder nor the names of")
+        return F.trim(F.when(flat.contains("neither the name of"), other).otherwise(flat))
+
     flat = _respelled(flat, {other: usual for other, usual in EQUIVALENT.items() if " " in other})
-    flat = F.trim(F.when(flat.contains("neither the name of"), F.regexp_replace(flat, ENDORSEMENT, "neither the name of the copyright holder nor the names of")).otherwise(flat))
-    return F.when(flat != "", F.sha2(flat, 256))
+    return bound(bound(flat, renamed), lambda flat: F.when(flat != "", F.sha2(flat, 256)))
 
 
 def canonical_digests(lines: Column) -> Column:
@@ -73,15 +88,14 @@ def canonical_digests(lines: Column) -> Column:
 
     def split(text: Column) -> Column:
         # The long pattern only runs where one of its first words stands.
-        hopeful = F.lit(False)
-        for words in BEGINNINGS:
-            hopeful = hopeful | text.contains(words.split(" ")[0])
+        hopeful = reduce(Column.__or__, [text.contains(words) for words in dict.fromkeys(words.split(" ")[0] for words in BEGINNINGS)])
         begun = hopeful & text.rlike(BEGINNING)
         parted = bound(F.regexp_extract(text, BEGINNING, 1), lambda head: _parted(text, head))
         # A text of nothing but notices has nothing left.
         marked = text.contains("copyright") | text.contains("all rights reserved")
         only = marked & F.forall(_paragraphs(text), lambda p: (p == "") | p.rlike(NOTICE))
-        return F.when(begun, parted).otherwise(F.struct(F.when(~only, _digest(text)).alias("whole"), F.lit(None).cast("string").alias("body")))
+        flat = F.array_join(F.filter(lines, lambda line: line != ""), " ")
+        return F.when(begun, parted).otherwise(F.struct(F.when(~only, _flat_digest(flat)).alias("whole"), F.lit(None).cast("string").alias("body")))
 
     return bound(text, split)
 
@@ -120,9 +134,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None, few_known: int = FEW_K
     known = known_digests(docs.sparkSession) if known is None else known
     listed = known.select("digest", "licence").limit(few_known + 1).collect()
     lines = docs.select("doc_id", "text").select("doc_id", F.col("text"), canonical_lines(F.col("text")).alias("_lines"))
-    filled = F.array_distinct(F.filter("_lines", lambda line: line != ""))
-    # The digest of a line is that of a text of this line alone.
-    of_lines = F.transform(filled, lambda line: F.sha2(line, 256))
+    # The digest of a line is that of a text of this line alone. No known text is empty.
+    of_lines = F.transform("_lines", lambda line: F.sha2(line, 256))
     if len(listed) <= few_known:
         return _looked_up(lines, of_lines, {row["digest"]: row["licence"] for row in listed})
     units = identified(lines, ["doc_id", of_lines.alias("_of_lines"), canonical_digests(F.col("_lines")).alias("_of")])
