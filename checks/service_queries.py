@@ -125,7 +125,7 @@ def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _run_table(spark)
     documents = _documents(spark, sf_dir)
     twice = documents.union(documents)
-    options = {"label": "run", "slices": 6, "prompt": "text", **table}
+    options = {"label": "run", "slices": 6, "prompt": "text", "stored": ["doc_id"], **table}
     try:
         inference.resumable_run(twice, FailingClient, **options)
     except Exception as error:

@@ -206,23 +206,32 @@ def labelled_run(
     return {"label": label, "run_time": run_time, "status_counts": counts}
 
 
-def keyed_rows(df: DataFrame, columns: Sequence[str] | None = None, block: int = COPIES_PER_BLOCK) -> DataFrame:
-    """The rows with a `row_key` that follows from what they hold: the hash of `columns`, by default all, and the number of the copy.
-
-    Equal rows are numbered without being collected: they are counted, and the count is dealt out again in blocks. So whatever order
-    or partitions the rows come in, a table has the same keys. With `columns`, rows that are equal in these must be equal in the others.
-    """
+def _blocks_of_copies(df: DataFrame, columns: Sequence[str] | None, block: int) -> DataFrame:
+    """Each distinct row as (_row, _hash, _first, _last): once for each `block` of its copies, which have the numbers _first to _last."""
     named = [F.col(f"`{name}`") for name in (columns or df.columns)]
     hashes = F.concat_ws("-", F.hex(F.xxhash64(F.lit(0), *named)), F.hex(F.xxhash64(F.lit(1), *named)))
     whole = F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("_row")
     counted = df.select(hashes.alias("_hash"), whole).groupBy("_hash").agg(F.first("_row").alias("_row"), F.count(F.lit(1)).alias("_n"))
     blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / F.lit(block)))))
     first, last = F.col("_block") * block, F.least(F.col("_n"), (F.col("_block") + 1) * block) - 1
-    # Blocks of one row may come from one task, but need not stay there.
-    each = blocks.repartition("_hash", "_block").withColumn("_copy", F.explode(F.sequence(first, last)))
+    # Blocks of one row come from one task, but need not stay there.
+    return blocks.repartition("_hash", "_block").select("_row", "_hash", first.alias("_first"), last.alias("_last"))
+
+
+def _copies(blocks: DataFrame) -> DataFrame:
+    each = blocks.withColumn("_copy", F.explode(F.sequence("_first", "_last")))
     return each.select("_row.*", F.concat_ws("-", "_hash", F.col("_copy").cast("string")).alias("row_key"))
 
 
+def keyed_rows(df: DataFrame, columns: Sequence[str] | None = None, block: int = COPIES_PER_BLOCK) -> DataFrame:
+    """The rows with a `row_key` that follows from what they hold: the hash of `columns`, by default all, and the number of the copy.
+
+    Equal rows are numbered without being collected: they are counted, and the count is dealt out again in blocks. So whatever order
+    or partitions the rows come in, a table has the same keys. With `columns`, rows that are equal in these must be equal in the others.
+    """
+    return _copies(_blocks_of_copies(df, columns, block))
+
+
 def resumable_run(
     df: DataFrame,
     client_factory: ClientFactory,
@@ -231,6 +240,7 @@ def resumable_run(
     *,
     slices: int = 10,
     columns: Sequence[str] | None = None,
+    stored: Sequence[str] | None = None,
     path: str | None = None,
     parallelism: int | None = None,
     prompt: str = "question",
@@ -239,21 +249,27 @@ def resumable_run(
     """Answer all rows that `results_table` doesn't hold under `label` yet, and return all rows of that label.
 
     Rows are known by `keyed_rows`. They are answered in `slices`, each appended by one job: if that fails, nothing of the slice is
-    stored, and a later call with the same rows and label asks for that slice and the later ones only. Answers that are errors are
-    answers. Two calls for one label must not run at a time.
+    stored, and a later call with the same rows and label asks for that slice and the later ones only. Copies of one row are in one
+    slice. Answers that are errors are answers. `stored` names the columns of `df` that are kept beside key and answer, by default
+    all. Two calls for one label must not run at a time.
     """
     spark = df.sparkSession
-    keyed = keyed_rows(df, columns).withColumn("_slice", F.pmod(F.xxhash64("row_key"), F.lit(slices)).cast("int"))
-    keyed = stage(keyed, "keyed_rows", partition_by=["_slice"])
+    slice_of = lambda hashes: F.pmod(F.xxhash64(hashes), F.lit(slices)).cast("int")
+    blocks = _blocks_of_copies(df, columns, COPIES_PER_BLOCK).withColumn("_slice", slice_of(F.col("_hash")))
+    blocks = stage(blocks, "keyed_rows", partition_by=["_slice"])
+    kept = [*(df.columns if stored is None else stored), "row_key", "answer"]
     for number in range(slices):
-        waiting = keyed.filter(F.col("_slice") == number).drop("_slice")
+        waiting = _copies(blocks.filter(F.col("_slice") == number))
         if spark.catalog.tableExists(results_table):
             done = spark.table(results_table).filter(F.col("test_label") == label).select("row_key")
-            waiting = stage(waiting.join(done, "row_key", "left_anti"), "waiting_rows")
+            done = done.filter(slice_of(F.substring_index("row_key", "-", 2)) == number)
+            if done.limit(1).count():
+                waiting = waiting.join(done, "row_key", "left_anti")
             if not waiting.limit(1).count():
                 continue
         waiting = waiting.repartition(parallelism) if parallelism else waiting
-        append_labelled(answer(waiting, client_factory, prompt=prompt, timed=True, **options), results_table, label, path=path)
+        answered = answer(waiting, client_factory, prompt=prompt, timed=True, **options)
+        append_labelled(answered.select(*[f"`{name}`" for name in kept]), results_table, label, path=path)
     return spark.table(results_table).filter(F.col("test_label") == label)
 
 
