@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 EDITS = 0.2
 MIN_WORDS = 8
 """Shorter items are found by all their words only. Any longer one keeps a triple (see above)."""
-MIN_REMOVED = 4
-"""Items of fewer words are reported, but documents that hold them stay: they stand in texts by chance."""
+LEAST_WORDS = 4
+"""Items of fewer words stand in texts by chance: by default they are left out, and documents that hold them stay."""
 ITEMS_PER_BLOCK, WORDS_PER_BLOCK = 20_000, 2_000_000
 SAMPLED, BANDS = 2, 160
 """Two walks that agree in a quarter of their positions, as after edits of a fifth of the words, share a sample with probability
@@ -294,27 +294,27 @@ def _searching(index: ItemIndex):
     return work
 
 
-def find_items(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, edits: float = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, distance, item_words, start_word, end_word (of the best place).
 
     `docs` has doc_id and text, `items` item_id and text. Null and empty texts hold nothing, and items without words are in none;
-    items under MIN_WORDS words are found without edits. Rows without an id are searched like others, repeated rows give repeated results, and so do repeated items. Copies of items with
+    items under MIN_WORDS words are found without edits, those under `least_words` not at all (1: all are). Rows without an id are searched like others, repeated rows give repeated results, and so do repeated items. Copies of items with
     one text are all reported. Without documents or items there are no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     found = None
-    for block in _item_blocks(items):
+    for block in _item_blocks(items, least_words):
         part = texts.mapInArrow(_searching(ItemIndex.build(block, edits)), FOUND)
         found = part if found is None else found.union(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], FOUND)
 
 
-def without_items(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
-    """The rows of `docs`, with all their columns, in which no item of at least MIN_REMOVED words is found.
+def without_items(docs: DataFrame, items: DataFrame, edits: float = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of `docs`, with all their columns, in which no item of at least `least_words` words is found.
 
     Rows are tested where they are, so rows without an id and repeated rows are judged by their own texts.
     """
-    for block in _item_blocks(items, MIN_REMOVED):
+    for block in _item_blocks(items, least_words):
         docs = docs.mapInArrow(_filtering(ItemIndex.build(block, edits), docs.columns.index("text")), docs.schema)
     return docs
 

@@ -62,7 +62,7 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontamination.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least_words=1)
 
 
 def _run_lengths(found: str) -> Column:
