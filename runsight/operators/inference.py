@@ -211,7 +211,11 @@ def _blocks_of_copies(df: DataFrame, columns: Sequence[str] | None, block: int)
     named = [F.col(f"`{name}`") for name in (columns or df.columns)]
     hashes = F.concat_ws("-", F.hex(F.xxhash64(F.lit(0), *named)), F.hex(F.xxhash64(F.lit(1), *named)))
     whole = F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("_row")
+    # Only hashes are shuffled to see whether any row has more copies than one task may number.
+    often = df.select(hashes.alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block).limit(1).count()
     counted = df.select(hashes.alias("_hash"), whole).groupBy("_hash").agg(F.first("_row").alias("_row"), F.count(F.lit(1)).alias("_n"))
+    if not often:
+        return counted.select("_row", "_hash", F.lit(0).cast("bigint").alias("_first"), (F.col("_n") - 1).alias("_last"))
     blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / F.lit(block)))))
     first, last = F.col("_block") * block, F.least(F.col("_n"), (F.col("_block") + 1) * block) - 1
     # Blocks of one row come from one task, but need not stay there.
@@ -219,8 +223,12 @@ def _blocks_of_copies(df: DataFrame, columns: Sequence[str] | None, block: int)
 
 
 def _copies(blocks: DataFrame) -> DataFrame:
-    each = blocks.withColumn("_copy", F.explode(F.sequence("_first", "_last")))
-    return each.select("_row.*", F.concat_ws("-", "_hash", F.col("_copy").cast("string")).alias("row_key"))
+    return _keys(blocks, "_row").select("_row.*", "row_key")
+
+
+def _keys(blocks: DataFrame, *columns: str) -> DataFrame:
+    each = blocks.select(*columns, "_hash", F.explode(F.sequence("_first", "_last")).alias("_copy"))
+    return each.select(*columns, F.concat_ws("-", "_hash", F.col("_copy").cast("string")).alias("row_key"))
 
 
 def keyed_rows(df: DataFrame, columns: Sequence[str] | None = None, block: int = COPIES_PER_BLOCK) -> DataFrame:
@@ -259,14 +267,18 @@ def resumable_run(
     blocks = stage(blocks, "keyed_rows", partition_by=["_slice"])
     kept = [*(df.columns if stored is None else stored), "row_key", "answer"]
     for number in range(slices):
-        waiting = _copies(blocks.filter(F.col("_slice") == number))
+        part = blocks.filter(F.col("_slice") == number)
+        waiting = _copies(part)
         if spark.catalog.tableExists(results_table):
             done = spark.table(results_table).filter(F.col("test_label") == label).select("row_key")
             done = done.filter(slice_of(F.substring_index("row_key", "-", 2)) == number)
-            if done.limit(1).count():
-                waiting = waiting.join(done, "row_key", "left_anti")
-            if not waiting.limit(1).count():
+            # Keys alone say what is missing: mostly all of a slice, or nothing.
+            keys = stage(_keys(part).join(done.withColumn("_done", F.lit(True)), "row_key", "left").select("row_key", F.col("_done").isNull().alias("_missing")), "row_keys")
+            some, every = keys.agg(F.coalesce(F.bool_or("_missing"), F.lit(False)), F.coalesce(F.bool_and("_missing"), F.lit(False))).first()
+            if not some:
                 continue
+            if not every:
+                waiting = waiting.join(keys.filter("_missing").select("row_key"), "row_key", "left_semi")
         waiting = waiting.repartition(parallelism) if parallelism else waiting
         answered = answer(waiting, client_factory, prompt=prompt, timed=True, **options)
         append_labelled(answered.select(*[f"`{name}`" for name in kept]), results_table, label, path=path)
