@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from runsight.sources.staging import stage
+from runsight.sources.staging import recorded_staging, remove_staged, stage
 from runsight.sources.writers import append_labelled, run_name
 
 ANSWER_SCHEMA = (
@@ -262,26 +262,31 @@ def resumable_run(
     all. Two calls for one label must not run at a time.
     """
     spark = df.sparkSession
-    slice_of = lambda hashes: F.pmod(F.xxhash64(hashes), F.lit(slices)).cast("int")
-    blocks = _blocks_of_copies(df, columns, COPIES_PER_BLOCK).withColumn("_slice", slice_of(F.col("_hash")))
-    blocks = stage(blocks, "keyed_rows", partition_by=["_slice"])
-    kept = [*(df.columns if stored is None else stored), "row_key", "answer"]
-    for number in range(slices):
-        part = blocks.filter(F.col("_slice") == number)
-        waiting = _copies(part)
-        if spark.catalog.tableExists(results_table):
-            done = spark.table(results_table).filter(F.col("test_label") == label).select("row_key")
-            done = done.filter(slice_of(F.substring_index("row_key", "-", 2)) == number)
-            # Keys alone say what is missing: mostly all of a slice, or nothing.
-            keys = stage(_keys(part).join(done.withColumn("_done", F.lit(True)), "row_key", "left").select("row_key", F.col("_done").isNull().alias("_missing")), "row_keys")
-            some, every = keys.agg(F.coalesce(F.bool_or("_missing"), F.lit(False)), F.coalesce(F.bool_and("_missing"), F.lit(False))).first()
-            if not some:
-                continue
-            if not every:
-                waiting = waiting.join(keys.filter("_missing").select("row_key"), "row_key", "left_semi")
-        waiting = waiting.repartition(parallelism) if parallelism else waiting
-        answered = answer(waiting, client_factory, prompt=prompt, timed=True, **options)
-        append_labelled(answered.select(*[f"`{name}`" for name in kept]), results_table, label, path=path)
+    with recorded_staging() as folders:
+        try:
+            slice_of = lambda hashes: F.pmod(F.xxhash64(hashes), F.lit(slices)).cast("int")
+            blocks = _blocks_of_copies(df, columns, COPIES_PER_BLOCK).withColumn("_slice", slice_of(F.col("_hash")))
+            blocks = stage(blocks, "keyed_rows", partition_by=["_slice"])
+            kept = [*(df.columns if stored is None else stored), "row_key", "answer"]
+            for number in range(slices):
+                part = blocks.filter(F.col("_slice") == number)
+                waiting = _copies(part)
+                if spark.catalog.tableExists(results_table):
+                    done = spark.table(results_table).filter(F.col("test_label") == label).select("row_key")
+                    done = done.filter(slice_of(F.substring_index("row_key", "-", 2)) == number)
+                    # Keys alone say what is missing: mostly all of a slice, or nothing.
+                    keys = stage(_keys(part).join(done.withColumn("_done", F.lit(True)), "row_key", "left").select("row_key", F.col("_done").isNull().alias("_missing")), "row_keys")
+                    some, every = keys.agg(F.coalesce(F.bool_or("_missing"), F.lit(False)), F.coalesce(F.bool_and("_missing"), F.lit(False))).first()
+                    if not some:
+                        continue
+                    if not every:
+                        waiting = waiting.join(keys.filter("_missing").select("row_key"), "row_key", "left_semi")
+                waiting = waiting.repartition(parallelism) if parallelism else waiting
+                answered = answer(waiting, client_factory, prompt=prompt, timed=True, **options)
+                append_labelled(answered.select(*[f"`{name}`" for name in kept]), results_table, label, path=path)
+        finally:
+            # The result is in the table; nothing reads these any more.
+            remove_staged(spark, folders)
     return spark.table(results_table).filter(F.col("test_label") == label)
 
 
