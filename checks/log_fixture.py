@@ -16,6 +16,7 @@ from runsight.sources.staging import scratch_path
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 CLUSTER = "cluster-a"
 DAY_MS = 86_400_000
+RECORDS_PER_FILE = 100_000
 METRIC_KEYS = ("input_metrics__records_read", "executor_cpu_time")
 ACCUMULABLE_KEYS = ("number_of_output_rows", "internal_metrics_resultsize")
 
@@ -39,11 +40,12 @@ def _item(item_id: int, name: str, value) -> F.Column:
 
 
 def event_log_path(spark: SparkSession, sf_dir: str) -> str:
-    """Where the log lies as text files."""
+    """Where the log lies as compressed text files."""
 
     def write() -> str:
         path = scratch_path(spark, "event_log")
-        _lines(spark, sf_dir).write.text(path)
+        # As logs are kept: compressed, and in files that one task reads whole, since such files aren't cut up.
+        _lines(spark, sf_dir).write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
         return path
 
     return stored(spark, sf_dir, "event_log_path", write)
