@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any, NamedTuple, Protocol
 
 import pandas as pd
@@ -23,6 +24,9 @@ ANSWER_SCHEMA = (
 )
 TIMED_FIELDS = "started_ms bigint, finished_ms bigint"
 DEFAULT_SYSTEM_PROMPT = "You are a helpful assistant"
+BYTES_PER_TASK = 256 * 2**20
+"""Stored input, as Parquet, that one task of a labelled run answers before its next one starts."""
+ROW_GROUP = 8 * 2**20
 COPIES_PER_BLOCK = 10_000
 """Copies of one row that are numbered by one task."""
 PARAM_TYPES = {"model": "string", "temperature": "double", "max_tokens": "int"}
@@ -186,21 +190,86 @@ def labelled_run(
     label: str | None = None,
     path: str | None = None,
     prompt: str = "question",
+    task_bytes: int = BYTES_PER_TASK,
     **options,
 ) -> dict[str, Any]:
-    """Answer all rows with `parallelism` tasks, append them under a label, and report time and status counts.
+    """Answer all rows with `parallelism` tasks at a time, append them under a label, and report time and status counts.
 
     The label must be new to the table. Each row gets a `row_id` before it is answered, unique within the run: a row that
     a repeated task attempt wrote twice can be recognised by it.
+
+    So that few tasks can answer many rows, the rows are stored first and answered in rounds of `parallelism` tasks with about
+    `task_bytes` of stored input each, one append per round. If a round fails, the rounds before it stay under the label.
     """
     label = label or f"{run_name('run')} parallelism={parallelism}"
-    spark = df.sparkSession
+    _check_new(df.sparkSession, results_table, label)
+    with recorded_staging() as folders:
+        try:
+            return _labelled_run(stored_rows(df), parallelism, client_factory, results_table, label, path, prompt, task_bytes, options)
+        finally:
+            # The result is in the table; nothing reads these any more.
+            remove_staged(df.sparkSession, folders)
+
+
+def _check_new(spark: SparkSession, results_table: str, label: str) -> None:
     if spark.catalog.tableExists(results_table) and spark.table(results_table).filter(F.col("test_label") == label).limit(1).count():
         raise ValueError(f"{results_table} holds a run labelled {label!r}")
+
+
+@dataclass(frozen=True)
+class StoredRows:
+    """Rows stored as files, and the size of each file."""
+
+    frame: DataFrame
+    sizes: dict[str, int]
+
+
+def stored_rows(df: DataFrame) -> StoredRows:
+    """Store the rows, so that runs can read them in parts. The frame's own partitions write them: nothing is shuffled."""
+    rows = stage(df, "run_rows", row_group=ROW_GROUP)
+    system = rows.sparkSession._jvm.org.apache.hadoop.fs.Path
+    conf = rows.sparkSession._jsc.hadoopConfiguration()
+    paths = {uri: system(rows.sparkSession._jvm.java.net.URI(uri)) for uri in rows.inputFiles()}
+    return StoredRows(rows, {path.toString(): path.getFileSystem(conf).getFileStatus(path).getLen() for path in paths.values()})
+
+
+def _rounds(rows: StoredRows, most: int) -> list[list[str]]:
+    """Files of each round: up to `most` bytes, or one file that is larger."""
+    rounds, size = [[]], 0
+    for path, own in sorted(rows.sizes.items()):
+        if rounds[-1] and size + own > most:
+            rounds.append([])
+            size = 0
+        rounds[-1].append(path)
+        size += own
+    return rounds
+
+
+def _dealt(rows: DataFrame, parallelism: int) -> DataFrame:
+    """The rows in `parallelism` partitions. Stored parts that are enough for these are put together; fewer are shuffled."""
+    return rows.coalesce(parallelism) if rows.rdd.getNumPartitions() >= 2 * parallelism else rows.repartition(parallelism)
+
+
+def _labelled_run(
+    rows: StoredRows,
+    parallelism: int,
+    client_factory: ClientFactory,
+    results_table: str,
+    label: str,
+    path: str | None,
+    prompt: str,
+    task_bytes: int,
+    options: Mapping[str, Any],
+) -> dict[str, Any]:
+    spark = rows.frame.sparkSession
+    _check_new(spark, results_table, label)
     started = time.time()
-    numbered = df.repartition(parallelism).withColumn("row_id", F.monotonically_increasing_id())
-    answered = answer(numbered, client_factory, prompt=prompt, timed=True, **options)
-    append_labelled(answered, results_table, label, path=path)
+    for number, files in enumerate(_rounds(rows, parallelism * task_bytes)):
+        part = spark.read.schema(rows.frame.schema).parquet(*files) if files else rows.frame
+        # Ids of a task are within 2^33, so rounds don't share any.
+        row_id = F.monotonically_increasing_id() + F.lit(number * parallelism << 33)
+        answered = answer(_dealt(part, parallelism).withColumn("row_id", row_id), client_factory, prompt=prompt, timed=True, **options)
+        append_labelled(answered, results_table, label, path=path)
     run_time = time.time() - started
     counts = status_counts(spark.table(results_table), label)
     return {"label": label, "run_time": run_time, "status_counts": counts}
@@ -297,20 +366,28 @@ def sweep(
     results_table: str,
     *,
     label: str = "sweep",
+    path: str | None = None,
+    prompt: str = "question",
+    task_bytes: int = BYTES_PER_TASK,
     **options,
 ) -> DataFrame:
     """One labelled run per parallelism, one after the other: each row is a run's time and count of one status.
 
-    Labels hold the time, so sweeps can be repeated into one table.
+    Labels hold the time, so sweeps can be repeated into one table. The rows are stored once for all runs, see `labelled_run`.
     """
     spark: SparkSession = df.sparkSession
     rows = []
-    for parallelism in parallelisms:
-        name = f"{run_name(label)} parallelism={parallelism}"
-        run = labelled_run(df, parallelism, client_factory, results_table, label=name, **options)
-        rows += [
-            (parallelism, name, run["run_time"], row["status"], row["count"]) for row in run["status_counts"].collect()
-        ]
+    with recorded_staging() as folders:
+        try:
+            stored = stored_rows(df)
+            for parallelism in parallelisms:
+                name = f"{run_name(label)} parallelism={parallelism}"
+                run = _labelled_run(stored, parallelism, client_factory, results_table, name, path, prompt, task_bytes, options)
+                rows += [
+                    (parallelism, name, run["run_time"], row["status"], row["count"]) for row in run["status_counts"].collect()
+                ]
+        finally:
+            remove_staged(spark, folders)
     return spark.createDataFrame(
         rows, "parallelism int, test_label string, run_time_s double, status string, count bigint"
     )

@@ -54,12 +54,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back."""
+def stage(df: DataFrame, name: str, partition_by: Sequence[str] = (), row_group: int | None = None) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it back. `row_group` is the bytes that readers can't cut up."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if row_group:
+        writer = writer.option("parquet.block.size", row_group)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -185,3 +185,18 @@ def test_a_run_that_broke_off_asks_for_what_is_missing(spark, tmp_path):
 def test_a_run_without_rows(spark):
     df = spark.createDataFrame([], "question string")
     assert resumable_run(df, Echo, "no_answers", "run", slices=2).collect() == []
+
+
+def test_few_tasks_answer_many_rows_in_rounds(spark):
+    rows = spark.range(0, 3000, 1, 12).selectExpr("id", "concat('q', id) AS question")
+    inference.labelled_run(rows, 2, Echo, "runs_in_rounds", label="one")
+    inference.labelled_run(rows, 2, Echo, "runs_in_rounds", label="many", task_bytes=4_000)
+    table = spark.table("runs_in_rounds")
+    files = {r["test_label"]: r["n"] for r in table.groupBy("test_label").agg(F.countDistinct("_metadata.file_path").alias("n")).collect()}
+    assert files["one"] == 2 and files["many"] > 6
+    for label in ("one", "many"):
+        run = table.filter(F.col("test_label") == label)
+        assert run.count() == run.select("row_id").distinct().count() == run.select("id").distinct().count() == 3000
+    swept = inference.sweep(rows, [1, 3], Echo, "runs_in_rounds", label="s", task_bytes=4_000).collect()
+    assert {(r["parallelism"], r["count"]) for r in swept} == {(1, 3000), (3, 3000)}
+    assert inference.sweep(rows.limit(0), [2], Echo, "runs_in_rounds", label="empty").count() == 0
