@@ -171,9 +171,10 @@ def size_report(manifest: DataFrame) -> DataFrame:
     files = manifest.groupBy("table_name", "file_name", "file_size").agg(
         F.max("table_version_number").alias("_last"), F.max("in_retention_period").alias("_retained")
     )
-    newest = manifest.groupBy("table_name").agg(F.max("table_version_number").alias("_newest"))
-    latest = (F.col("_last") == F.col("_newest")).cast("int").alias("_latest")
-    return _size_rows(files.join(newest, "table_name").select("table_name", "file_name", "file_size", latest, "_retained"))
+    # One row per version that was some file's last is left, so the manifest is read once and the window is short.
+    ends = files.filter("table_name IS NOT NULL").groupBy("table_name", "_last", "_retained").agg(F.count(F.lit(1)).alias("_files"), F.sum("file_size").alias("_bytes"))
+    newest = F.max("_last").over(Window.partitionBy("table_name"))
+    return _size_rows(ends.withColumn("_latest", (F.col("_last") == newest).cast("int")))
 
 
 def size_report_of_actions(
@@ -195,7 +196,7 @@ def size_report_of_actions(
     files = lives.groupBy("table_name", "file_name", "file_size").agg(
         F.max(F.col("_until").isNull().cast("int")).alias("_latest"), F.max(retained.cast("int")).alias("_retained")
     )
-    return _size_rows(files)
+    return _size_rows(files.withColumns({"_files": F.lit(1), "_bytes": F.col("file_size")}))
 
 
 def version_totals(
@@ -233,10 +234,11 @@ def version_totals(
 
 
 def _size_rows(files: DataFrame) -> DataFrame:
+    """The report of rows that stand for `_files` files of `_bytes` bytes in all."""
     kinds = {"latest": F.col("_latest") == 1, "in_retention": F.col("_retained") == 1, "all": F.lit(True)}
     totals = files.groupBy("table_name").agg(
-        *[F.count(F.when(test, 1)).alias(f"_n_{kind}") for kind, test in kinds.items()],
-        *[F.sum(F.when(test, F.col("file_size"))).alias(f"_b_{kind}") for kind, test in kinds.items()],
+        *[F.coalesce(F.sum(F.when(test, F.col("_files"))), F.lit(0)).alias(f"_n_{kind}") for kind, test in kinds.items()],
+        *[F.sum(F.when(test, F.col("_bytes"))).alias(f"_b_{kind}") for kind, test in kinds.items()],
     )
     # One row per table is left here.
     by_size = Window.orderBy(F.col("_b_in_retention").desc(), F.col("table_name"))

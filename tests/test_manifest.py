@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runsight.operators.manifest import file_history, size_report, size_report_of_actions, version_totals, write_manifest
 from runsight.sources import read_actions, select_tables
+from runsight.sources.staging import stage
 
 DAY = 86_400_000
 NOW = datetime.datetime(2024, 1, 31)
@@ -258,3 +259,15 @@ def test_totals_cost_the_same_rows_however_many_versions_a_file_lives(spark, cap
     found.explain()
     plan = capsys.readouterr().out
     assert "Generate" not in plan
+
+
+def test_the_size_report_reads_the_manifest_once(spark):
+    columns = "table_name string, file_name string, file_size bigint, table_version_number bigint, in_retention_period int"
+    rows = [("t", "a", 5, 1, 0), ("t", "a", 5, 2, 1), ("t", "b", 7, 1, 0), ("t", "c", None, 2, 1), ("u", "a", 3, 4, 1), (None, "z", 9, 9, 1)]
+    manifest = stage(spark.createDataFrame(rows, columns), "manifest")
+    report = size_report(manifest)
+    assert {tuple(r) for r in report.collect()} == {
+        ("latest", "t", 2, 5, 1), ("in_retention", "t", 2, 5, 1), ("all", "t", 3, 12, 1),
+        ("latest", "u", 1, 3, 2), ("in_retention", "u", 1, 3, 2), ("all", "u", 1, 3, 2),
+    }
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
