@@ -128,9 +128,10 @@ def _growing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, kept = scratch_path(spark, "stream_log"), scratch_path(spark, "growing_tasks")
     for part in range(LOG_PARTS if first is not None else 0):
         low, high = (first + (last + 1 - first) * k // LOG_PARTS for k in (part, part + 1))
-        timed.filter((F.col("_at") >= low) & (F.col("_at") < high)).select("logMessage").coalesce(1).write.mode("append").text(path)
+        # Each task of the table writes what it has of the part; all these files are one batch.
+        timed.filter((F.col("_at") >= low) & (F.col("_at") < high)).select("logMessage").write.mode("append").option("compression", "gzip").text(path)
         # Started anew for each part: what waits for its partner is in the state store.
-        stream = streaming.event_log_stream(spark, path, CLUSTER, files_per_batch=1)
+        stream = streaming.event_log_stream(spark, path, CLUSTER)
         joined = streaming.attach_stages_stream(stream, grace_ms=1_800_000, longest_ms=2 * DAY_MS, late="2 days")
         streaming.run_kept(joined, "growing log", kept, own).awaitTermination()
     return spark.read.parquet(kept).select("task_id", "stage_id", "stage__submission_time", "stage__completion_time", "stage__num_tasks")
