@@ -23,8 +23,6 @@ from runsight.llm.text import ROW_KEY, bound, identified
 from runsight.sources.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_ROWS = 10_000
-"""At most so many candidates, those with the least hash, are used to fit and calibrate the trees."""
 PRECISION = 0.95
 TREES, DEPTH = 10, 3
 
@@ -184,9 +182,10 @@ def _rewritten(base: DataFrame) -> DataFrame:
     return out.filter(F.when(kind == "email", F.col("match").rlike(f"^(?:{GENERATORS['spelled email']})$")).otherwise(number))
 
 
-def fit(found: DataFrame, fit_rows: int = FIT_ROWS) -> Selector | None:
-    """Trees that tell base spans, also in the looser forms, from the generators' other candidates, fitted to at most `fit_rows` of these.
+def fit(found: DataFrame) -> Selector | None:
+    """Trees that tell base spans, also in the looser forms, from the generators' other candidates, fitted to all of these.
 
+    Examples with equal features are one row with a weight, so the trees' passes grow with what differs, not with the documents.
     Half of them teach, the other half sets the threshold of each kind: the least at which `PRECISION` of the selected ones are base spans,
     as they are or rewritten. None if there aren't candidates of both sorts.
     """
@@ -194,28 +193,30 @@ def fit(found: DataFrame, fit_rows: int = FIT_ROWS) -> Selector | None:
     told = _marked_free(found).filter("base OR _free")
     chosen = told.groupBy("kind", "match", "before", "after").agg(F.max("base").alias("base"), F.max(F.col("generator") == "spelled email").alias("_spelled"))
     chosen = chosen.withColumn("_hash", F.xxhash64("match", "before", "after"))
-    sample = stage(chosen.orderBy("_hash", "match", "before", "after", "kind").limit(fit_rows), "pii_sample")
-    loose = _rewritten(sample.filter("base"))
+    chosen = stage(chosen, "pii_chosen")
+    loose = _rewritten(chosen.filter("base"))
     # Whether a candidate in a form that a base span can have is personal data isn't known: no example of the contrary. Bare digits are
     # told from such numbers by nothing but context, so they stay.
-    own = sample.filter("base AND kind IN ('card', 'phone')").select("kind", "match")
+    own = chosen.filter("base AND kind IN ('card', 'phone')").select("kind", "match")
     forms = loose.filter("label = 1 AND kind <> 'email'").select("kind", "match").unionByName(own)
     forms = forms.select("kind", _form(F.col("match")).alias("_form")).filter("_form RLIKE '[^9]'").distinct()
-    others = sample.filter("NOT base AND NOT _spelled").withColumn("_form", _form(F.col("match"))).join(forms, ["kind", "_form"], "left_anti")
+    others = chosen.filter("NOT base AND NOT _spelled").withColumn("_form", _form(F.col("match"))).join(forms, ["kind", "_form"], "left_anti")
     columns = ["kind", "match", "before", "after", "_hash", "label"]
-    taught = sample.filter("base").withColumn("label", F.lit(1.0)).select(columns).unionByName(others.withColumn("label", F.lit(0.0)).select(columns)).unionByName(loose.select(columns))
-    taught = stage(with_features(taught), "pii_examples")
+    taught = chosen.filter("base").withColumn("label", F.lit(1.0)).select(columns).unionByName(others.withColumn("label", F.lit(0.0)).select(columns)).unionByName(loose.select(columns))
+    taught = with_features(taught).groupBy(*FEATURES, "kind", "label", (F.col("_hash") % 2 == 0).alias("_teach")).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    # In one order, so that what Spark's trees draw to place their splits is the same in each run.
+    taught = stage(taught.repartitionByRange(*FEATURES, "kind", "label").sortWithinPartitions(*FEATURES, "kind", "label"), "pii_examples")
     examples = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep").transform(taught)
-    examples = examples.select("_features", "kind", "label", (F.col("_hash") % 2 == 0).alias("_teach"))
+    examples = examples.select("_features", "kind", "label", "_teach", "_weight")
     seen = {(row["_teach"], row["label"]) for row in examples.groupBy("_teach", "label").count().collect()}
     if len(seen) < 4:
         return None
     learner = GBTClassifier(
-        featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=11, predictionCol="_said"
+        featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=TREES, maxDepth=DEPTH, seed=11, predictionCol="_said"
     )
     trees = learner.fit(examples.filter("_teach")).setProbabilityCol("_probability").setRawPredictionCol("_raw")
-    judged = trees.transform(examples.filter("NOT _teach")).select("kind", "label", F.ceil(vector_to_array("_probability")[1] * 100).alias("percent"))
-    counts = {(row["kind"], row["percent"], row["label"]): row["count"] for row in judged.groupBy("kind", "percent", "label").count().collect()}
+    judged = trees.transform(examples.filter("NOT _teach")).select("kind", "label", "_weight", F.ceil(vector_to_array("_probability")[1] * 100).alias("percent"))
+    counts = {(row["kind"], row["percent"], row["label"]): row["n"] for row in judged.groupBy("kind", "percent", "label").agg(F.sum("_weight").alias("n")).collect()}
     thresholds = {}
     for kind in KINDS:
         good, bad = 0, 0

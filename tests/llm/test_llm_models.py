@@ -401,3 +401,14 @@ def test_numbers_beside_others_are_found_and_hex_words_left_alone(spark):
         assert not around[0].isalnum() or r["s"]["start"] == 0 or around[0] in "+("
         assert not around[-1].isalnum() or r["s"]["end"] == len(r["text"])
     assert len(found) < 20
+
+
+def test_personal_data_is_learnt_from_all_candidates(spark, monkeypatch):
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "concat('call +49 30 ', 1000000 + id, ' or ', 10000 + id, '-', id % 10, ', ref 12.', id, '.300.7') AS text")
+    kept = {}
+    stage = pii.stage
+    monkeypatch.setattr(pii, "stage", lambda df, name, **options: kept.setdefault(name, stage(df, name, **options)))
+    found = stage(pii.candidates(docs), "found")
+    pii.fit(found)
+    chosen = next(iter(kept.values()))
+    assert chosen.filter("base AND kind = 'phone'").count() == found.filter("base AND kind = 'phone'").select("match", "before", "after").distinct().count() == 12_000
