@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from runsight.functions.columns import OUTSIDE_NAME
+
 _SECTION = "MAP<STRING, VARIANT>"
 _ITEM = "STRUCT<ID: BIGINT, Name: STRING, `Update`: STRING, Value: STRING>"
 
@@ -16,7 +18,7 @@ def _text(value: str) -> str:
 
 
 def _name(value: str) -> str:
-    return f"lower(regexp_replace({value}, '[^a-zA-Z0-9_]+', '_'))"
+    return f"lower(regexp_replace({value}, '{OUTSIDE_NAME}', '_'))"
 
 
 def _integers(section: str, prefix: str, depth: int) -> str:

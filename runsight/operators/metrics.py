@@ -73,7 +73,7 @@ def latest_values(items: Column, keys: Sequence[str] = ACCUMULABLE_KEYS, field:
     """
     if field not in ("Value", "Update"):
         raise ValueError("field must be 'Value' or 'Update'")
-    wanted = F.lit([canonical_text(key) for key in keys])
+    wanted = [canonical_text(key) for key in keys]
 
     def integer(text: Column) -> Column:
         # A failing try_cast costs far more than the pattern test in front of it.
@@ -90,7 +90,7 @@ def latest_values(items: Column, keys: Sequence[str] = ACCUMULABLE_KEYS, field:
                     integer(item[field]).alias("value"),
                 ),
             ),
-            lambda item: F.array_contains(wanted, item["name"]),
+            lambda item: item["name"].isin(wanted),
         )
     )
     pairs = F.transform(

@@ -149,3 +149,24 @@ def test_canonical_name_column_and_text_agree(spark):
     from runsight.functions import canonical_name
 
     assert [row[0] for row in df.select(canonical_name(F.col("n"))).collect()] == [canonical_text(n) for n in names]
+
+
+def test_outside_characters_are_listed_without_ranges(spark):
+    from runsight.functions import canonical_name
+    from runsight.functions.columns import OUTSIDE_NAME
+
+    # Java tests ranges in turn, for each character of each name.
+    assert "-" not in OUTSIDE_NAME
+    names = ["".join(map(chr, range(1, 384))), "aªbⅠc\U0001d504d", "0-9 a-z A-Z"]
+    df = spark.createDataFrame([(name,) for name in names], "n string")
+    ranges = F.lower(F.regexp_replace("n", "[^a-zA-Z0-9_]+", "_"))
+    assert df.filter(canonical_name("n") != ranges).count() == 0
+    assert [row[0] for row in df.select(canonical_name("n")).collect()] == [canonical_text(name) for name in names]
+
+
+def test_wanted_names_are_looked_up_in_a_set(spark):
+    df = records(spark, record(items=[{"ID": 1, "Name": "peak memory usage", "Value": "3"}, {"ID": 2, "Value": "4"}]))
+    df = df.select(metrics.latest_by_id("logMessage").alias("j"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan and "array_contains" not in plan
+    assert json.loads(df.first()["j"]) == {"peak_memory_usage_id": 1, "peak_memory_usage": 3}
