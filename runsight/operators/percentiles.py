@@ -30,10 +30,11 @@ def percentiles_by_range(
     """
     keys, names = list(keys), list(values)
 
-    listed = ", ".join(f"CAST({values[name]} AS DOUBLE)" for name in names)
+    # A row may hold few of hundreds of metrics, so those without a value are dropped before they become rows.
+    numbers = [f"CAST({values[name]} AS DOUBLE)" for name in names]
+    cells = ", ".join(f"CASE WHEN {number} IS NOT NULL THEN struct({m} AS _m, {number} AS _v) END" for m, number in enumerate(numbers))
     counted = (
-        df.select(*keys, F.posexplode(F.expr(f"array({listed})")).alias("_m", "_v"))
-        .filter(F.col("_v").isNotNull())
+        df.select(*keys, F.expr(f"inline(array_compact(array({cells})))"))
         .groupBy(*keys, "_m", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )

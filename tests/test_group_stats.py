@@ -79,3 +79,18 @@ def test_interpolation(spark):
 def test_labels():
     assert percentile_label(0.95) == "p95"
     assert percentile_label(0.999) == "p99_9"
+
+
+def test_metrics_without_a_value_become_no_rows(spark, monkeypatch):
+    from runsight.operators import percentiles
+
+    staged, stage = [], percentiles.stage
+    monkeypatch.setattr(percentiles, "stage", lambda df, name: staged.append(df) or stage(df, name))
+    rows = spark.createDataFrame([("a", 1, None), ("a", 3, None), ("b", None, 7), (None, 5, 2)], "g string, x int, y bigint")
+    found = percentiles.percentiles_by_range(rows, ["g"], {"x": "x", "y": "y"}, (0.5,), 2)
+    assert {row["g"]: (row["x"], row["y"]) for row in found.collect()} == {"a": ([2.0], None), "b": (None, [7.0]), None: ([5.0], [2.0])}
+    plan = staged[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and "Generate posexplode" not in plan
+    assert {tuple(row) for row in staged[0].select("g", "_m", "_v", "_c").collect()} == {
+        ("a", 0, 1.0, 1), ("a", 0, 3.0, 1), ("b", 1, 7.0, 1), (None, 0, 5.0, 1), (None, 1, 2.0, 1),
+    }
